@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import packing, quality, secrets
+from granary.llm import ngram_join, packing, quality, secrets
 from granary.llm.common import materialize, table
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
     ("secret scans", secrets.stage),
     ("packing", packing.stage),
 ]

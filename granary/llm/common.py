@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,12 @@ def range_bucket(key: str | Column, bounds: list[int]) -> Column:
         top = F.size(F.filter(tops, lambda b: b <= k))
         found = F.when(top == 0, 0).otherwise((top - 1) * step + F.size(F.filter(F.element_at(grid, F.greatest(top, F.lit(1))), lambda b: b <= k)))
     return F.when(k.isNull(), 0).otherwise(found).cast("int")
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow``, with this package's folder on the workers' path (for a driver that runs it from a checkout)."""
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, *([path] if path else [])])
+    return df.mapInArrow(function, schema)

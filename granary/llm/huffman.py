@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import range_bounds, range_bucket, remove, table, work_path
+from granary.llm.common import map_arrow, range_bounds, range_bucket, remove, table, work_path
 
 END, LIMIT, STRIDE = 1, 18, 128
 
@@ -185,9 +185,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
     bounds = range_bounds(rows, "doc_id", rows_per_file)
     held = work_path(spark, "ids")
     kinds = "doc_id long, n_tokens long, ids binary"
-    rows.mapInArrow(lambda parts: _tokenized(parts, name, end), kinds).write.option("compression", "zstd").parquet(held)
+    map_arrow(rows, lambda parts: _tokenized(parts, name, end), kinds).write.option("compression", "zstd").parquet(held)
     encoded = spark.read.schema(kinds).parquet(held)
-    counted = encoded.select("n_tokens", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = map_arrow(encoded.select("n_tokens", "ids"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in counted], default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -198,7 +198,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
     for k in range(len(bounds) + 1):
         starts.append(before)
         before += sums.get(k, 0)
-    coded = encoded.mapInArrow(lambda parts: _coded(parts, lengths, stride), "doc_id long, n_tokens long, bits binary, checkpoints binary")
+    coded = map_arrow(encoded, lambda parts: _coded(parts, lengths, stride), "doc_id long, n_tokens long, bits binary, checkpoints binary")
     running = F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "bits").rowsBetween(Window.unboundedPreceding, -1))
     base = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket") + 1)
     (
@@ -241,7 +241,8 @@ def read_ids(spark: SparkSession, path: str, stride: int = STRIDE, checksums_onl
         for batch in _decoded(parts, lengths, stride):
             yield batch.drop_columns(["ids"]) if checksums_only else batch
 
-    return spark.read.parquet(f"{path}/blocks").select("doc_id", "start", "n_tokens", "bits", "checkpoints").mapInArrow(decoded, kinds)
+    blocks = spark.read.parquet(f"{path}/blocks").select("doc_id", "start", "n_tokens", "bits", "checkpoints")
+    return map_arrow(blocks, decoded, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import map_arrow, table
 
 WINDOW, END = 2048, 1
 
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     path = str(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(lambda parts: _packed(parts, path, window, end, pool), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return map_arrow(rows, lambda parts: _packed(parts, path, window, end, pool), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
