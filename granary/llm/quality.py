@@ -113,6 +113,16 @@ def verdicts(m: Column, rules=RULES) -> Column:
     return F.filter(F.array(*broken), lambda x: x.isNotNull())
 
 
+def base_failed(m: Column) -> Column:
+    """Fewer than 50 words, or more than half of them in repeated windows."""
+    return (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+
+
+def passes(text: Column, rules=RULES) -> Column:
+    """Whether a text fails neither the base nor a rule: one expression, so that a filter on it counts once."""
+    return let(measures(text), lambda m: ~base_failed(m) & (F.size(verdicts(m, rules)) == 0))
+
+
 def apply_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with ``quality_counts``, ``base_failed`` and ``broken_rules`` (empty: the document is kept).
 
@@ -120,8 +130,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     these three names are replaced; all others stay.
     """
     m = F.col("quality_counts")
-    base = (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
-    return docs.withColumn("quality_counts", measures(text_of(text))).withColumns({"base_failed": base, "broken_rules": verdicts(m, rules)})
+    return docs.withColumn("quality_counts", measures(text_of(text))).withColumns({"base_failed": base_failed(m), "broken_rules": verdicts(m, rules)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +140,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that break no rule."""
-    judged = apply_rules(docs)
-    return judged.filter(~F.col("base_failed") & (F.size("broken_rules") == 0)).select(*docs.columns)
+    return docs.filter(passes(text_of()))
 
 
 SQL = r"""
