@@ -23,6 +23,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 #: Mean log-likelihood ratio per character pair, in nats, from which a candidate counts as random.
 THRESHOLD = 0.35
+#: Rulers and padding are no secrets: a candidate has at least this many different characters.
+DISTINCT = 8
 
 #: Labelled sample of ordinary identifiers: these stems, alone and in pairs in the usual styles.
 STEMS = (
@@ -116,7 +118,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text",
     """``docs`` with ``base_spans`` and ``spans``: arrays of (start, rank, end, match) by start, then rank (:data:`KINDS`).
 
     ``base_spans`` are the matches of the fixed patterns; ``spans`` adds runs of 20 or more token characters that the
-    models call random and that touch no base span. One narrow projection; null text counts as empty; columns of
+    models call random, that have 8 different characters and that touch no base span. One narrow projection; null text counts as empty; columns of
     these two names are replaced, others stay.
     """
     if ratios is None:
@@ -126,7 +128,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text",
     assign = F.filter(find(t, ASSIGN, "assign"), lambda s: F.length(value(s["match"])) >= 8)
     base = F.array_sort(F.concat(assign, find(t, ACCESS, "access"), find(t, HEX, "hex")))
     first = docs.withColumn("base_spans", base)
-    likely = F.filter(find(t, CANDIDATE, "markov"), lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (score(s["match"], ratios) > threshold))
+    likely = F.filter(find(t, CANDIDATE, "markov"), lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (F.size(F.array_distinct(F.split(s["match"], ""))) >= DISTINCT) & (score(s["match"], ratios) > threshold))
     return first.withColumn("spans", F.array_sort(F.concat("base_spans", likely)))
 
 
