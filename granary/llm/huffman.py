@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,10 +69,10 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([found, np.zeros((1 << width) - len(found), np.uint32)]), width
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, stride: int = STRIDE) -> list[tuple[bytes, bytes]]:
+def encode_blocks(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bits and checkpoints of consecutive documents of ``sizes`` ids: each begins on a byte of its own.
 
-    The checkpoints are the bit offsets of each ``stride``-th id, as little-endian uint32.
+    Returns the bytes, how many each document has, the checkpoints and how many each has. The checkpoints are the bit offsets of each ``stride``-th id, as little-endian uint32.
     """
     length = lengths[ids].astype(np.int64)
     firsts = np.concatenate([[0], np.cumsum(sizes)])
@@ -88,21 +89,19 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes
         sums = np.add.reduceat(shifted, heads)  # the bits are apart, so a sum is an or
         out[word[heads]] |= (sums >> np.uint64(32)).astype(np.uint32)
         out[word[heads] + 1] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    raw = out.astype(">u4").tobytes()
-    result = []
-    for k in range(len(sizes)):
-        marks = at[firsts[k] : firsts[k + 1] : stride] - begin[k] * 8
-        result.append((raw[begin[k] : begin[k + 1]], marks.astype("<u4").tobytes()))
-    return result
-
-
-def decode_blocks(blocks: list[tuple[int, bytes, bytes]], found: np.ndarray, width: int, stride: int = STRIDE) -> list[np.ndarray]:
-    """Ids of blocks (number of ids, bits, checkpoints): the runs between checkpoints are decoded side by side."""
-    raw = np.frombuffer(b"".join(b for _, b, _ in blocks) + bytes(8), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(b) for _, b, _ in blocks])])
-    sizes = np.array([n for n, _, _ in blocks], np.int64)
+    data = out.astype(">u4").view(np.uint8)[: begin[-1]]
+    nth = np.arange(len(ids)) - np.repeat(firsts[:-1], sizes)
+    marked = nth % stride == 0
+    marks = (at - np.repeat(begin[:-1] * 8, sizes))[marked].astype("<u4")
+    return data, np.diff(begin), marks, -(-sizes // stride)
+
+
+def decode_blocks(sizes: np.ndarray, bits: bytes, n_bits: np.ndarray, marks: np.ndarray, found: np.ndarray, width: int, stride: int = STRIDE) -> np.ndarray:
+    """Ids of consecutive documents of ``sizes`` ids: the runs between checkpoints are decoded side by side."""
+    raw = np.concatenate([np.frombuffer(bits, np.uint8), np.zeros(8, np.uint8)])
+    begin = np.concatenate([[0], np.cumsum(n_bits)])
     runs = -(-sizes // stride)
-    marks = np.frombuffer(b"".join(m for _, _, m in blocks), "<u4").astype(np.int64)
+    marks = marks.astype(np.int64)
     at = marks + np.repeat(begin[:-1] * 8, runs)
     first_run = np.concatenate([[0], np.cumsum(runs)])
     nth = np.arange(len(at)) - np.repeat(first_run[:-1], runs)
@@ -124,8 +123,8 @@ def decode_blocks(blocks: list[tuple[int, bytes, bytes]], found: np.ndarray, wid
         at[:n] += entry & np.uint32(31)
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    flat = ids.T[back].reshape(-1)
-    return [flat[first_run[k] * stride : first_run[k] * stride + sizes[k]] for k in range(len(blocks))]
+    by_run, left = ids.T[back], left[back]
+    return by_run[np.arange(stride) < left[:, None]]
 
 
 def _tokenized(parts: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -135,21 +134,32 @@ def _tokenized(parts: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator
     for part in parts:
         docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
         for a, b in batches(texts):
-            ids = tokenizer.encode(texts[a:b], end)
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if tokenizer.size <= 65536 else ids
-            yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids, sizes = tokenizer.encode(texts[a:b], end)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(sizes, pa.int64()), binaries(ids.astype("<u2" if tokenizer.size <= 65536 else "<u4"), sizes)], names=["doc_id", "n_tokens", "ids"])
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``sizes`` numbers as an Arrow array of their bytes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _raw(column: pa.Array) -> memoryview:
+    """The bytes of a column of binaries without nulls, one after the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]]
 
 
-def _numbers(ids, sizes) -> np.ndarray:
+def _numbers(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
     """The ids of a column of binaries, two or four bytes each."""
-    raw = b"".join(ids)
+    raw = _raw(column)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * int(sizes.sum()) else "<u4")
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for part in parts:
-        got = np.bincount(_numbers(part.column(1).to_pylist(), np.asarray(part.column(0))), minlength=len(counts))
+        got = np.bincount(_numbers(part.column(1), np.asarray(part.column(0))), minlength=len(counts))
         got[: len(counts)] += counts
         counts = got
     used = np.flatnonzero(counts)
@@ -162,8 +172,8 @@ def _coded(parts: Iterator[pa.RecordBatch], lengths: np.ndarray, stride: int) ->
         for a in range(0, part.num_rows, 512):
             piece = part.slice(a, 512)
             sizes = np.asarray(piece.column(1))
-            blocks = encode_blocks(_numbers(piece.column(2).to_pylist(), sizes), sizes, lengths, codes, stride)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([b for b, _ in blocks], pa.binary()), pa.array([m for _, m in blocks], pa.binary())], names=["doc_id", "n_tokens", "bits", "checkpoints"])
+            bits, n_bits, marks, n_marks = encode_blocks(_numbers(piece.column(2), sizes), sizes, lengths, codes, stride)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), binaries(bits, n_bits), binaries(marks, n_marks)], names=["doc_id", "n_tokens", "bits", "checkpoints"])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: int = END, limit: int = LIMIT, stride: int = STRIDE, rows_per_file: int = 20_000) -> str:
@@ -221,9 +231,12 @@ def _decoded(parts: Iterator[pa.RecordBatch], lengths: np.ndarray, stride: int)
     for part in parts:
         for a in range(0, part.num_rows, 512):
             piece = part.slice(a, 512)
-            ids = decode_blocks(list(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), piece.column(4).to_pylist())), found, width, stride)
-            raw = [x.astype("<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(2), pa.array(raw, pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+            sizes = np.asarray(piece.column(2))
+            n_bits = np.asarray(pc.binary_length(piece.column(3)))
+            ids = decode_blocks(sizes, _raw(piece.column(3)), n_bits, np.frombuffer(_raw(piece.column(4)), "<u4"), found, width, stride).astype("<u4")
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            sums = [zlib.crc32(ids[x:y]) for x, y in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(2), binaries(ids, sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
 
 def read_ids(spark: SparkSession, path: str, stride: int = STRIDE, checksums_only: bool = False) -> DataFrame:

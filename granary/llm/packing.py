@@ -100,7 +100,10 @@ def _packed(parts: Iterator[pa.RecordBatch], path: str, window: int, end: int, p
     for part in parts:
         docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
         for a, b in batches(texts):
-            for doc, ids in zip(docs[a:b], tokenizer.encode(texts[a:b], end)):
+            flat, sizes = tokenizer.encode(texts[a:b], end)
+            raw, cuts = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(sizes * 4)]).tolist()
+            for doc, x, y in zip(docs[a:b], cuts, cuts[1:]):
+                ids = raw[x:y]
                 total, whole = len(ids) // 4, len(ids) // (4 * window) * window
                 for start in range(0, whole, window):
                     place([(doc, start, total, ids[4 * start : 4 * (start + window)])])

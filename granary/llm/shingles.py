@@ -30,10 +30,8 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hashes(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+def word_spans(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word of consecutive texts of ``sizes`` bytes, and how many words each text has."""
     solid = ~SPACE[data]
     ends = np.cumsum(sizes)
     cut = np.zeros(len(data) + 1, bool)
@@ -43,18 +41,28 @@ def _hashes(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[ends] = True
     last = solid & (cut[1:] | ~np.concatenate([solid[1:], [False]]))
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, stop, np.searchsorted(start, ends) - np.searchsorted(start, ends - sizes)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, letters: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of stretches of bytes: polynomials in a fixed base, from prefix sums modulo 2^64, mixed at last."""
     power, inverse = _power(len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-    hashes = mix((total[stop] - total[start]) * inverse[start])
-    counts = np.searchsorted(start, ends) - np.searchsorted(start, ends - sizes)
-    return hashes, counts
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * power[: len(data)], dtype=np.uint64)])
+    return mix((total[stop] - total[start]) * inverse[start])
+
+
+def _hashes(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    start, stop, counts = word_spans(data, sizes)
+    return span_hashes(data, start, stop), counts
 
 
 def word_hashes(raw: bytes, sizes: np.ndarray, most: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of consecutive texts of ``sizes`` bytes, and how many words each text has.
 
-    A word's hash is its polynomial in a fixed base, from prefix sums modulo 2^64, mixed at last. A single text of more
-    than ``most`` bytes is hashed in stretches that end at white space.
+    A single text of more than ``most`` bytes is hashed in stretches that end at white space.
     """
     if len(sizes) != 1 or len(raw) <= most:
         return _hashes(raw, sizes)
@@ -94,7 +102,7 @@ def shingle_hashes(raw: bytes, sizes: np.ndarray, words: int = 5) -> tuple[np.nd
     return mix(out), many
 
 
-def groups(texts: list[bytes], most: int = 4 << 20):
+def groups(texts: list[bytes], most: int = 2 << 20):
     """Slices of about ``most`` bytes; a longer text stands alone."""
     first = size = 0
     for i, t in enumerate(texts):

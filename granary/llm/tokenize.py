@@ -2,82 +2,152 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
+from granary.llm.shingles import mix, span_hashes, word_spans
+
 #: Characters whose normal form, case and class are the same for Python and the library; texts with others go to the
-#: library whole. Letters below U+0250 but dotted capital I, the usual white space, and general punctuation.
-_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]*")
+#: library whole. Characters below U+0250 but dotted capital I, raised digits and fractions; white space; general punctuation.
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-⁞€]*")
 #: The file's own split into words, within a chunk.
 _WORDS = re.compile(r"""'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+#: A second set of letters for hashes, so that two words are taken for one only if 128 bits agree.
+_SECOND = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
 class WordTokenizer:
-    """Encodes whole texts as the library would with ``add_special_tokens=False``; returns little-endian uint32 bytes.
+    """Encodes whole texts as the library would with ``add_special_tokens=False``.
 
-    The file's model splits texts at white space, so the ids of a lower-cased chunk never depend on its neighbours: each
-    distinct chunk is encoded by the library once and remembered. The memory is emptied at ``most`` chunks. Texts
-    with characters beyond ``_PLAIN`` are encoded whole, as are all texts if the file is of another kind. Strings of
+    The file's model splits texts into words, so the ids of a lower-cased chunk between white space never depend on its
+    neighbours. Chunks are found and hashed in NumPy; the library's model encodes each distinct chunk once, and texts are
+    put together from the remembered ids. Beyond ``most`` chunks, those of the latest texts stay. Texts with characters
+    beyond ``_PLAIN`` are encoded whole by the library, as are all texts if the file is of another kind. Strings of
     special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
         self.library.encode_special_tokens = True
-        self.memory: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunked = self.ends.any()
-        self.word_of = (re.compile(r"\S+"), _WORDS)
-
-    def _learn(self, chunks: list[str]) -> None:
-        memory = self.memory
-        for first in range(0, len(chunks), 4000):
-            part = chunks[first : first + 4000]
-            texts = [" ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
-            ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] or [np.empty(0, np.uint32)])
-            words = np.array([len(_WORDS.findall(c)) for c in part])
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == words.sum():
-                cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(words)])]
-                raw = ids.astype("<u4").tobytes()
-                cuts = (cuts * 4).tolist()
-                memory.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-            else:  # the words differ from the library's: one by one
-                for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    memory[chunk] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
-        """The ids of each text (null: empty), with ``end`` after them."""
-        tail = b"" if end is None else int(end).to_bytes(4, "little")
+        self.chunked = bool(self.ends.any())
+        if self.chunked:  # the file's model alone, for words that are split and normal already
+            parts = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.model = Tokenizer.from_str(json.dumps(parts))
+            letters = _byte_letters()
+            self.letters = {b: letters[b] for b in range(256) if b != 32}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # hashes of chunks, sorted by the first
+        self.start, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where their ids are
+        self.ids = np.zeros(0, np.uint32)
+
+    def _model_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and how many each has."""
+        ids, many = [], []
+        for first in range(0, len(chunks), 16_000):
+            words = list(map(_WORDS.findall, chunks[first : first + 16_000]))
+            counts = np.array(list(map(len, words)))
+            flat = list(chain.from_iterable(words))
+            texts = [" ".join(flat[i : i + 2000]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(flat), 2000)]
+            found = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) != len(flat):
+                raise ValueError("a word does not end with an end-of-word token")
+            ids.append(found)
+            many.append(np.diff(np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]))
+        return np.concatenate(ids), np.concatenate(many)
+
+    def _plain(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of consecutive lower-cased texts and how many each has; None if two chunks share a hash."""
+        data = np.frombuffer(raw, np.uint8)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        start, stop, words = word_spans(data, sizes)
+        one, two = span_hashes(data, start, stop), span_hashes(data, start, stop, _SECOND)
+        first, sample, entry = np.unique(one, return_index=True, return_inverse=True)
+        second = two[sample]
+        at = np.searchsorted(self.first, first)
+        known = np.zeros(len(first), bool)
+        inside = at < len(self.first)
+        known[inside] = self.first[at[inside]] == first[inside]
+        if (second[entry] != two).any() or (self.second[at[known]] != second[known]).any():
+            return None
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            spans = zip(start[sample[fresh]].tolist(), stop[sample[fresh]].tolist())
+            ids, many = self._model_ids([raw[a:b].decode() for a, b in spans])
+            self.start = np.insert(self.start, at[fresh], len(self.ids) + np.cumsum(many) - many)
+            self.many = np.insert(self.many, at[fresh], many)
+            self.first = np.insert(self.first, at[fresh], first[fresh])
+            self.second = np.insert(self.second, at[fresh], second[fresh])
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.first, first)
+        many = self.many[at][entry]
+        total = np.concatenate([[0], np.cumsum(many)])
+        out = self.ids[np.repeat(self.start[at][entry] - total[:-1], many) + np.arange(total[-1])]
+        if len(self.first) > self.most:
+            keep = np.zeros(len(self.first), bool)
+            keep[at] = True
+            many = self.many[keep]
+            cut = np.cumsum(many)
+            self.ids = self.ids[np.repeat(self.start[keep] - (cut - many), many) + np.arange(int(many.sum()))]
+            self.first, self.second, self.start, self.many = self.first[keep], self.second[keep], cut - many, many
+        return out, np.diff(total[np.concatenate([[0], np.cumsum(words)])])
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (null: empty), one after the other, each with ``end`` after it, and how many each has."""
         texts = [t or "" for t in texts]
-        if not self.chunked:
-            return [np.asarray(e.ids, "<u4").tobytes() + tail for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.memory) > self.most:
-            self.memory = {}
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
-        chunks = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
-        new: set[str] = set()
-        for c in chunks:
-            if c is not None:
-                new.update(c)
-        if new := [c for c in new if c not in self.memory]:
-            new.sort()
-            self._learn(new)
-        get, out = self.memory.__getitem__, []
-        for t, c in zip(texts, chunks):
-            if c is None:
-                out.append(np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + tail)
-            else:
-                out.append(b"".join(map(get, c)) + tail)
-        return out
+        plain = np.array([self.chunked and _PLAIN.fullmatch(t) is not None for t in texts], bool)
+        raw = [t.lower().encode() for t, ok in zip(texts, plain) if ok]
+        got = self._plain(b"".join(raw), np.array([len(r) for r in raw], np.int64)) if raw else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if got is None:
+            self._forget()
+            plain[:], got = False, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        tail = np.array([] if end is None else [end], np.uint32)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = got[1]
+        others = {}
+        for k in np.flatnonzero(~plain):
+            others[k] = np.asarray(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            sizes[k] = len(others[k])
+        stop = np.cumsum(sizes + len(tail))
+        ids = np.zeros(int(stop[-1]) if len(stop) else 0, np.uint32)
+        begin = stop - sizes - len(tail)
+        if plain.all():
+            place = np.ones(len(ids), bool)
+            if len(tail):
+                place[stop - 1] = False
+            ids[place] = got[0]
+        else:
+            cuts = np.concatenate([[0], np.cumsum(got[1])])
+            for n, k in enumerate(np.flatnonzero(plain)):
+                ids[begin[k] : begin[k] + sizes[k]] = got[0][cuts[n] : cuts[n + 1]]
+            for k, found in others.items():
+                ids[begin[k] : begin[k] + sizes[k]] = found
+        if len(tail):
+            ids[stop - 1] = tail[0]
+        return ids, sizes + len(tail)
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -90,7 +160,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def batches(texts: list, most: int = 4 << 20):
+def batches(texts: list, most: int = 2 << 20):
     """Slices of a list of texts of about ``most`` characters each; a longer text stands alone."""
     first = size = 0
     for i, t in enumerate(texts):
