@@ -114,22 +114,23 @@ def find(text: Column, pattern: str, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), located).otherwise(empty)
 
 
-def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: arrays of (start, rank, end, match) by start, then rank (:data:`KINDS`).
 
     ``base_spans`` are the matches of the fixed patterns; ``spans`` adds runs of 20 or more token characters that the
     models call random, that have 8 different characters and that touch no base span. One narrow projection; null text counts as empty; columns of
-    these two names are replaced, others stay.
+    these two ``names`` are replaced, others stay.
     """
+    base_name, all_name = names
     if ratios is None:
         ratios = fit(samples(docs.sparkSession))
     t = text_of(text)
     value = lambda m: F.regexp_extract(m, "^" + ASSIGN, 1)
     assign = F.filter(find(t, ASSIGN, "assign"), lambda s: F.length(value(s["match"])) >= 8)
     base = F.array_sort(F.concat(assign, find(t, ACCESS, "access"), find(t, HEX, "hex")))
-    first = docs.withColumn("base_spans", base)
-    likely = F.filter(find(t, CANDIDATE, "markov"), lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (F.size(F.array_distinct(F.split(s["match"], ""))) >= DISTINCT) & (score(s["match"], ratios) > threshold))
-    return first.withColumn("spans", F.array_sort(F.concat("base_spans", likely)))
+    first = docs.withColumn(base_name, base)
+    likely = F.filter(find(t, CANDIDATE, "markov"), lambda s: ~F.exists(base_name, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (F.size(F.array_distinct(F.split(s["match"], ""))) >= DISTINCT) & (score(s["match"], ratios) > threshold))
+    return first.withColumn(all_name, F.array_sort(F.concat(base_name, likely)))
 
 
 def listed(spans: str) -> Column:
@@ -146,7 +147,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each stretch of text that spans cover replaced by ``mark``; overlapping spans are one stretch."""
-    found = scan(docs, **options)
+    base_name, all_name = "__base_spans", "__spans"
+    found = scan(docs, names=(base_name, all_name), **options)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
@@ -154,9 +156,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         fresh = x["start"] >= s["at"]
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
 
-    done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    changed = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    return found.withColumn("text", changed).drop("base_spans", "spans")
+    done = F.aggregate(all_name, start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
+    changed = F.when(F.size(all_name) > 0, done).otherwise(F.col("text"))
+    return found.withColumn("text", changed).drop(base_name, all_name)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,26 +17,31 @@ def assign_shards(df: DataFrame, key: str, size: str, shards: int, tie: list[str
     from 0 in the same order. Rows that tie on ``key`` are ordered by the columns ``tie``. A null key stands first, a null
     size counts as 0; an empty table gives no rows; columns named ``shard`` and ``slot`` are replaced and others stay.
     """
-    order = [F.col(key).asc_nulls_first(), *[F.col(x).asc_nulls_first() for x in tie or []]]
-    rows = df.drop("shard", "slot").withColumns({"__range": range_bucket(key, range_bounds(df, key, rows_per_range)), "__size": F.coalesce(F.col(size), F.lit(0)).cast("long")})
-    totals = rows.groupBy("__range").agg(F.sum("__size").alias("__sum"))
+    ties = [F.col(x).alias(f"tie{i}") for i, x in enumerate(tie or [])]
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # apart from the columns made here, whatever their names
+    bounds = range_bounds(df, key, rows_per_range)
+    rows = df.select(whole.alias("row"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), range_bucket(key, bounds).alias("range"), *ties)
+    order = [F.col("key").asc_nulls_first(), *[F.col(f"tie{i}").asc_nulls_first() for i in range(len(ties))]]
+    totals = rows.groupBy("range").agg(F.sum("size").alias("bytes"))
     every = Window.partitionBy(F.lit(0))  # over as many rows as there are ranges
     before = totals.select(
-        F.col("__range").alias("__r"),
-        F.coalesce(F.sum("__sum").over(every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__sum").over(every).alias("__total"),
+        F.col("range").alias("r"),
+        F.coalesce(F.sum("bytes").over(every.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("bytes").over(every).alias("total"),
     )
-    own = Window.partitionBy("__range").orderBy(*order)
-    run = F.coalesce(F.sum("__size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("__run", run).join(F.broadcast(before), F.col("__range") == F.col("__r"))
-    middle = (F.col("__before") + F.col("__run")) * 2 + F.col("__size")
-    shard = F.least(F.floor(middle * shards / F.greatest(F.col("__total") * 2, F.lit(1))), F.lit(shards - 1)).cast("int")
-    cut = placed.withColumn("shard", F.when(F.col("__total") == 0, 0).otherwise(shard)).withColumn("__nth", F.row_number().over(Window.partitionBy("__range", "shard").orderBy("__run", *order)))
-    counts = cut.groupBy("__range", "shard").agg(F.count("*").alias("__n"))  # at most ranges + shards rows
-    ahead = F.sum("__n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    ahead = counts.select(F.col("__range").alias("__r2"), F.col("shard").alias("__s2"), F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-    placed = cut.join(F.broadcast(ahead), (F.col("__range") == F.col("__r2")) & (F.col("shard") == F.col("__s2")))
-    return placed.select(*[F.col(c) for c in df.columns if c not in ("shard", "slot")], "shard", (F.col("__ahead") + F.col("__nth") - 1).cast("long").alias("slot"))
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = F.coalesce(F.sum("size").over(own), F.lit(0))
+    placed = rows.withColumn("run", run).join(F.broadcast(before), F.col("range") == F.col("r"))
+    middle = (F.col("before") + F.col("run")) * 2 + F.col("size")
+    shard = F.least(F.floor(middle * shards / F.greatest(F.col("total") * 2, F.lit(1))), F.lit(shards - 1)).cast("int")
+    nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("run", *order))
+    cut = placed.withColumn("shard", F.when(F.col("total") == 0, 0).otherwise(shard)).withColumn("nth", nth)
+    counts = cut.groupBy("range", "shard").agg(F.count("*").alias("n"))  # at most ranges + shards rows
+    ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = counts.select(F.col("range").alias("r2"), F.col("shard").alias("s2"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    placed = cut.join(F.broadcast(ahead), (F.col("range") == F.col("r2")) & (F.col("shard") == F.col("s2")))
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, "shard", (F.col("ahead") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
