@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,8 @@ SELECT word, array_to_string(arg_min(tokens, len(tokens)), ' ') AS ids FROM stat
 """
 #: A token's text has a character for each byte.
 _DECODE = """
-SELECT s.doc, string_agg(v.text, '' ORDER BY s.i) AS text
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM coded) s JOIN vocabulary v ON v.id = s.id
-GROUP BY s.doc
+SELECT c.doc, array_to_string(list(v.text ORDER BY c.i), '') AS text
+FROM coded c JOIN vocabulary v ON v.id = c.id GROUP BY c.doc
 """
 #: Words of more bytes are contracted with a heap instead: one pair a step over the whole word is quadratic.
 LONGEST = 256
@@ -51,9 +51,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes and decodes with the ranks of one file; remembers the ids of at most ``most`` chunks between spaces."""
+    """Encodes and decodes with the ranks of one file.
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000, memory_mb: int = 300):
+    Remembers the ids of words, and of the chunks between spaces; of more than ``most``, those of the latest texts stay.
+    """
+
+    def __init__(self, path: str, pattern: str, most: int = 800_000, memory_mb: int = 300):
         import duckdb
         import regex
 
@@ -73,6 +76,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
         self.db.unregister("vocabulary_rows")
         self.memory: dict[str, str] = {}
+        self.words: dict[str, str] = {}
 
     def contract(self, words: list[str], at_once: int = 50_000) -> list[str]:
         """The ids of each word (one match of the pattern), as decimal numbers joined by spaces."""
@@ -129,18 +133,20 @@ class Codec:
         used: set[str] = set()
         for c in cut:
             used.update(c)
-        memory = self.memory
-        if new := [c for c in used if c not in memory]:
-            words: dict[str, int] = {}
-            find, number = self.pattern.findall, words.setdefault
-            spelled = [[number(w, len(words)) for w in find(c)] for c in new]
-            ids = self.contract(list(words))
-            for c, s in zip(new, spelled):
-                memory[c] = ids[s[0]] if len(s) == 1 else " ".join([ids[k] for k in s])
+        memory, known = self.memory, self.words
+        spelled: list[list[str]] = []
+        if new := list(used.difference(memory)):
+            spelled = list(map(self.pattern.findall, new))
+            fresh = list(set(chain.from_iterable(spelled)).difference(known))
+            known.update(zip(fresh, self.contract(fresh)))
+            get = known.__getitem__
+            memory.update((c, get(s[0]) if len(s) == 1 else " ".join(map(get, s))) for c, s in zip(new, spelled))
         get = memory.__getitem__
         out = [" ".join(map(get, c)) for c in cut]
         if len(memory) > self.most:  # what recurs is in the latest texts
             self.memory = {c: memory[c] for c in used}
+        if len(known) > self.most:
+            self.words = {w: known[w] for w in chain.from_iterable(spelled)}
         return out
 
     def decode(self, ids: list[str], at_once: int = 1 << 20) -> list[bytes]:
@@ -149,8 +155,8 @@ class Codec:
         for a, b in batches(ids, at_once):
             counts = np.array([x.count(" ") + 1 if x else 0 for x in ids[a:b]])
             numbers = np.fromstring(" ".join(x for x in ids[a:b] if x), np.int32, sep=" ")
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), numbers)
-            self.db.register("coded", pa.table({"doc": pa.array(np.arange(b - a, dtype=np.int32)), "ids": lists}))
+            places = np.arange(len(numbers), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+            self.db.register("coded", pa.table({"doc": np.repeat(np.arange(b - a, dtype=np.int32), counts), "i": places, "id": numbers}))
             found = dict(self.db.sql(_DECODE).fetchall())
             self.db.unregister("coded")
             out += [found.get(k, "").encode("latin-1") for k in range(b - a)]
