@@ -1,6 +1,6 @@
-"""Registered queries and their SQL, gathered from the modules of operators."""
+"""Registered queries and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from granary.plans import modelling, preparing, splitting, testing  # noqa: F401  they register their queries
+from granary.plans.registry import QUERIES, SQL  # noqa: F401
