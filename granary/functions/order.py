@@ -19,11 +19,24 @@ def bounds_of(df: DataFrame, key: Column, rows: int = ROWS_PER_RANGE) -> list[fl
     return sorted({x for x in cuts if x > least})
 
 
-def range_of(key: Column, bounds: list[float]) -> Column:
-    """The number of bounds at or below ``key``; nulls belong to the first range."""
+def range_of(key: Column, bounds: list) -> Column:
+    """The number of ``bounds`` (ascending, of the key's own kind) at or below ``key``; nulls belong to the first range.
+
+    Plain comparisons, first with every 64th bound, then with the 64 from there on.
+    """
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= key.cast("double"))), F.lit(0))
+    below = lambda tests: F.size(F.array_remove(F.array(*tests), F.lit(False)))
+    step = 64
+    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if len(rows) == 1:
+        found = below([key >= F.lit(b) for b in bounds])
+    else:
+        top = below([key >= F.lit(r[0]) for r in rows])
+        row = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r + r[-1:] * (step - len(r))]) for r in rows]), F.greatest(top, F.lit(1)))
+        inside = below([key >= F.get(row, F.lit(i)) for i in range(step)])
+        found = F.when(top == 0, 0).otherwise(F.least((top - 1) * step + inside, F.lit(len(bounds))))
+    return F.when(key.isNull(), 0).otherwise(found).cast("int")
 
 
 def _before(df: DataFrame, weight: Column) -> DataFrame:
@@ -35,7 +48,7 @@ def _before(df: DataFrame, weight: Column) -> DataFrame:
 
 def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     """``df`` with a 0-based position in the order of the columns ``order``, of which the first is numeric."""
-    rows = df.withColumn("__range", range_of(F.col(order[0]), bounds_of(df, F.col(order[0]))))
+    rows = df.withColumn("__range", range_of(F.col(order[0]).cast("double"), bounds_of(df, F.col(order[0]))))
     placed = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
     placed = placed.join(F.broadcast(_before(rows, F.lit(1))), "__range")
     return placed.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__range", "__nth", "__before")
@@ -44,7 +57,7 @@ def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, n, below): each distinct value of ``column``, its rows and the rows with lesser values; nulls are left out."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    rows = counts.withColumn("__range", range_of(F.col("value"), bounds_of(counts, F.col("value"))))
+    rows = counts.withColumn("__range", range_of(F.col("value").cast("double"), bounds_of(counts, F.col("value"))))
     run = F.sum("n").over(Window.partitionBy("__range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
     rows_ = rows.withColumn("__run", F.coalesce(run, F.lit(0))).join(F.broadcast(_before(rows, F.col("n"))), "__range")
     return rows_.select("value", "n", (F.col("__before") + F.col("__run")).cast("long").alias("below"))

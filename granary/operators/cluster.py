@@ -6,10 +6,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
+from granary.functions.storage import materialize
 from granary.operators.outliers import distance
 
 
@@ -122,23 +123,20 @@ def dbscan(df: DataFrame, key: str, cols: list[str], epsilon: float, min_points:
     core = counts.filter(F.col("n") >= min_points).select("a")
     if min_points <= 1:
         core = df.select(F.col(key).alias("a"))
-    links = pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b", "d").persist()
-    labels = core.select("a", F.col("a").alias("label"))
+    links = materialize(pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"), "dbscan-links")
+    labels = materialize(core.select("a", F.col("a").alias("label")), "dbscan-labels")
     while True:
         near = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        after = labels.join(near, "a", "left").select("a", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        least = labels.join(near, "a", "left").select("a", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = labels.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        after = after.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "old").persist()
-        changed = not after.filter("label != old").isEmpty()
+        after = materialize(least.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "dbscan-labels")
         labels = after.select("a", "label")
-        if not changed:
+        if after.filter("label != old").isEmpty():
             break
     border = pairs.join(labels.select(F.col("a").alias("b"), "label"), "b").join(core, "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "label"))["label"].alias("label"))
     names = labels.select("label").distinct()
     found = labels.unionByName(border)
     rows = df.select(F.col(key).alias("a")).join(found, "a", "left")
-    from pyspark.sql import Window
-
     number = names.withColumn("c", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1)  # a row per cluster
     return rows.join(number, "label", "left").select(F.col("a").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
 

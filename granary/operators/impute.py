@@ -151,10 +151,10 @@ def knn_impute(train: DataFrame, test: DataFrame, key: str, cols: list[str], k:
     picked = []
     for i, c in enumerate(cols):
         v = F.get("y", F.lit(i))
-        picked.append((F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight))).alias(f"__{c}"))
-    filled = ranked.groupBy(F.col("a").alias("__a")).agg(*picked)
-    joined = test.join(filled, F.col(key) == F.col("__a"), "left")
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in cols}).select(*test.columns)
+        picked.append((F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight))).alias(f"__fill_{c}"))
+    filled = ranked.groupBy(F.col("a").alias("__fill_key")).agg(*picked)
+    joined = test.join(filled, F.col(key) == F.col("__fill_key"), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{c}")) for c in cols}).select(*test.columns)
 
 
 @dataclass

@@ -69,8 +69,7 @@ def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
     psi_k = psi_m = psi_n = 0.0
     for v in found.values():
         kk = min(k, len(v) - 1)
-        radius = np.nextafter(_kth(v, kk), 0)
-        m = np.searchsorted(kept, v + radius, "right") - np.searchsorted(kept, v - radius, "left")
+        m = _within(kept, v, _kth(v, kk))
         psi_k += len(v) * digamma(kk)
         psi_n += len(v) * digamma(len(v))
         psi_m += sum(digamma(max(int(c), 1)) for c in m)
@@ -78,6 +77,20 @@ def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
     return one_row(df, {"mutual_information": mi})
 
 
+def _within(values: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``values`` are nearer than ``d`` to each point; the ends are settled by the distance itself."""
+    n = len(values)
+    low, high = np.searchsorted(values, at - d, "left"), np.searchsorted(values, at + d, "right")
+    while True:
+        up = (low < n) & (at - values[np.minimum(low, n - 1)] >= d)
+        down = (low > 0) & (at - values[np.maximum(low - 1, 0)] < d)
+        shrink = (high > 0) & (values[np.maximum(high - 1, 0)] - at >= d)
+        grow = (high < n) & (values[np.minimum(high, n - 1)] - at < d)
+        if not (up | down | shrink | grow).any():
+            return np.maximum(high - low, 0)
+        low, high = low + up - (down & ~up), high - shrink + (grow & ~shrink)
+
+
 def _kth(v: np.ndarray, k: int) -> np.ndarray:
     """Distance of each of the sorted values to its k-th nearest other one."""
     n = len(v)
