@@ -88,3 +88,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     if root not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([root, *([path] if path else [])])
     return df.mapInArrow(function, schema)
+
+
+#: A side of a join is broadcast up to this many narrow rows (keys and a number or two, about 40 MB); beyond, it is shuffled.
+MOST_BROADCAST = 400_000
+
+
+def keyed_side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= most else df

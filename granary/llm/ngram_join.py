@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, materialize, table, text_of
+from granary.llm.common import keyed_side, map_arrow, materialize, table, text_of
 from granary.llm.graph import components
 from granary.llm.shingles import groups, mix, shingle_hashes
 
@@ -183,9 +183,9 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tree
     members = materialize(classes.drop("forest").join(near, "digest"), "candidates")
     sizes = members.groupBy("part").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"))
     sizes = sizes.select("part", F.greatest(F.ceil(F.col("k") / block_classes), F.ceil(F.col("b") / block_bytes)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = materialize(members.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "dealt")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    told = dealt.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("d")) & (F.col("rep.text_hash") == F.col("h")))
+    told = texts.join(keyed_side(dealt), F.col("rep.doc_id").eqNullSafe(F.col("d")) & (F.col("rep.text_hash") == F.col("h")))
     paired = told.select("part", "digest", "n", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     tasks = paired.select(F.concat_ws(":", F.hex("part"), low, high).alias("task"), F.col("own").alias("side"), "digest", F.col("n").alias("weight"), "text", (low != high).alias("cross"))
@@ -207,8 +207,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of least doc_id (ties: by a hash of the text; of repeated rows, one)."""
-    kept = link(docs.select("doc_id", "text")).filter("keeper").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    rows = docs.withColumn("__t", F.xxhash64(text_of()))
-    found = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__d"]) & (rows["__t"] == kept["__h"]))
-    return found.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    """One document of each class: that of least doc_id (ties: by a hash of the text; of repeated rows, one).
+
+    The documents that go, and the few keepers whose row is repeated, are found on keys alone; the texts are shuffled only
+    if those keys are too many to broadcast.
+    """
+    linked = link(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.max("keeper").alias("__keeper"), F.count("*").alias("__n"))
+    marked = materialize(linked.filter("NOT __keeper OR __n > 1"), "marked")
+    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64(text_of())})
+    on = F.col("__i").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h"))
+    kept = rows.join(keyed_side(marked.select("__d", "__h")), on, "left_anti")
+    repeated = materialize(marked.filter("__keeper").select("__d", "__h"), "repeated")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows.join(keyed_side(repeated), on, "left_semi").dropDuplicates(["__i", "__t"]))
+    return kept.select(*docs.columns)
