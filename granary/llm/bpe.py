@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, table
-from granary.llm.tokenize import batches
+from granary.llm.common import batches, map_arrow, slices, table
 
 #: A state row is a word with its tokens; its token positions join the merge table, and each word's pair of minimum
 #: rank, leftmost among equals, is contracted. A word without a pair that merges has come to its fixpoint.
@@ -175,17 +174,15 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _ran(parts: Iterator[pa.RecordBatch], path: str, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
     worker = codec(path, pattern)
-    for part in parts:
-        texts = part.column(1).to_pylist()
-        for a, b in batches(texts):
-            ids = worker.encode(texts[a:b])
-            raw = worker.decode(ids)
-            columns = [part.column(0).slice(a, b - a), pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())]
-            if full:
-                columns += [pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), pa.array(raw, pa.binary())]
-            else:
-                columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids" if full else "ids_sha256", "decoded" if full else "decoded_sha256"])
+    for part in slices(parts, 1):
+        ids = worker.encode(part.column(1).to_pylist())
+        raw = worker.decode(ids)
+        columns = [part.column(0), pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())]
+        if full:
+            columns += [pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), pa.array(raw, pa.binary())]
+        else:
+            columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids" if full else "ids_sha256", "decoded" if full else "decoded_sha256"])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:

@@ -3,47 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.order import range_of
+from granary.functions.storage import materialize, remove, shared_dir, work_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables, read with Spark's own reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is set (tests), a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="granary-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for an intermediate table."""
-    return f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor depend on one executor."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_of(column: str | Column = "text") -> Column:
     """A text, where null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -65,29 +38,73 @@ def range_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 4096
 
 
 def range_bucket(key: str | Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key: two short searches, first over every 64th bound, then within 64."""
-    k = F.col(key) if isinstance(key, str) else key
-    if not bounds:
-        return F.lit(0)
-    step = 64
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    lit = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    if len(rows) == 1:
-        found = F.size(F.filter(lit(bounds), lambda b: b <= k))
-    else:
-        tops, grid = lit([r[0] for r in rows]), F.array(*[lit(r) for r in rows])
-        top = F.size(F.filter(tops, lambda b: b <= k))
-        found = F.when(top == 0, 0).otherwise((top - 1) * step + F.size(F.filter(F.element_at(grid, F.greatest(top, F.lit(1))), lambda b: b <= k)))
-    return F.when(k.isNull(), 0).otherwise(found).cast("int")
+    """Number of bounds at or below the key; 0 for a null key."""
+    return range_of(F.col(key) if isinstance(key, str) else key, bounds)
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package's folder on the workers' path (for a driver that runs it from a checkout)."""
+    """``mapInArrow``, with this package's folder on the workers' path (for a driver that runs it from a checkout).
+
+    Workers wait for the next task after one; what a task has freed goes back to the system first.
+    """
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([root, *([path] if path else [])])
-    return df.mapInArrow(function, schema)
+
+    def run(parts):
+        try:
+            yield from function(parts)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(parts, column: int, most: int = 1 << 20):
+    """Record batches cut to about ``most`` bytes of text in ``column``: strings are made of a slice, not of a batch.
+
+    A longer text stands alone.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for part in parts:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(part.column(column)), 0)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        first = 0
+        while first < part.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1)
+            yield part.slice(first, last - first)
+            first = last
+
+
+def batches(texts: list, most: int):
+    """Ranges of a list of strings of about ``most`` characters each; a longer string stands alone."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and size + n > most:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 #: A side of a join is broadcast up to this many narrow rows (keys and a number or two, about 40 MB); beyond, it is shuffled.

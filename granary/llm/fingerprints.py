@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, range_bounds, range_bucket, table, text_of
+from granary.llm.common import map_arrow, range_bounds, range_bucket, slices, table, text_of
 from granary.llm.shingles import groups, mix, shingle_hashes
 
 BINS, BITS, WORDS = 256, 4, 5
@@ -97,7 +97,7 @@ def _compared(parts: Iterator[pa.RecordBatch], bins: int, bits: int, words: int)
 
     ready: list[tuple] = []
     size = 0
-    for part in parts:
+    for part in slices(parts, 3):
         for range_, role, doc, text in zip(*(part.column(i).to_pylist() for i in range(4))):
             if ahead["range"] != range_:
                 if held:
@@ -112,7 +112,7 @@ def _compared(parts: Iterator[pa.RecordBatch], bins: int, bits: int, words: int)
                 ready.append((*held, text))
                 size += len(text)
             held = (doc, text)
-            if size > 4 << 20:
+            if size > 1 << 20:
                 yield done(ready)
                 ready, size = [], 0
     if held:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, range_bounds, range_bucket, remove, table, work_path
+from granary.llm.common import map_arrow, range_bounds, range_bucket, remove, slices, table, work_path
 
 END, LIMIT, STRIDE = 1, 18, 128
 
@@ -128,14 +128,12 @@ def decode_blocks(sizes: np.ndarray, bits: bytes, n_bits: np.ndarray, marks: np.
 
 
 def _tokenized(parts: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    from granary.llm.tokenize import batches, word_tokenizer
+    from granary.llm.tokenize import word_tokenizer
 
     tokenizer = word_tokenizer(path)
-    for part in parts:
-        docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-        for a, b in batches(texts):
-            ids, sizes = tokenizer.encode(texts[a:b], end)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(sizes, pa.int64()), binaries(ids.astype("<u2" if tokenizer.size <= 65536 else "<u4"), sizes)], names=["doc_id", "n_tokens", "ids"])
+    for part in slices(parts, 1):
+        ids, sizes = tokenizer.encode(part.column(1).to_pylist(), end)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), binaries(ids.astype("<u2" if tokenizer.size <= 65536 else "<u4"), sizes)], names=["doc_id", "n_tokens", "ids"])
 
 
 def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import keyed_side, map_arrow, materialize, table, text_of
+from granary.llm.common import keyed_side, map_arrow, materialize, slices, table, text_of
 from granary.llm.graph import components
 from granary.llm.shingles import groups, mix, shingle_hashes
 
@@ -54,17 +54,16 @@ def forest_keys(hashes: np.ndarray, many: np.ndarray, trees: int, depth: int) ->
 
 
 def _signed(parts: Iterator[pa.RecordBatch], words: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in slices(parts, 2):
         texts = [t.encode() for t in part.column(2).to_pylist()]
-        for a, b in groups(texts):
-            hashes, many = shingle_hashes(b"".join(texts[a:b]), np.array([len(t) for t in texts[a:b]], np.int64), words)
-            cuts = np.concatenate([[0], np.cumsum(many)])
-            digests = [hashlib.blake2b(np.unique(hashes[x:y]).tobytes(), digest_size=16).digest() for x, y in zip(cuts, cuts[1:])]
-            full = np.flatnonzero(many)
-            keys = forest_keys(hashes, many[full], trees, depth).view(np.int64) if len(full) else np.zeros((0, trees), np.int64)
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(many > 0, trees, 0))]).astype(np.int32), keys.reshape(-1))
-            sizes = pa.array([len(t) for t in texts[a:b]], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(digests, pa.binary()), sizes, lists], names=["doc_id", "text_hash", "digest", "bytes", "forest"])
+        hashes, many = shingle_hashes(b"".join(texts), np.array([len(t) for t in texts], np.int64), words)
+        cuts = np.concatenate([[0], np.cumsum(many)])
+        digests = [hashlib.blake2b(np.unique(hashes[x:y]).tobytes(), digest_size=16).digest() for x, y in zip(cuts, cuts[1:])]
+        full = np.flatnonzero(many)
+        keys = forest_keys(hashes, many[full], trees, depth).view(np.int64) if len(full) else np.zeros((0, trees), np.int64)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(many > 0, trees, 0))]).astype(np.int32), keys.reshape(-1))
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), sizes, lists], names=["doc_id", "text_hash", "digest", "bytes", "forest"])
 
 
 def sign(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int = 5) -> DataFrame:
@@ -144,7 +143,7 @@ def _verified(parts: Iterator[pa.RecordBatch], words: int, threshold: float) ->
         return batch
 
     task, rows = None, []
-    for part in parts:
+    for part in slices(parts, 4):
         for key, *row in zip(*(part.column(i).to_pylist() for i in range(6))):
             if key != task:
                 close(rows)

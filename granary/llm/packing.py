@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, table
+from granary.llm.common import map_arrow, slices, table
 
 WINDOW, END = 2048, 1
 
@@ -64,7 +64,7 @@ def _take(counts: dict[int, int], picked: dict[int, int]) -> None:
 def _packed(parts: Iterator[pa.RecordBatch], path: str, window: int, end: int, pool: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    from granary.llm.tokenize import batches, word_tokenizer
+    from granary.llm.tokenize import word_tokenizer
 
     tokenizer, serial = word_tokenizer(path), TaskContext.get().partitionId() << 33
     waiting: dict[int, list[tuple]] = {}
@@ -97,23 +97,21 @@ def _packed(parts: Iterator[pa.RecordBatch], path: str, window: int, end: int, p
         out.clear()
         return batch
 
-    for part in parts:
-        docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-        for a, b in batches(texts):
-            flat, sizes = tokenizer.encode(texts[a:b], end)
-            raw, cuts = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(sizes * 4)]).tolist()
-            for doc, x, y in zip(docs[a:b], cuts, cuts[1:]):
-                ids = raw[x:y]
-                total, whole = len(ids) // 4, len(ids) // (4 * window) * window
-                for start in range(0, whole, window):
-                    place([(doc, start, total, ids[4 * start : 4 * (start + window)])])
-                if total > whole:
-                    waiting.setdefault(total - whole, []).append((doc, whole, total, ids[4 * whole :]))
-                    held += 1
-                if held >= pool:
-                    pack(pool // 2)
-            if out:
-                yield rows()
+    for part in slices(parts, 1):
+        flat, sizes = tokenizer.encode(part.column(1).to_pylist(), end)
+        raw, cuts = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(sizes * 4)]).tolist()
+        for doc, x, y in zip(part.column(0).to_pylist(), cuts, cuts[1:]):
+            ids = raw[x:y]
+            total, whole = len(ids) // 4, len(ids) // (4 * window) * window
+            for start in range(0, whole, window):
+                place([(doc, start, total, ids[4 * start : 4 * (start + window)])])
+            if total > whole:
+                waiting.setdefault(total - whole, []).append((doc, whole, total, ids[4 * whole :]))
+                held += 1
+            if held >= pool:
+                pack(pool // 2)
+        if out:
+            yield rows()
     pack(0)
     if out:
         yield rows()

@@ -102,7 +102,7 @@ def shingle_hashes(raw: bytes, sizes: np.ndarray, words: int = 5) -> tuple[np.nd
     return mix(out), many
 
 
-def groups(texts: list[bytes], most: int = 2 << 20):
+def groups(texts: list[bytes], most: int = 1 << 20):
     """Slices of about ``most`` bytes; a longer text stands alone."""
     first = size = 0
     for i, t in enumerate(texts):

@@ -39,7 +39,7 @@ class WordTokenizer:
     special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,16 +158,3 @@ def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
-
-
-def batches(texts: list, most: int = 2 << 20):
-    """Slices of a list of texts of about ``most`` characters each; a longer text stands alone."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and size + n > most:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
