@@ -45,9 +45,8 @@ def samples(spark: SparkSession) -> DataFrame:
     random = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, F.substr(digest, F.lit(1), F.lit(40))).when(F.col("id") % 3 == 1, plain).otherwise(F.translate(plain, "+/=", "")).alias("string"), F.lit(True).alias("random")
     )
-    stem = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in STEMS])).alias("a"))
-    second = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in STEMS])).alias("b"))
-    pairs = stem.join(second, F.lit(True))  # the fixed list with itself
+    stems, n = F.array(*[F.lit(s) for s in STEMS]), len(STEMS)
+    pairs = spark.range(n * n).select(F.get(stems, F.floor(F.col("id") / n).cast("int")).alias("a"), F.get(stems, (F.col("id") % n).cast("int")).alias("b"))
     styles = F.array(F.concat("a", "b"), F.concat_ws("_", "a", "b"), F.concat_ws("-", "a", "b"), F.concat("a", F.initcap("b")), F.concat(F.upper("a"), F.lit("_"), F.upper("b")), F.concat("a", F.lit("/"), "b"), F.concat("a", F.lit("_2024")))
     return random.unionByName(pairs.select(F.explode(styles).alias("string"), F.lit(False).alias("random")))
 
