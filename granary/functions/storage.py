@@ -1,9 +1,11 @@
-"""The folder that all executors share, and tables written there to cut lineage."""
+"""The folder that all executors share, tables written there to cut lineage, and the workers' path."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,14 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def on_workers_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder that the driver runs it from, if they see that folder.
+
+    On a cluster the package is installed on the executors and this changes nothing.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, *([path] if path else [])])

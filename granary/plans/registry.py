@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.functions.storage import on_workers_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -23,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    on_workers_path(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
