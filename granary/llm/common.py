@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.order import range_of
-from granary.functions.storage import materialize, remove, shared_dir, work_path  # noqa: F401
+from granary.functions.storage import materialize, on_workers_path, remove, shared_dir, work_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +40,8 @@ def range_bucket(key: str | Column, bounds: list[int]) -> Column:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package's folder on the workers' path (for a driver that runs it from a checkout).
-
-    Workers wait for the next task after one; what a task has freed goes back to the system first.
-    """
-    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join([root, *([path] if path else [])])
+    """``mapInArrow`` whose workers find this package, and give what a task has freed back to the system after it."""
+    on_workers_path(df.sparkSession)
 
     def run(parts):
         try:
