@@ -73,3 +73,32 @@ def with_rank(df: DataFrame, column: str, name: str, kind: str = "average") -> D
         rank = (F.col("below") + F.col("n")) / F.lit(max(total, 1))
     found = ranks.select(F.col("value").alias("__value"), rank.cast("double").alias(name))
     return df.join(found, F.col(column) == F.col("__value"), "left").drop("__value")
+
+
+#: Up to so many rows a column's exact quantiles come from one aggregate, which holds its distinct values in one task.
+MOST_IN_ONE_TASK = 5_000_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float], most: int = MOST_IN_ONE_TASK) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of columns, nulls left out; None for a column without values.
+
+    Beyond ``most`` rows they are read off the distributed table of distinct values with their ranks: the same values,
+    without a task that holds a column.
+    """
+    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    counts = doubles.agg(*[F.count(f"c{i}") for i in range(len(cols))]).first()
+    if max(counts, default=0) <= most:
+        at = F.array(*[F.lit(float(q)) for q in shares])
+        got = doubles.agg(*[F.percentile(f"c{i}", at) for i in range(len(cols))]).first()
+        return {c: list(got[i]) if got[i] is not None else [None] * len(shares) for i, c in enumerate(cols)}
+    out = {}
+    for i, c in enumerate(cols):
+        n = counts[i]
+        places = [q * (n - 1) for q in shares]
+        needed = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places}) if n else []
+        ranks = value_ranks(doubles.select(f"c{i}"), f"c{i}")
+        hit = F.filter(F.array(*[F.lit(k).cast("long") for k in needed]), lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n")))
+        rows = ranks.withColumn("hit", hit).filter(F.size("hit") > 0).select("value", F.explode("hit").alias("k")).collect() if n else []
+        value = {r.k: r.value for r in rows}
+        out[c] = [value[int(p)] + (p - int(p)) * (value[min(int(p) + 1, n - 1)] - value[int(p)]) if n else None for p in places]
+    return out

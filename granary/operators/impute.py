@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
+from granary.functions.order import exact_quantiles
 
 
 def null_ratio(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -49,10 +50,14 @@ class SimpleImputer:
         if self.strategy not in STATISTICS:
             raise ValueError(f"unknown strategy {self.strategy!r}")
         numeric(df, list(self.continuous))
-        aggregates = [STATISTICS[self.strategy](c).alias(f"v{i}") for i, c in enumerate(self.continuous)]
-        aggregates += [STATISTICS["mode"](c).alias(f"w{i}") for i, c in enumerate(self.categorical)]
-        got = df.agg(*aggregates).first()
-        return StatisticModel({c: got[f"v{i}"] for i, c in enumerate(self.continuous)} | {c: got[f"w{i}"] for i, c in enumerate(self.categorical)})
+        one = "mode" if self.strategy == "median" else self.strategy
+        aggregated = {c: STATISTICS["mode"] for c in self.categorical} | {c: STATISTICS[one] for c in self.continuous if self.strategy != "median"}
+        values = {}
+        if aggregated:
+            values = dict(zip(aggregated, df.agg(*[f(c) for c, f in aggregated.items()]).first()))
+        if self.strategy == "median" and self.continuous:
+            values |= {c: q[0] for c, q in exact_quantiles(df, list(self.continuous), [0.5]).items()}
+        return StatisticModel(values)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -183,8 +188,7 @@ class Winsorizer:
         cols = numeric(df, list(self.continuous))
         bounds = {}
         if cols:
-            got = df.agg(*[F.percentile(c, F.array(F.lit(self.percentile), F.lit(1 - self.percentile))).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-            bounds = {c: tuple(got[f"q{i}"]) for i, c in enumerate(cols)}
+            bounds = {c: tuple(q) for c, q in exact_quantiles(df, cols, [self.percentile, 1 - self.percentile]).items()}
         kept = {}
         for c in self.categorical:
             n = df.agg(F.count("*")).first()[0]

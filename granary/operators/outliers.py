@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
 from granary.functions.distributions import chi2_isf
+from granary.functions.order import exact_quantiles
 
 
 @dataclass
@@ -42,11 +43,11 @@ def fit_limits(df: DataFrame, column: str, method: str = "z", threshold: float =
         t = 3.0 if method == "std" else threshold
         return LimitModel(column, m - t * s, m + t * s)
     if method == "robust":
-        m = df.agg(F.median(x)).first()[0]
-        mad = df.agg(F.median(F.abs(x - F.lit(m)))).first()[0]
+        m = exact_quantiles(df, [column], [0.5])[column][0]
+        mad = exact_quantiles(df.select(F.abs(x - F.lit(m)).alias("gap")), ["gap"], [0.5])["gap"][0]
         return LimitModel(column, m - threshold * mad / const, m + threshold * mad / const)
     if method == "iqr":
-        q1, q3 = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+        q1, q3 = exact_quantiles(df, [column], [0.25, 0.75])[column]
         return LimitModel(column, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     raise ValueError(f"unknown method {method!r}")
 
@@ -135,7 +136,7 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], k: int = 20,
 
 
 def above_quantile(scores: DataFrame, column: str, q: float = 0.95) -> DataFrame:
-    cut = scores.agg(F.percentile(column, F.lit(q))).first()[0]
+    cut = exact_quantiles(scores, [column], [q])[column][0]
     return scores.filter(F.col(column) > F.lit(cut))
 
 

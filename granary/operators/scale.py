@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
 from granary.functions.distributions import normal_ppf
-from granary.functions.order import value_ranks
+from granary.functions.order import exact_quantiles, value_ranks
+from granary.functions.storage import materialize
 
 
 @dataclass
@@ -28,12 +29,7 @@ class ScalerModel:
         return df.withColumns({c: F.col(c) * F.lit(self.scale[c]) + F.lit(m) for c, m in self.center.items()})
 
 
-#: Center and spread of each kind of scaler.
-KINDS = {
-    "standard": (lambda c: F.avg(c), lambda c: F.stddev_pop(c)),
-    "minmax": (lambda c: F.min(c), lambda c: F.max(c) - F.min(c)),
-    "robust": (lambda c: F.median(c), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-}
+KINDS = ("standard", "minmax", "robust")
 
 
 @dataclass
@@ -48,11 +44,16 @@ class Scaler:
             raise ValueError(f"unknown kind {self.kind!r}")
 
     def fit(self, df: DataFrame) -> ScalerModel:
-        center, spread = KINDS[self.kind]
         cols = numeric(df, self.cols)
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        got = doubles.agg(*[center(c).alias(f"m{i}") for i, c in enumerate(cols)], *[spread(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-        return ScalerModel({c: got[f"m{i}"] for i, c in enumerate(cols)}, {c: got[f"s{i}"] for i, c in enumerate(cols)})
+        if self.kind == "robust":
+            found = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+            return ScalerModel({c: q[1] for c, q in found.items()}, {c: None if q[0] is None else q[2] - q[0] for c, q in found.items()})
+        pair = (F.avg, F.stddev_pop) if self.kind == "standard" else (F.min, F.max)
+        got = df.agg(*[f(F.col(c).cast("double")) for c in cols for f in pair]).first()
+        center, other = dict(zip(cols, got[::2])), dict(zip(cols, got[1::2]))
+        if self.kind == "minmax":
+            other = {c: None if v is None else v - center[c] for c, v in other.items()}
+        return ScalerModel(center, other)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -118,9 +119,9 @@ class QuantileTransformer:
     def fit(self, df: DataFrame) -> QuantileModel:
         tables, totals, ends = {}, {}, {}
         for c in numeric(df, self.cols):
-            tables[c] = value_ranks(df, c)
-            totals[c] = df.agg(F.count(c)).first()[0]
-            first, second = tables[c].agg(F.min(F.col("below") + F.col("n")), F.max("below")).first()
+            tables[c] = materialize(value_ranks(df, c), "quantiles")  # it is read several times
+            first, second, total = tables[c].agg(F.min(F.col("below") + F.col("n")), F.max("below"), F.sum("n")).first()
+            totals[c] = total or 0
             n = max(totals[c], 1)
             ends[c] = (normal_ppf((first or 0) / n), normal_ppf((second or 0) / n))
             if math.isinf(ends[c][0]) or math.isinf(ends[c][1]):

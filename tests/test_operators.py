@@ -57,6 +57,17 @@ def test_order_in_ranges(spark, monkeypatch):
     assert all(v is None or ecdf[i] == sum(x <= v for x in known) / len(known) for i, v in enumerate(values))
 
 
+def test_quantiles_are_the_same_either_way(spark):
+    rng = random.Random(4)
+    values = [rng.choice([None, rng.random(), 0.5]) for _ in range(301)]
+    df = spark.createDataFrame([(v, None) for v in values], "v double, w double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    known = [v for v in values if v is not None]
+    for most in (10, 1000):
+        got = order.exact_quantiles(df, ["v", "w"], shares, most)
+        assert got["v"] == pytest.approx(np.quantile(known, shares).tolist()) and got["w"] == [None] * 6
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1, "a", math.nan)], "i int, s string, x double")
     with pytest.raises(TypeError):
