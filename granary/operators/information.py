@@ -18,7 +18,7 @@ def entropy(df: DataFrame, *cols: str, base: float = 2.0) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg((-F.sum(p * F.ln(p)) / F.ln(F.lit(base))).alias("entropy"))
 
 
-def discrete(df: DataFrame, x: str, y: str) -> DataFrame:
+def of_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: mutual information of two discrete columns in nats, and half the G statistic over n (the same number)."""
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
     cells = cells.join(cells.groupBy("x").agg(F.sum("n").alias("nx")), "x").join(cells.groupBy("y").agg(F.sum("n").alias("ny")), "y")
@@ -115,3 +115,21 @@ def continuous_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3) -
     n = sum(r["count"] for r in got)
     mean = sum(r["count"] * (digamma(r["nx"] + 1) + digamma(r["ny"] + 1)) for r in got) / max(n, 1)
     return one_row(df, {"mutual_information": max(0.0, digamma(n) + digamma(k) - mean) if n else 0.0})
+
+
+def mutual_information(df: DataFrame, key: str, features: list[str], y: str, discrete: list[str] = (), target_discrete: bool = False, k: int = 3) -> DataFrame:
+    """(feature, mutual_information) of each feature with ``y``, by the estimate that fits the two kinds of columns."""
+    values = []
+    for f in features:
+        if f in discrete and target_discrete:
+            one = of_counts(df, f, y)
+        elif f in discrete:
+            one = continuous_discrete(df, y, f, k)
+        elif target_discrete:
+            one = continuous_discrete(df, f, y, k)
+        else:
+            one = continuous_continuous(df, key, f, y, k)
+        values.append((f, float(one.first()[0])))
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("mutual_information")) for f, v in values])
+    return df.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def histogram(df: DataFrame, c: str, n: int = 20) -> DataFrame:
     return every.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("bin") * width + float(lo)).alias("low"), ((F.col("bin") + 1) * width + float(lo)).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def kde(df: DataFrame, c: str, points: list[float], bandwidth: float | None = None) -> DataFrame:
+    """(at, density): a Gaussian kernel estimate at given points, one aggregate each; Scott's bandwidth if none is given."""
+    x = F.col(numeric(df, [c])[0]).cast("double")
+    if bandwidth is None:
+        n, sd = df.agg(F.count(x), F.stddev_samp(x)).first()
+        bandwidth = sd * n ** (-1 / 5)
+    scale = bandwidth * math.sqrt(2 * math.pi)
+    sums = df.agg(*[(F.avg(F.exp(F.pow((x - F.lit(float(p))) / F.lit(float(bandwidth)), 2) * -0.5)) / scale).alias(f"d{i}") for i, p in enumerate(points)])
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("at"), F.col(f"d{i}").alias("density")) for i, p in enumerate(points)])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def five_numbers(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum, in groups of ``by`` if given."""
     q = lambda p: F.percentile(c, F.lit(p))

@@ -213,6 +213,20 @@ def random_search(evaluation: Evaluation, features: list[str], space: dict[str,
     return evaluation.rows.sparkSession.createDataFrame(rows, "trial int, params string, train_score double, valid_score double").orderBy(F.desc("valid_score"), "trial")
 
 
+def components_curve(evaluation: Evaluation, features: list[str], ks: list[int]) -> DataFrame:
+    """(k, train_score, valid_score) of the first k principal components; components come from all rows' covariance."""
+    from dataclasses import replace
+
+    from granary.operators.reduce import fit_pca
+
+    rows = []
+    for k in ks:
+        scored = fit_pca(evaluation.rows, features, k).transform(evaluation.rows, "pc")
+        train, valid = replace(evaluation, rows=scored, scores={}).both([f"pc{i}" for i in range(k)])
+        rows.append((k, float(train), float(valid)))
+    return evaluation.rows.sparkSession.createDataFrame(rows, "k int, train_score double, valid_score double")
+
+
 def selection_accuracy(chosen: list[str], truth: list[str], features: list[str]) -> float:
     """Share of features on which the choice and the truth agree."""
     return sum((f in chosen) == (f in truth) for f in features) / len(features)

@@ -132,7 +132,7 @@ def spearman(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
 
 
 def hoeffding(df: DataFrame, key: str, x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """Hoeffding's D over all pairs of rows; ``bound`` depends on n and alpha only."""
+    """Hoeffding's D over all pairs of rows; ``bound``, meant for ten rows at most, depends on n and alpha only."""
     half = lambda a, b: F.when(a > b, 1.0).when(a == b, 0.5).otherwise(0.0)
     one = df.select(F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
     two = df.select(F.col(x).alias("xj"), F.col(y).alias("yj"))
@@ -145,7 +145,8 @@ def hoeffding(df: DataFrame, key: str, x: str, y: str, alpha: float = 0.05) -> D
     n = c("n")
     d = 30 * ((n - 2) * (n - 3) * c("d1") + c("d2") - 2 * (n - 2) * c("d3")) / F.nullif(n * (n - 1) * (n - 2) * (n - 3) * (n - 4), F.lit(0.0))
     out = sums.select(n, d.alias("hoeffding_d"))
-    return out.select("hoeffding_d", ((n - 1) * math.pi**4 * c("hoeffding_d") / 60 + math.pi**4 / 72).alias("test_statistic"))
+    bound = F.sqrt(2 * (n * n + 5 * n - 32) / F.nullif(9 * n * (n - 1) * (n - 3) * (n - 4) * alpha, F.lit(0.0)))
+    return out.select("hoeffding_d", ((n - 1) * math.pi**4 * c("hoeffding_d") / 60 + math.pi**4 / 72).alias("test_statistic"), bound.alias("bound"))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> np.ndarray:

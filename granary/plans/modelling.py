@@ -210,6 +210,11 @@ def random_search(spark, folder):
 _B = [0.5, -2.0]
 
 
+@query("components_curve")
+def components_curve(spark, folder):
+    return rounded(select.components_curve(evaluation(spark, folder), _FEATURES, [1, 2, 3]))
+
+
 @query("shap_linear", f"WITH m AS (SELECT avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem) SELECT {', '.join(_KEY)}, round({_B[0]} * (l_quantity - a), 6) + 0.0 AS shap_l_quantity, round({_B[1]} * (l_discount - b), 6) + 0.0 AS shap_l_discount FROM lineitem, m")
 def shap_linear(spark, folder):
     return rounded(explain.linear_shap(load(spark, folder, "lineitem"), ["l_quantity", "l_discount"], _B).select(*_KEY, "shap_l_quantity", "shap_l_discount"))

@@ -97,7 +97,7 @@ _H = "(CASE WHEN {0}.{2} > {1}.{2} THEN 1.0 WHEN {0}.{2} = {1}.{2} THEN 0.5 ELSE
     q AS (SELECT a.k, 0.75 + sum({_H.format('a', 'b', 'x')} * {_H.format('a', 'b', 'y')}) AS q, 0.5 + sum({_H.format('a', 'b', 'x')}) AS r, 0.5 + sum({_H.format('a', 'b', 'y')}) AS s FROM s a, s b GROUP BY a.k),
     d AS (SELECT count(*)::DOUBLE AS n, sum((q - 1) * (q - 2)) AS d1, sum((r - 1) * (r - 2) * (s - 1) * (s - 2)) AS d2, sum((r - 2) * (s - 2) * (q - 1)) AS d3 FROM q),
     h AS (SELECT n, 30 * ((n - 2) * (n - 3) * d1 + d2 - 2 * (n - 2) * d3) / (n * (n - 1) * (n - 2) * (n - 3) * (n - 4)) AS h FROM d)
-    SELECT round(h, 6) + 0.0 AS hoeffding_d, round((n - 1) * pow(pi(), 4) * h / 60 + pow(pi(), 4) / 72, 6) AS test_statistic FROM h""",
+    SELECT round(h, 6) + 0.0 AS hoeffding_d, round((n - 1) * pow(pi(), 4) * h / 60 + pow(pi(), 4) / 72, 6) AS test_statistic, round(sqrt(2 * (n * n + 5 * n - 32) / (9 * n * (n - 1) * (n - 3) * (n - 4) * 0.05)), 6) AS bound FROM h""",
 )
 def hoeffding(spark, folder):
     return rounded(stats.hoeffding(load(spark, folder, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey"))
@@ -143,7 +143,7 @@ def variance_threshold(spark, folder):
 
 @query("mutual_information_discrete", "WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM c) SELECT round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 AS mutual_information FROM m")
 def mutual_information_discrete(spark, folder):
-    return rounded(information.discrete(load(spark, folder, "lineitem"), "l_returnflag", "l_linestatus"))
+    return rounded(information.of_counts(load(spark, folder, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
 @query("entropy", "SELECT round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY o_orderpriority, o_orderstatus)")
@@ -223,3 +223,15 @@ def confusion_matrix(spark, folder):
 @query("multilabel_confusion", f"WITH g AS ({_GUESS}), l AS (SELECT y AS label FROM g UNION SELECT p FROM g) SELECT label, CAST(sum((y = label AND p = label)::INT) AS BIGINT) AS tp, CAST(sum((y <> label AND p = label)::INT) AS BIGINT) AS fp, CAST(sum((y = label AND p <> label)::INT) AS BIGINT) AS fn, CAST(sum((y <> label AND p <> label)::INT) AS BIGINT) AS tn FROM g, l GROUP BY label")
 def multilabel_confusion(spark, folder):
     return metrics.multilabel_confusion(guesses(spark, folder), "y", "p")
+
+
+@query("mutual_information_mixed")
+def mutual_information_mixed(spark, folder):
+    rows = load(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    return rounded(information.mutual_information(rows, "c_custkey", ["c_acctbal", "nation"], "c_mktsegment", discrete=["nation"], target_discrete=True))
+
+
+@query("kde", "WITH p AS (SELECT unnest([0.0, 5000.0, 10000.0])::DOUBLE AS place) SELECT place, round(avg(exp(-0.5 * pow((c_acctbal - place) / 500, 2))) / (500 * sqrt(2 * pi())) * 1e6, 4) AS density FROM customer, p GROUP BY place")
+def kde(spark, folder):
+    out = metrics.kde(load(spark, folder, "customer"), "c_acctbal", [0.0, 5000.0, 10000.0], 500.0)
+    return rounded(out.select(F.col("at").alias("place"), (F.col("density") * 1e6).alias("density")), 4)
