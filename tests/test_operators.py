@@ -57,6 +57,14 @@ def test_order_in_ranges(spark, monkeypatch):
     assert all(v is None or ecdf[i] == sum(x <= v for x in known) / len(known) for i, v in enumerate(values))
 
 
+@pytest.mark.parametrize("bounds", [[], [5], list(range(0, 900, 7)), [1 << 60, (1 << 60) + 1], list(range(0, 448, 7))])
+def test_range_of_a_key(spark, bounds):
+    keys = [-1, 0, 5, 6, 7, 448, 449, 895, 896, 10_000, 1 << 60, (1 << 60) + 1, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [r.r for r in df.select(order.range_of(F.col("k"), bounds).alias("r")).collect()]
+    assert got == [0 if k is None else sum(b <= k for b in bounds) for k in keys]
+
+
 def test_quantiles_are_the_same_either_way(spark):
     rng = random.Random(4)
     values = [rng.choice([None, rng.random(), 0.5]) for _ in range(301)]
