@@ -52,13 +52,15 @@ def histogram_matrix(df: DataFrame, cols: list[str], n: int = 5, normalized: boo
     return joined.select("a", "b", (mi / F.nullif(F.sqrt(F.col("hx") * F.col("hy")), F.lit(0.0)) if normalized else mi).alias("mutual_information"))
 
 
-def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
+def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3, most: int = 2_000_000) -> DataFrame:
     """Ross's estimate for a continuous x and a discrete y, in nats.
 
     The k-th neighbour of a row within its class, and the rows of all classes within that radius, come from sorted
-    values; classes of one row are left out. The driver gets the two columns, as the estimate is for bounded samples.
+    values; classes of one row are left out. The driver gets the two columns: more than ``most`` rows raise ValueError.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("string").alias("y"))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"this estimate takes at most {most} rows")
     found = {}
     for r in rows.groupBy("y").agg(F.sort_array(F.collect_list("x")).alias("v")).collect():
         v = np.array(r.v)
