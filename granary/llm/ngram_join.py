@@ -194,8 +194,9 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tree
     joined = components(verified.filter("digest != root"), "digest", "root").select(F.col("node").alias("digest"), F.col("label").alias("group"))
     links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
     own = classes.select("digest", "n", "rep", "least").join(joined, "digest", "left").join(links, "digest", "left")
-    own = own.withColumn("group", F.coalesce("group", "digest"))
-    group = own.groupBy("group").agg(F.min("least").alias("class_id"), F.min("rep").alias("keeper"))
+    own = materialize(own.withColumn("group", F.coalesce("group", "digest")), "classes")
+    # a table of its own, so that the join below can split a hot group, which an aggregation beside it could not
+    group = materialize(own.groupBy("group").agg(F.min("least").alias("class_id"), F.min("rep").alias("keeper")), "groups")
     resolved = own.join(group, "group").select("digest", "class_id", "keeper", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     keeps = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
     return signed.select("doc_id", "text_hash", "digest").join(resolved, "digest").select("doc_id", "text_hash", "digest", "class_id", "n_links", keeps.alias("keeper"))
