@@ -39,9 +39,19 @@ def range_bucket(key: str | Column, bounds: list[int]) -> Column:
     return range_of(F.col(key) if isinstance(key, str) else key, bounds)
 
 
+ROWS_PER_BATCH, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package, and give what a task has freed back to the system after it."""
-    on_workers_path(df.sparkSession)
+    """``mapInArrow`` whose workers find this package, and give what a task has freed back to the system after it.
+
+    Whole texts are long rows: the session's Arrow batches are lowered to ``ROWS_PER_BATCH`` rows if they are larger, since
+    both sides hold a batch or two per task.
+    """
+    spark = df.sparkSession
+    on_workers_path(spark)
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
 
     def run(parts):
         try:
