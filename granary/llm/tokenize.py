@@ -150,11 +150,11 @@ class WordTokenizer:
         return ids, sizes + len(tail)
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def word_tokenizer(path: str, most: int = 600_000) -> WordTokenizer:
+    """One per worker process, file and size of memory."""
+    if (path, most) not in _loaded:
+        _loaded[path, most] = WordTokenizer(path, most)
+    return _loaded[path, most]
