@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import table, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
+SPANS = "array<struct<start:int,rank:int,end:int,match:string>>"
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The shortest length stands in the pattern: a shorter run has no longer match inside it.
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
@@ -25,6 +26,10 @@ SIDE = len(ALPHABET) + 1
 THRESHOLD = 0.35
 #: Rulers and padding are no secrets: a candidate has at least this many different characters.
 DISTINCT = 8
+#: Inside a run, a stretch ends where its sum of ratios above the threshold has fallen by so many nats from its top.
+DROP = 10.0
+#: A stretch from so many characters on counts: chance makes the ends of a random string look ordinary.
+SHORTEST, LEAST = 16, 20
 
 #: Labelled sample of ordinary identifiers: these stems, alone and in pairs in the usual styles.
 STEMS = (
@@ -77,16 +82,70 @@ def fit(labelled: DataFrame, most: int = 200_000) -> list[float]:
     return table_
 
 
-def score(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's pairs of characters; positive: rather random."""
+def ratios_of(token: Column, ratios: list[float]) -> Column:
+    """The log-likelihood ratios of a token's pairs of characters, in order."""
     grid = F.array(*[F.lit(x) for x in ratios])
     places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), place)
+    paired = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * SIDE + b)
+    return F.transform(F.element_at(F.transform(F.array(places), paired), 1), lambda i: F.get(grid, i))
+
+
+def mean(values: Column) -> Column:
+    """Mean log-likelihood ratio; positive: rather random."""
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(values), F.lit(1))
+
+
+def score(token: Column, ratios: list[float]) -> Column:
+    """Mean log-likelihood ratio of a token's pairs of characters."""
+    return F.element_at(F.transform(F.array(ratios_of(token, ratios)), mean), 1)
+
+
+def stretches(values: Column, threshold: float) -> Column:
+    """Array of (first, end), 0-based characters, of the stretches of a run whose mean exceeds ``threshold``.
+
+    One pass over the run's ratios less the threshold: a stretch goes from where the sum was last zero to the sum's top, and
+    is closed where the sum is no longer positive or has fallen by :data:`DROP`. Stretches of :data:`SHORTEST` characters or
+    more are widened to :data:`LEAST`, to the side that scores higher, and judged by their own mean.
+    """
+    empty = F.array().cast("array<struct<first:int,end:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), empty.alias("found"))
+
+    def closed(s):
+        return F.when(s["last"] - s["first"] + 1 >= SHORTEST, F.concat(s["found"], F.array(F.struct(s["first"].alias("first"), (s["last"] + 1).alias("end"))))).otherwise(s["found"])
+
+    def added(s, x):
+        total = s["sum"] + x - F.lit(threshold)
+        return F.struct((s["at"] + 1).alias("at"), s["first"].alias("first"), F.when(total > s["top"], s["at"] + 1).otherwise(s["last"]).alias("last"), total.alias("sum"), F.greatest(total, s["top"]).alias("top"), s["found"].alias("found"))
 
-    def total(p):
-        pairs = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * SIDE + b)
-        return F.aggregate(F.transform(pairs, lambda i: F.get(grid, i)), F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(p) - 1, F.lit(1))
+    def settled(s):
+        fresh = F.struct(s["at"].alias("at"), s["at"].alias("first"), s["at"].alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), closed(s).alias("found"))
+        return F.when((s["sum"] <= 0) | (s["top"] - s["sum"] > DROP), fresh).otherwise(s)
 
-    return F.element_at(F.transform(F.array(places), total), 1)
+    step = lambda s, x: F.element_at(F.transform(F.array(added(s, x)), settled), 1)
+    n = F.size(values) + 1
+
+    def widened(w):
+        short = F.greatest(LEAST - (w["end"] - w["first"]), F.lit(0))
+        begin, end = F.greatest(w["first"] - short, F.lit(0)), F.least(w["end"] + short, n)
+        left = F.struct(begin.alias("first"), F.greatest(w["end"], begin + LEAST).alias("end"))
+        right = F.struct(F.least(w["first"], end - LEAST).alias("first"), end.alias("end"))
+        judged = F.transform(F.array(left, right), lambda v: F.struct(mean(F.slice(values, v["first"] + 1, v["end"] - v["first"] - 1)).alias("mean"), v["first"].alias("first"), v["end"].alias("end")))
+        return F.array_max(judged)
+
+    wide = F.filter(F.transform(F.aggregate(values, start, step, closed), widened), lambda w: w["mean"] > threshold)
+    return F.transform(wide, lambda w: F.struct(w["first"].alias("first"), w["end"].alias("end")))
+
+
+def random_in(run: Column, ratios: list[float], threshold: float) -> Column:
+    """What is random in a span of a run of token characters, as array of spans: the run if it is as a whole, or its stretches."""
+    varied = lambda m: F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT
+
+    def judged(values):
+        part = lambda w: F.struct((run["start"] + w["first"]).alias("start"), run["rank"].alias("rank"), (run["start"] + w["end"]).alias("end"), F.substr(run["match"], w["first"] + 1, w["end"] - w["first"]).alias("match"))
+        return F.when(mean(values) > threshold, F.array(run)).otherwise(F.filter(F.transform(stretches(values, threshold), part), lambda s: varied(s["match"])))
+
+    found = F.element_at(F.transform(F.array(ratios_of(run["match"], ratios)), judged), 1)
+    return F.when(varied(run["match"]), found).otherwise(F.array().cast(SPANS))
 
 
 def find(text: Column, pattern: str, kind: str) -> Column:
@@ -94,7 +153,7 @@ def find(text: Column, pattern: str, kind: str) -> Column:
 
     The matches and the gaps between them come from two passes of the same pattern; a running sum gives the places.
     """
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,match:string>>")
+    empty = F.array().cast(SPANS)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), lambda h, g: F.struct(F.length(g).alias("gap"), h.alias("match")))
@@ -113,12 +172,26 @@ def find(text: Column, pattern: str, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), located).otherwise(empty)
 
 
+def blanked(text: Column, spans: str) -> Column:
+    """``text`` with a blank for each character that ``spans`` cover, so that all places stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s, x):
+        gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blanks).alias("out"))
+
+    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: arrays of (start, rank, end, match) by start, then rank (:data:`KINDS`).
 
-    ``base_spans`` are the matches of the fixed patterns; ``spans`` adds runs of 20 or more token characters that the
-    models call random, that have 8 different characters and that touch no base span. One narrow projection; null text counts as empty; columns of
-    these two ``names`` are replaced, others stay.
+    ``base_spans`` are the matches of the fixed patterns; ``spans`` adds what the models call random in runs of 20 or more
+    token characters that base spans leave: the run if its mean exceeds ``threshold``, else those of its stretches whose
+    mean does, so that a path or name around a secret does not hide it. Both have 8 different characters or more. One
+    narrow projection; null text counts as empty; columns of these two ``names`` are replaced, others stay.
     """
     base_name, all_name = names
     if ratios is None:
@@ -128,7 +201,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text",
     assign = F.filter(find(t, ASSIGN, "assign"), lambda s: F.length(value(s["match"])) >= 8)
     base = F.array_sort(F.concat(assign, find(t, ACCESS, "access"), find(t, HEX, "hex")))
     first = docs.withColumn(base_name, base)
-    likely = F.filter(find(t, CANDIDATE, "markov"), lambda s: ~F.exists(base_name, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (F.size(F.array_distinct(F.split(s["match"], ""))) >= DISTINCT) & (score(s["match"], ratios) > threshold))
+    runs = F.element_at(F.transform(F.array(blanked(t, base_name)), lambda x: find(x, CANDIDATE, "markov")), 1)
+    likely = F.flatten(F.transform(runs, lambda r: random_in(r, ratios, threshold)))
     return first.withColumn(all_name, F.array_sort(F.concat(base_name, likely)))
 
 
