@@ -184,16 +184,19 @@ class IsolationForestModel:
         return self.score_samples(df).withColumn("is_outlier", (F.col("anomaly_score") >= self.threshold).cast("int"))
 
 
-def fit_isolation_forest(df: DataFrame, cols: list[str], threshold: float = 0.5, n_estimators: int = 100, max_samples: int = 256, max_features: int | str | None = None, bootstrap: bool = True, seed: int = 17) -> IsolationForestModel:
+def fit_isolation_forest(df: DataFrame, cols: list[str], threshold: float = 0.5, n_estimators: int = 100, max_samples: int = 256, max_features: int | str | None = None, bootstrap: bool = True, seed: int = 17, key: list[str] | None = None) -> IsolationForestModel:
     """Trees on samples of ``max_samples`` rows; of ten random cuts per feature, the most unbalanced is taken.
 
-    The driver gets at most n_estimators * max_samples sampled rows, a bound that does not grow with the data.
+    The driver gets at most n_estimators * max_samples sampled rows, a bound that does not grow with the data. They are the
+    first by a hash of the columns ``key``, which tell rows apart, or without them by a seeded random number per row, so
+    that repeated values enter in proportion; only with ``key`` is the sample the same however the table is partitioned.
     """
     n = df.count()
     m = {None: len(cols), "sqrt": max(1, int(math.sqrt(len(cols)))), "log2": max(1, int(math.log2(len(cols))))}.get(max_features, max_features)
     rng = random.Random(seed)
     want = min(n, n_estimators * max_samples)
-    wide = df.select(*[F.col(c).cast("double") for c in numeric(df, cols)]).withColumn("__h", F.xxhash64(F.lit(seed), *cols))
+    place = F.xxhash64(F.lit(seed), *key) if key else F.rand(seed)
+    wide = df.select(*[F.col(c).cast("double") for c in numeric(df, cols)], place.alias("__h"))
     pool = np.array([r[:-1] for r in wide.orderBy("__h", *cols).limit(want).collect()], float).reshape(-1, len(cols))
 
     def grow(x: np.ndarray, depth: int, nodes: list) -> int:

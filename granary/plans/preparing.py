@@ -262,7 +262,7 @@ _lof("outliers_lof_reach", True)
 @query("outliers_isolation_forest")
 def outliers_isolation_forest(spark, folder):
     rows = items(spark, folder)
-    return rounded(outliers.fit_isolation_forest(rows, ["l_quantity", "l_extendedprice"], n_estimators=20).predict(rows).select(*KEY, "anomaly_score", "is_outlier"))
+    return rounded(outliers.fit_isolation_forest(rows, ["l_quantity", "l_extendedprice"], n_estimators=20, key=KEY).predict(rows).select(*KEY, "anomaly_score", "is_outlier"))
 
 
 @query("ordinal_encode", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS priority FROM orders")

@@ -140,6 +140,14 @@ def test_isolation_forest_finds_a_far_point(spark):
     assert abs(outliers.path_constant(256) - 10.2448) < 1e-3
 
 
+def test_isolation_forest_samples_rows_not_values(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0).alias("x"))
+    for key in (["id"], None):
+        trees = outliers.fit_isolation_forest(df, ["x"], n_estimators=20, max_samples=16, key=key).trees
+        low = [t[t[0][2]][4] if t[0][0] >= 0 else 0 for t in trees]
+        assert abs(sum(low) / (20 * 16) - 1 / 3) < 0.12
+
+
 def test_statistics_of_toy_data(spark):
     df = spark.createDataFrame([(1, 2.3), (1, 2.1), (1, 2.5), (2, 3.2), (2, 3.0), (2, 3.4), (3, 1.8), (3, 1.9), (3, 2.0)], "g int, y double")
     got = stats.anova(df, "g", "y").first()
