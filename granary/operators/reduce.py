@@ -170,8 +170,8 @@ def _kernel(a: np.ndarray, b: np.ndarray, kind: str, gamma: float, degree: int)
 
 
 def fit_kernel_pca(df: DataFrame, key: str, cols: list[str], k: int = 5, kernel: str = "linear", gamma: float | None = None, degree: int = 3, most: int = 3000) -> KernelPCAModel:
-    """On at most ``most`` landmark rows, the first by a hash of the key; other rows are scored against them."""
-    _, x = _bounded(df.orderBy(F.xxhash64(key)).limit(most), key, cols, most)
+    """On all rows of ``df``, at most ``most``; they are the landmarks that other rows are scored against."""
+    _, x = _bounded(df, key, cols, most)
     gamma = gamma or 1 / len(cols)
     gram = _kernel(x, x, kernel, gamma, degree)
     means, mean = gram.mean(0), gram.mean()

@@ -218,6 +218,13 @@ def test_reductions(spark):
         reduce.tsne(df, "id", cols, most=10)
 
 
+def test_kernel_pca_drops_no_rows(spark):
+    df = generators.planted_linear(spark, 30)
+    assert len(reduce.fit_kernel_pca(df, "id", ["x0", "x1"], 1, most=30).landmarks) == 30
+    with pytest.raises(ValueError):
+        reduce.fit_kernel_pca(df, "id", ["x0", "x1"], 1, most=29)
+
+
 def test_tsne_separates_blobs(spark):
     rows = generators.blobs(spark, 60, [(0.0, 0.0), (20.0, 20.0)])
     got = reduce.tsne(rows, "id", ["x", "y"], perplexity=8, n_iter=300, learning_rate=50).join(rows, "id").select("t0", "t1", "blob").collect()
