@@ -189,7 +189,7 @@ def select_perturbation(spark, folder):
 
 @query("select_boruta")
 def select_boruta(spark, folder):
-    return select.boruta(evaluation(spark, folder), _FEATURES, max_iter=3)
+    return select.boruta(evaluation(spark, folder), _FEATURES)
 
 
 @query("select_rfe_information")

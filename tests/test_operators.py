@@ -9,6 +9,7 @@ from granary.functions import distributions as d
 from granary.functions import order
 from granary.functions.columns import columns_of_type, nan_to_null, numeric
 from granary.operators import cluster, explain, impute, information, metrics, outliers, reduce, scale, select, series, splits, stats
+from granary.plans import catalog
 from granary.sources import generators, tables
 from granary.streaming import score
 from pyspark.sql import functions as F
@@ -259,6 +260,14 @@ def test_selection_finds_planted_features(spark):
     assert select.boruta_limits(20) == (6, 14)
 
 
+def test_boruta_query_finds_a_planted_feature(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("#"), (F.col("id") % 10).cast("int")), F.repeat(F.lit("x"), F.pmod(F.hash("id"), F.lit(40)))).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", (F.col("doc_id") % 10 > 4).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    verdicts = {r.feature: r.verdict for r in catalog.QUERIES["select_boruta"](spark, str(tmp_path)).collect()}
+    assert verdicts["n_marks"] == "important" and verdicts["n_lines"] == "unimportant"
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "v string")
     assert [(r.v, r.o) for r in series.ordinal_encode(df, "v", "o").orderBy("v").collect()] == [(None, None), ("a", 0), ("b", 1), ("c", 2)]
