@@ -179,7 +179,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
 
     Jobs: range bounds of doc_id; encode each text once into an intermediate table in the shared folder; sum the counts
     of ids (the driver gets one row per id of the vocabulary); code each document with the global code; shuffle the
-    coded documents by range and write them sorted. ``start`` comes from the sums of the ranges and a running sum
+    coded documents by range, each to the partition of its number, and write them sorted, so that the order of the part
+    files is that of the ranges. ``start`` comes from the sums of the ranges and a running sum
     within each. Null texts count as empty, null doc_ids stand first, rows that repeat a doc_id stand beside each
     other in order of their bits, an empty table gives an empty folder of files; other columns are not read.
     """
@@ -211,7 +212,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
     base = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket") + 1)
     (
         coded.withColumn("bucket", range_bucket("doc_id", bounds))
-        .repartition(max(1, len(bounds) + 1), "bucket")
+        .repartitionById(len(bounds) + 1, "bucket")
         .withColumn("start", base + F.coalesce(running, F.lit(0)))
         .select("bucket", "doc_id", "start", "n_tokens", "bits", "checkpoints")
         .write.option("compression", "none")

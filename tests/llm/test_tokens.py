@@ -1,12 +1,15 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from granary.llm import bpe, huffman, packing
 from granary.llm.common import work_path
 from granary.llm.tokenize import WordTokenizer
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import TEXTS, awkward
@@ -124,6 +127,15 @@ def test_files_round_trip(spark, small, library, table):
     assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def test_part_files_ascend(spark):
+    docs = spark.range(400, 0, -1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    path = huffman.write_ids(docs, work_path(spark, "test"), rows_per_file=25)
+    files = sorted(f for f in os.listdir(path.removeprefix("file://") + "/blocks") if f.endswith(".parquet"))
+    rows = [r for f in files for r in pq.ParquetFile(f"{path.removeprefix('file://')}/blocks/{f}").read(["doc_id", "start"]).to_pylist()]
+    assert len(files) >= 16 and [r["doc_id"] for r in rows] == list(range(1, 401))
+    assert [r["start"] for r in rows] == sorted(r["start"] for r in rows)
+
+
 def test_byte_bpe_equals_tiktoken(spark, small):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     worker = bpe.Codec(path, public_tokenizers.PATTERN, most=100)
