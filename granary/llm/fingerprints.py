@@ -37,8 +37,10 @@ def densify(bins: np.ndarray) -> np.ndarray:
 def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, words: int = WORDS) -> np.ndarray:
     """The low-order bits of the densified minima of each text, one uint8 a bin. A text without words has zeros.
 
-    A shingle's hash is used once: its high bits name the bin and the bin keeps its least hash.
+    A shingle's hash is used once: its high bits name the bin and the bin keeps its least hash. Each bin's number is mixed
+    into its minimum before the low bits are taken, so that bins that hold one value agree by chance independently.
     """
+    salt = mix(np.arange(1, bins + 1, dtype=np.uint64))
     out = np.zeros((len(texts), bins), np.uint8)
     for a, b in groups(texts):
         hashes, many = shingle_hashes(b"".join(texts[a:b]), np.array([len(t) for t in texts[a:b]], np.int64), words)
@@ -46,7 +48,7 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, words: in
         minima = np.full((b - a) * bins, _EMPTY)
         np.minimum.at(minima, cell + np.repeat(np.arange(b - a), many) * bins, mix(hashes) >> np.uint64(1))
         dense = densify(minima.reshape(-1, bins))
-        out[a:b] = np.where(dense == _EMPTY, np.uint64(0), dense & np.uint64((1 << bits) - 1)).astype(np.uint8)
+        out[a:b] = np.where(dense == _EMPTY, np.uint64(0), mix(dense ^ salt) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return out
 
 

@@ -155,3 +155,10 @@ def test_densified_bins_keep_the_similarity():
             s = fingerprints.signatures([" ".join(a).encode(), " ".join(b).encode()], words=1)
             estimates.append(fingerprints.likeness(s[:1], s[1:])[0])
         assert abs(np.mean(estimates) - overlap / (2 - overlap)) < 0.04
+
+
+def test_short_texts_have_prints_of_their_own():
+    s = fingerprints.signatures([f"short text {i}".encode() for i in range(200)])
+    assert len(set(fingerprints.packed(s))) == 200
+    assert max(fingerprints.likeness(s[:-1], s[1:])) < 0.2
+    assert (s == fingerprints.signatures([f"short  text {i}".encode() for i in range(200)])).all()
