@@ -1,5 +1,6 @@
 """Operators against NumPy, hand-made data and invariants."""
 
+import inspect
 import math
 import random
 
@@ -233,6 +234,29 @@ def test_tsne_separates_blobs(spark):
     assert np.linalg.norm(a.mean(0) - b.mean(0)) > 2 * max(a.std(), b.std())
 
 
+def test_queries_iterate_to_the_end(spark, small, monkeypatch):
+    calls = []
+
+    def spy(module, name, result):
+        own = inspect.signature(getattr(module, name))
+
+        def run(*args, **options):
+            bound = own.bind(*args, **options)
+            bound.apply_defaults()
+            calls.append((name, bound.arguments))
+            return result(bound.arguments)
+
+        monkeypatch.setattr(module, name, run)
+
+    spy(cluster, "fit_kmeans", lambda a: cluster.KMeansModel(a["cols"], [[0.0, 0.0]] * a["k"]))
+    spy(reduce, "tsne", lambda a: a["df"])
+    for name in ("elbow_sse", "gap_statistic", "tsne"):
+        catalog.QUERIES[name](spark, small)
+    fits = [a for n, a in calls if n == "fit_kmeans"]
+    assert len(fits) == 4 + 3 * (5 + 1) and {(a["n_init"], a["max_iter"]) for a in fits} == {(10, 300)}
+    assert [a["n_iter"] for n, a in calls if n == "tsne"] == [1000]
+
+
 def test_shapley_values_add_up(spark):
     got = select.shapley(["a", "b", "c"], lambda s: 3.0 * ("a" in s) + 2.0 * ("a" in s and "b" in s))
     assert got == {"a": pytest.approx(4), "b": pytest.approx(1), "c": 0}
