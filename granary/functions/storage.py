@@ -5,30 +5,81 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one on a single machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="granary-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+class Scratch:
+    """Paths of intermediate tables, and which of them a result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These written tables stay when the scratch ends."""
+        self.kept.update(t.granary_path for t in tables)
+
+
+_open: list[Scratch] = []
+#: Tables that results handed out still read; :func:`sweep` removes them.
+_left: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are removed at the end, after an error too, but for those that are kept.
+
+    Kept ones go to the scratch around this one, or else stay until :func:`sweep`.
+    """
+    own = Scratch(spark)
+    _open.append(own)
+    done = False
+    try:
+        yield own
+        done = True
+    finally:
+        _open.remove(own)
+        for path in own.paths:
+            if done and path in own.kept:
+                (_open[-1].paths if _open else _left).append(path)
+            else:
+                remove(spark, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the intermediate tables of all results handed out so far, which cannot be read any more then."""
+    while _left:
+        remove(spark, _left.pop())
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for an intermediate table."""
-    return f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    (_open[-1].paths if _open else _left).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor depend on one executor."""
     path = work_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.granary_path = path
+    return table
 
 
 def remove(spark: SparkSession, path: str) -> None:
