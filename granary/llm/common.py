@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.order import range_of
-from granary.functions.storage import materialize, on_workers_path, remove, shared_dir, work_path  # noqa: F401
+from granary.functions.storage import materialize, on_workers_path, remove, scratch, shared_dir, sweep, work_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names made of ``names`` that are not among ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def range_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 4096) -> list[int]:
     """Values of ``key`` that cut ``df`` into ranges of about ``rows_per_bucket`` rows (at most ``most`` ranges).
 

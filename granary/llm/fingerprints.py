@@ -11,27 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_arrow, range_bounds, range_bucket, slices, table, text_of
-from granary.llm.shingles import groups, mix, shingle_hashes
+from granary.llm.shingles import EMPTY, densify, groups, mix, shingle_hashes
 
 BINS, BITS, WORDS = 256, 4, 5
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def densify(bins: np.ndarray) -> np.ndarray:
-    """Fill each empty bin with the value of the bin that a fixed hash of (bin, attempt) names first among the full ones.
-
-    Rows without any full bin stay empty.
-    """
-    full = bins != _EMPTY
-    row, bin_ = np.nonzero(~full & full.any(1)[:, None])
-    out, attempt = bins.copy(), 0
-    while len(row):
-        attempt += 1
-        target = (mix(bin_.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(bins.shape[1])).astype(np.int64)
-        hit = full[row, target]
-        out[row[hit], bin_[hit]] = bins[row[hit], target[hit]]
-        row, bin_ = row[~hit], bin_[~hit]
-    return out
 
 
 def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, words: int = WORDS) -> np.ndarray:
@@ -45,10 +27,10 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, words: in
     for a, b in groups(texts):
         hashes, many = shingle_hashes(b"".join(texts[a:b]), np.array([len(t) for t in texts[a:b]], np.int64), words)
         cell = (hashes >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64) % bins
-        minima = np.full((b - a) * bins, _EMPTY)
+        minima = np.full((b - a) * bins, EMPTY)
         np.minimum.at(minima, cell + np.repeat(np.arange(b - a), many) * bins, mix(hashes) >> np.uint64(1))
         dense = densify(minima.reshape(-1, bins))
-        out[a:b] = np.where(dense == _EMPTY, np.uint64(0), mix(dense ^ salt) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+        out[a:b] = np.where(dense == EMPTY, np.uint64(0), mix(dense ^ salt) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return out
 
 

@@ -1,8 +1,10 @@
 """n-gram Jaccard join: MinHash LSH forest for candidates, exact verification of their shingle sets.
 
-Texts with equal shingle sets are one class. Each tree of the forest sorts the classes by a signature of its own; classes
-that share a prefix there are candidates. Linked candidates make candidate components, within which all sets are
-compared exactly, block by block, by an inverted index: what leaves a block is a row per class, never a row per pair.
+Texts with equal shingle sets are one class. Each tree of the forest sorts the classes by a string of MinHash labels of
+its own, as a walk through its prefix trie; neighbours in that order meet at the prefix that they share. Prefixes are
+shortened from the deepest on until the links that they find reach the target recall. Neighbours whose sketches are near
+the threshold make candidate groups, and within a group all sets are compared exactly: each text is read once, as its
+difference from the group's first text, and what leaves a task is a row per class, never a row per pair.
 """
 
 from __future__ import annotations
@@ -12,94 +14,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import keyed_side, map_arrow, materialize, slices, table, text_of
+from granary.llm.common import fresh, keyed_side, map_arrow, materialize, scratch, slices, table, text_of
 from granary.llm.graph import components
-from granary.llm.shingles import groups, mix, shingle_hashes
+from granary.llm.shingles import EMPTY, densify, distinct, groups, mix, shingle_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 20, 8, 0.999
-
-
-def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """Shorten the prefixes from ``deepest`` until a pair at the threshold meets in a tree with probability ``recall``."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
+TREES, RECALL = 96, 0.9999
+#: A sketch has a label of 8 bits in each bin of a few independent one-permutation hashings.
+PASSES, BINS = 8, 32
+#: Labels that a tree has beyond the shortest prefix.
+LEVELS = 8
+#: Neighbours are candidates if their sketches' likeness is less than the threshold by this at most: more than four
+#: standard deviations of the estimate.
+MARGIN = 0.12
+_TAG = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def meets(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Probability that two sets share a prefix of ``depth`` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortest_for(threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair at the threshold still meets with probability ``recall``."""
+    depth = 1
+    while depth < 24 and meets(threshold, depth + 1, trees) >= recall:
+        depth += 1
     return depth
 
 
-def _factors(n: int) -> np.ndarray:
-    return (mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
+def depth_for(found: list[tuple[int, float, int]], shortest: int, threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
+    """Shorten the prefix until the links that it finds are ``recall`` of all that there are by its own estimate.
 
-def forest_keys(hashes: np.ndarray, many: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each text (``many`` consecutive hashes, at least one each) the hash of its prefix in each tree."""
-    begin = np.cumsum(many) - many
-    high, low = (hashes >> np.uint64(32)).astype(np.uint32), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    factors = _factors(2 * trees * depth)
-    keys = np.zeros((len(many), trees), np.uint64)
-    for t in range(trees):
-        key = np.full(len(many), t + 1, np.uint64)
-        for d in range(depth):
-            k = 2 * (t * depth + d)
-            value = high * factors[k]
-            value ^= value >> np.uint32(15)
-            value += low * factors[k + 1]
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, begin).astype(np.uint64))
-        keys[:, t] = key
-    return keys
-
-
-def _signed(parts: Iterator[pa.RecordBatch], words: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
+    ``found`` counts neighbours by (longest shared prefix, estimated similarity). A link of similarity s that is found at a
+    depth stands for 1 / P(s meets at that depth) links. The shortest prefix holds for any pair at the threshold.
+    """
+    links = [(depth, max(near, threshold), n) for depth, near, n in found if near >= threshold]
+    for depth in range(shortest + LEVELS, shortest, -1):
+        hits = [(near, n) for d, near, n in links if d >= depth]
+        beyond = sum(n for d, _, n in links if d < depth)
+        expected = max(sum(n / meets(near, depth, trees) for near, n in hits), sum(n for _, n in hits) + beyond)
+        if expected and sum(n for _, n in hits) >= recall * expected:
+            return depth
+    return shortest
+
+
+def sketches(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A row of labels for each text (``many`` consecutive hashes): low bits of the densified minima of all passes."""
+    n, owner = len(many), np.repeat(np.arange(len(many)) * BINS, many)
+    minima = np.full((PASSES, n * BINS), EMPTY)
+    for k in range(PASSES):
+        value = mix(hashes + np.uint64((k + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
+        np.minimum.at(minima[k], (value >> np.uint64(59)).astype(np.int64) + owner, value & np.uint64((1 << 59) - 1))
+    dense = densify(minima.reshape(-1, BINS)).reshape(PASSES, n, BINS).transpose(1, 0, 2).reshape(n, PASSES * BINS)
+    return (mix(dense ^ mix(np.arange(1, PASSES * BINS + 1, dtype=np.uint64))) & np.uint64(255)).astype(np.uint8)
+
+
+def tree_places(trees: int, depth: int) -> np.ndarray:
+    """The places of a sketch whose labels make the string of each tree."""
+    rng = np.random.default_rng(7)
+    return np.array([rng.permutation(PASSES * BINS)[:depth] for _ in range(trees)])
+
+
+def _signed(parts: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for part in slices(parts, 2):
         texts = [t.encode() for t in part.column(2).to_pylist()]
         hashes, many = shingle_hashes(b"".join(texts), np.array([len(t) for t in texts], np.int64), words)
-        cuts = np.concatenate([[0], np.cumsum(many)])
-        digests = [hashlib.blake2b(np.unique(hashes[x:y]).tobytes(), digest_size=16).digest() for x, y in zip(cuts, cuts[1:])]
-        full = np.flatnonzero(many)
-        keys = forest_keys(hashes, many[full], trees, depth).view(np.int64) if len(full) else np.zeros((0, trees), np.int64)
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(many > 0, trees, 0))]).astype(np.int32), keys.reshape(-1))
+        labels = sketches(hashes, many)
+        sets, sizes = distinct(hashes, many)
+        cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        digests = [hashlib.blake2b(sets[x:y], digest_size=16).digest() for x, y in zip(cuts, cuts[1:])]
+        found = [row.tobytes() if n else None for row, n in zip(labels, many)]
         sizes = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), sizes, lists], names=["doc_id", "text_hash", "digest", "bytes", "forest"])
+        columns = [part.column(0), part.column(1), pa.array(digests, pa.binary()), sizes, pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "digest", "bytes", "sketch"])
 
 
-def sign(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int = 5) -> DataFrame:
-    """doc_id, text_hash, digest of the shingle set, bytes, forest (a key per tree; none for a text without words)."""
+def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, text_hash, digest of the shingle set, bytes, sketch (null for a text without words)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    return map_arrow(rows, lambda parts: _signed(parts, words, trees, depth), "doc_id long, text_hash long, digest binary, bytes long, forest array<long>")
+    return map_arrow(rows, lambda parts: _signed(parts, words), "doc_id long, text_hash long, digest binary, bytes long, sketch binary")
+
+
+def _labels(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PASSES * BINS)
+
+
+def _strung(parts: Iterator[pa.RecordBatch], trees: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, sketch) to a row for each tree: a key of the tree and the shortest prefix, and the labels beyond it."""
+    places = tree_places(trees, shortest + LEVELS)
+    power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(shortest)], np.uint64)
+    for part in parts:
+        labels, n = _labels(part.column(1)), part.num_rows
+        roots, tails = np.zeros((n, trees), np.uint64), np.zeros((n, trees, LEVELS), np.uint8)
+        for t in range(trees):
+            roots[:, t] = mix(((labels[:, places[t, :shortest]].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64) + np.uint64(t))
+            tails[:, t] = labels[:, places[t, shortest:]]
+        nodes = np.repeat(np.asarray(part.column(0)), trees)
+        tail = tails.reshape(-1, LEVELS).view(">u8").reshape(-1).astype(np.uint64)
+        columns = [pa.array(nodes), pa.array(roots.reshape(-1).view(np.int64)), pa.array(tail.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "tail"])
+
+
+def _near(parts: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (src, dst, depth, sketch, other) to those whose sketches agree enough, with the number of equal labels."""
+    for part in parts:
+        if part.num_rows:
+            same = (_labels(part.column(3)) == _labels(part.column(4))).sum(1)
+            keep = pa.array(same >= least * PASSES * BINS)
+            columns = [part.column(0), part.column(1), part.column(2), pa.array(same, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "depth", "same"]).filter(keep)
 
 
-def compare(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """(src, dst): classes (node, sketch) that stand side by side in some tree, are near by their sketches, and share a
+    prefix of the depth that reaches ``recall`` (:func:`depth_for`).
+
+    A class gives at most one pair per tree, so pairs grow with the classes, whatever their texts have in common.
+    """
+    shortest = shortest_for(threshold, trees, recall)
+    known = classes.filter("sketch IS NOT NULL").select("node", "sketch")
+    strings = map_arrow(known, lambda parts: _strung(parts, trees, shortest), "node long, root long, tail long")
+    walk = Window.partitionBy("root").orderBy("tail", "node")
+    steps = strings.select("node", "tail", F.lag("node").over(walk).alias("before"), F.lag("tail").over(walk).alias("last")).filter("before IS NOT NULL")
+    differ = F.col("tail").bitwiseXOR(F.col("last"))
+    shared: Column = F.lit(shortest)
+    for k in range(1, LEVELS + 1):
+        shared = shared + (F.shiftrightunsigned(differ, 64 - 8 * k) == 0).cast("int") if k < LEVELS else shared + (differ == 0).cast("int")
+    pairs = steps.select(F.least("node", "before").alias("src"), F.greatest("node", "before").alias("dst"), shared.alias("depth"))
+    pairs = materialize(pairs.groupBy("src", "dst").agg(F.max("depth").alias("depth")), "neighbours")
+    ends = pairs.join(known.withColumnRenamed("node", "src"), "src").join(known.select(F.col("node").alias("dst"), F.col("sketch").alias("other")), "dst")
+    least = threshold - MARGIN
+    near = map_arrow(ends.select("src", "dst", "depth", "sketch", "other"), lambda parts: _near(parts, least), "src long, dst long, depth int, same long")
+    near = materialize(near, "near")
+    found = near.groupBy("depth", "same").count().collect()  # a row for each depth and number of equal labels
+    depth = depth_for([(r["depth"], r["same"] / (PASSES * BINS), r["count"]) for r in found], shortest, threshold, trees, recall)
+    return near.filter(F.col("depth") >= depth).select("src", "dst")
+
+
+def compare(
+    sets: list[np.ndarray], base: int, missing: np.ndarray, sizes: np.ndarray, weights: np.ndarray, side: np.ndarray, cross: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Weight of linked sets for each set, and its component's first set.
 
-    Sets are sorted and free of repeats. With ``cross`` only pairs of different ``side`` count. Intersections come from
-    an inverted index of the shingles that at least two sets have.
+    Each of ``sizes`` is a set's size; ``sets`` holds how it differs from a common set of ``base`` members: what it has
+    beside that set, and, tagged, the ``missing`` ones. The intersection of two sets is ``base`` less what either misses,
+    plus the common part of their differences, which comes from an inverted index. With ``cross`` only pairs of different
+    ``side`` count.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
+    each = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), each)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     sorted_owner = owner[order]
-    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])[: len(flat)]
     number = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     freq = np.diff(np.concatenate([first, [len(flat)]]))
     back = np.empty_like(number)
     back[order] = number
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.concatenate([[0], np.cumsum(each)])
     linked = np.zeros((n, n), bool)
     for k in range(n):
         mine = back[cuts[k] : cuts[k + 1]]
         mine = mine[freq[mine] > 1]
-        if not len(mine):
-            continue
-        many = freq[mine]
-        at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        both = np.bincount(sorted_owner[at], minlength=n)
+        both = base - missing[k] - missing
+        if len(mine):
+            many = freq[mine]
+            at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            both = both + np.bincount(sorted_owner[at], minlength=n)
         linked[k] = both >= threshold * (sizes[k] + sizes - both) - 1e-9
         linked[k, k] = False
     if cross:
@@ -109,95 +196,178 @@ def compare(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, cross
         if root[k] < 0:
             root[k], todo = k, [k]
             while todo:
-                fresh = np.flatnonzero(linked[todo.pop()] & (root < 0))
-                root[fresh] = k
-                todo += fresh.tolist()
+                more = np.flatnonzero(linked[todo.pop()] & (root < 0))
+                root[more] = k
+                todo += more.tolist()
     return linked @ weights, root
 
 
-def _verified(parts: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, digest, weight, text, cross) sorted by task: each task's sets are compared when it is over."""
+def _once(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each node (column 0) of a partition: rows that repeat a document stay behind before the shuffle."""
+    seen: set[int] = set()
+    for part in parts:
+        keep = []
+        for node in part.column(0).to_pylist():
+            keep.append(node not in seen)
+            seen.add(node)
+        yield part if all(keep) else part.filter(pa.array(keep))
+
+
+_DELTAS = pa.schema(
+    [("part", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("node", pa.int64()), ("weight", pa.int64()), ("base", pa.int64())]
+    + [("missing", pa.int64()), ("size", pa.int64()), ("delta", pa.binary()), ("links", pa.int64()), ("root", pa.int64())]
+)
+
+
+def _deltas(parts: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (part, block, lead, node, own, blocks, weight, text) sorted by part, block and lead first.
+
+    Each block's texts become differences from its group's lead. A group of one block is compared at once.
+    """
     out: list[tuple] = []
 
-    def close(rows: list[tuple]) -> None:
-        seen: dict[bytes, tuple] = {}
-        for side, digest, weight, text, cross in rows:
-            seen.setdefault(digest, (side, weight, text, cross))
-        if len(seen) < 2:
-            return
+    def close(key: tuple, rows: dict[int, tuple]) -> None:
+        raw = [r[3].encode() for r in rows.values()]
         sets: list[np.ndarray] = []
-        raw = [x[2].encode() for x in seen.values()]
         for a, b in groups(raw):
             hashes, many = shingle_hashes(b"".join(raw[a:b]), np.array([len(t) for t in raw[a:b]], np.int64), words)
-            cuts = np.concatenate([[0], np.cumsum(many)])
-            sets += [np.unique(hashes[x:y]) for x, y in zip(cuts, cuts[1:])]
-        side = np.array([x[0] for x in seen.values()])
-        weights = np.array([x[1] for x in seen.values()], np.int64)
-        links, root = compare(sets, weights, side, next(iter(seen.values()))[3], threshold)
-        names = list(seen)
-        out.extend((names[k], int(links[k]), names[root[k]]) for k in np.flatnonzero(links))
+            hashes, many = distinct(hashes, many)
+            sets += np.split(hashes, np.cumsum(many)[:-1])
+        lead, nodes = sets[0], list(rows)
+        lost = [np.setdiff1d(lead, s, assume_unique=True) ^ _TAG for s in sets]
+        differ = [np.concatenate([np.setdiff1d(s, lead, assume_unique=True), m]) for s, m in zip(sets, lost)]
+        if next(iter(rows.values()))[1] == 1:
+            weights = np.array([r[2] for r in rows.values()], np.int64)
+            links, root = compare(differ, len(lead), np.array([len(m) for m in lost]), np.array([len(s) for s in sets]), weights, np.zeros(len(sets)), False, threshold)
+            out.extend((key[0], None, None, nodes[k], None, None, None, None, None, int(links[k]), nodes[root[k]]) for k in np.flatnonzero(links))
+            return
+        for k, (own, blocks, weight, _) in enumerate(rows.values()):
+            if own == key[1]:  # the lead is a member of one block only
+                out.append((key[0], own, blocks, nodes[k], weight, len(lead), len(lost[k]), len(sets[k]), differ[k].tobytes(), None, None))
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary()))], names=["digest", "links", "root"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _DELTAS)], schema=_DELTAS)
         out.clear()
         return batch
 
-    task, rows = None, []
-    for part in slices(parts, 4):
-        for key, *row in zip(*(part.column(i).to_pylist() for i in range(6))):
-            if key != task:
-                close(rows)
-                task, rows = key, []
-            rows.append(row)
+    task, rows = None, {}
+    for part in slices(parts, 7):
+        for k, block, _, node, *row in zip(*(part.column(i).to_pylist() for i in range(8))):
+            if (k, block) != task:
+                if rows:
+                    close(task, rows)
+                task, rows = (k, block), {}
+            rows.setdefault(node, tuple(row))
         if out:
             yield flush()
-    close(rows)
+    if rows:
+        close(task, rows)
     if out:
         yield flush()
 
 
-def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block_classes: int = 1000, block_bytes: int = 16 << 20) -> DataFrame:
-    """All links of similarity ``threshold`` or more among documents (doc_id, text), a row per document.
+def _crossed(parts: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (part, low, high, own, node, weight, base, missing, size, delta) sorted by pair of blocks: each is compared when it is over."""
+    out: list[tuple] = []
 
-    Returns doc_id, text_hash, digest, class_id, n_links, keeper: ``class_id`` is the least doc_id of the documents that
-    links join, ``n_links`` the number of other documents whose shingle set is that similar (copies included), and
-    ``keeper`` is true for the document that stands for its class. A pair at the threshold is found with probability
-    ``recall`` at least, a closer one with more; pairs that are found are verified exactly, by sets of 64-bit hashes.
+    def close(key: tuple, rows: list[tuple]) -> None:
+        side, nodes, weights, base, missing, sizes, deltas = zip(*rows)
+        sets = [np.frombuffer(d, np.uint64) for d in deltas]
+        links, root = compare(sets, base[0], np.array(missing), np.array(sizes), np.array(weights, np.int64), np.array(side), key[1] != key[2], threshold)
+        out.extend((nodes[k], int(links[k]), nodes[root[k]]) for k in np.flatnonzero(links))
 
-    A candidate component of more than ``block_classes`` classes or ``block_bytes`` of text is dealt out in pairs of
-    blocks, each a task of its own. Words are runs without white space, as they are written. A text of fewer words
-    than a shingle is one shingle; texts without words are one class, linked to no other. Null text counts as empty, a
-    null doc_id stays null, repeated rows are copies, an empty table gives no rows; other columns are not read.
-    """
-    depth = depth_for(threshold, trees, recall=recall)
-    signed = materialize(sign(docs, words, trees, depth), "signatures")
-    classes = signed.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("bytes").alias("bytes"), F.first("forest").alias("forest"), F.min("doc_id").alias("least"))
-    classes = materialize(classes, "classes")
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["node", "links", "root"])
+        out.clear()
+        return batch
+
+    task, rows = None, []
+    for part in slices(parts, 9):
+        for k, low, high, *row in zip(*(part.column(i).to_pylist() for i in range(10))):
+            if (k, low, high) != task:
+                if rows:
+                    close(task, rows)
+                task, rows = (k, low, high), []
+            rows.append(tuple(row))
+        if out:
+            yield flush()
+    if rows:
+        close(task, rows)
+    if out:
+        yield flush()
 
-    leaves = classes.select("digest", F.explode("forest").alias("leaf"))
-    shared = leaves.groupBy("leaf").agg(F.min("digest").alias("root"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    candidates = leaves.join(shared, "leaf").filter("digest != root").select("digest", "root").distinct()
-    near = components(candidates, "digest", "root").select(F.col("node").alias("digest"), F.col("label").alias("part"))
 
-    members = materialize(classes.drop("forest").join(near, "digest"), "candidates")
+def verify(docs: DataFrame, members: DataFrame, words: int, threshold: float, block_classes: int, block_bytes: int) -> DataFrame:
+    """(node, links, root): exact links within the groups of ``members`` (node, part, n, rep, bytes).
+
+    A group of more than ``block_classes`` classes or ``block_bytes`` of text is dealt out in blocks. Each text is read by
+    its block alone, beside the group's lead; pairs of blocks, a task each, get differences from the lead, not texts.
+    """
+    spark = docs.sparkSession
     sizes = members.groupBy("part").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"))
     sizes = sizes.select("part", F.greatest(F.ceil(F.col("k") / block_classes), F.ceil(F.col("b") / block_bytes)).cast("int").alias("blocks"))
-    dealt = materialize(members.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "dealt")
+    rep = [F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")]
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = materialize(members.join(sizes, "part").select("node", "part", "n", "blocks", own.alias("own"), *rep), "dealt")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    told = texts.join(keyed_side(dealt), F.col("rep.doc_id").eqNullSafe(F.col("d")) & (F.col("rep.text_hash") == F.col("h")))
-    paired = told.select("part", "digest", "n", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    tasks = paired.select(F.concat_ws(":", F.hex("part"), low, high).alias("task"), F.col("own").alias("side"), "digest", F.col("n").alias("weight"), "text", (low != high).alias("cross"))
-    sorted_tasks = tasks.repartition(F.col("task")).sortWithinPartitions("task", "digest")
-    verified = materialize(map_arrow(sorted_tasks, lambda parts: _verified(parts, words, threshold), "digest binary, links long, root binary"), "links")
-
-    joined = components(verified.filter("digest != root"), "digest", "root").select(F.col("node").alias("digest"), F.col("label").alias("group"))
-    links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
-    own = classes.select("digest", "n", "rep", "least").join(joined, "digest", "left").join(links, "digest", "left")
-    own = materialize(own.withColumn("group", F.coalesce("group", "digest")), "classes")
-    # a table of its own, so that the join below can split a hot group, which an aggregation beside it could not
-    group = materialize(own.groupBy("group").agg(F.min("least").alias("class_id"), F.min("rep").alias("keeper")), "groups")
-    resolved = own.join(group, "group").select("digest", "class_id", "keeper", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    told = texts.join(keyed_side(dealt), F.col("rep_id").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("h")))
+    kinds = "node long, part long, own int, blocks int, weight long, text string"
+    told = map_arrow(told.select("node", "part", "own", "blocks", F.col("n").alias("weight"), "text"), _once, kinds)
+    lead = F.col("node") == F.col("part")
+    block = F.explode(F.when(lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
+    rows = told.select("part", block.alias("block"), (~lead).alias("follows"), "node", "own", "blocks", "weight", "text")
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "follows", "node")
+    kinds = "part long, own int, blocks int, node long, weight long, base long, missing long, size long, delta binary, links long, root long"
+    deltas = materialize(map_arrow(rows, lambda parts: _deltas(parts, words, threshold), kinds), "deltas")
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = deltas.filter("links IS NULL").select("*", other)
+    pairs = pairs.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "weight", "base", "missing", "size", "delta")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nth = F.expr(f"cast(pmod(xxhash64(part) + cast(high as long) * (high + 1) div 2 + low, {n}) as int)")
+    crossed = pairs.withColumn("task", nth).repartitionById(n, "task").drop("task").sortWithinPartitions("part", "low", "high", "node")
+    crossed = map_arrow(crossed, lambda parts: _crossed(parts, threshold), "node long, links long, root long")
+    return materialize(deltas.filter("links IS NOT NULL").select("node", "links", "root").unionByName(crossed), "links")
+
+
+def link(
+    docs: DataFrame,
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    recall: float = RECALL,
+    block_classes: int = 256,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """All links of similarity ``threshold`` or more among documents (doc_id, text), a row per document.
+
+    Returns doc_id, text_hash, digest, class_id, n_links, keeper: ``class_id`` is the least doc_id of the documents that
+    links join, ``n_links`` the number of other documents whose shingle set is that similar (copies included), and
+    ``keeper`` is true for the document that stands for its class. The forest's prefixes are shortened until the estimated
+    recall of links is ``recall``; pairs within a candidate group are verified exactly, by sets of 64-bit hashes.
+
+    Words are runs without white space, as they are written. A text of fewer words than a shingle is one shingle; texts
+    without words are one class, linked to no other. Null text counts as empty, a null doc_id stays null, repeated rows are
+    copies, long texts are compared whole, an empty table gives no rows; other columns are not read.
+    """
+    with scratch(docs.sparkSession) as work:
+        signed = materialize(sign(docs, words), "signatures")
+        classes = signed.groupBy("digest").agg(
+            F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("bytes").alias("bytes"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")
+        )
+        classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        near = components(neighbours(classes, threshold, trees, recall), "src", "dst").withColumnRenamed("label", "part")
+        members = materialize(classes.select("node", "n", "rep", "bytes").join(near, "node"), "candidates")
+        verified = verify(docs, members, words, threshold, block_classes, block_bytes)
+
+        joined = components(verified.filter("node != root"), "node", "root").withColumnRenamed("label", "group")
+        links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+        own = classes.select("digest", "node", "n", "rep", "least").join(joined, "node", "left").join(links, "node", "left")
+        own = materialize(own.withColumn("group", F.coalesce("group", "node")), "classes")
+        # a table of its own, so that the join below can split a hot group, which an aggregation beside it could not
+        group = materialize(own.groupBy("group").agg(F.min("least").alias("class_id"), F.min("rep").alias("keeper")), "groups")
+        resolved = own.join(group, "group").select("digest", "class_id", "keeper", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        work.keep(signed, own, group)
     keeps = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
     return signed.select("doc_id", "text_hash", "digest").join(resolved, "digest").select("doc_id", "text_hash", "digest", "class_id", "n_links", keeps.alias("keeper"))
 
@@ -210,14 +380,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of least doc_id (ties: by a hash of the text; of repeated rows, one).
 
     The documents that go, and the few keepers whose row is repeated, are found on keys alone; the texts are shuffled only
-    if those keys are too many to broadcast.
+    if those keys are too many to broadcast. All columns stay as they are, whatever their names.
     """
-    linked = link(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.max("keeper").alias("__keeper"), F.count("*").alias("__n"))
-    marked = materialize(linked.filter("NOT __keeper OR __n > 1"), "marked")
-    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64(text_of())})
-    on = F.col("__i").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h"))
-    kept = rows.join(keyed_side(marked.select("__d", "__h")), on, "left_anti")
-    repeated = materialize(marked.filter("__keeper").select("__d", "__h"), "repeated")
+    own_id, own_hash, d, h = fresh(docs.columns, "own_id", "own_hash", "d", "h")
+    linked = link(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).agg(F.max("keeper").alias("keeper"), F.count("*").alias("n"))
+    marked = materialize(linked.filter("NOT keeper OR n > 1"), "marked")
+    rows = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64(text_of())})
+    on = F.col(own_id).eqNullSafe(F.col(d)) & (F.col(own_hash) == F.col(h))
+    kept = rows.join(keyed_side(marked.select(d, h)), on, "left_anti")
+    repeated = materialize(marked.filter("keeper").select(d, h), "repeated")
     if not repeated.isEmpty():
-        kept = kept.unionByName(rows.join(keyed_side(repeated), on, "left_semi").dropDuplicates(["__i", "__t"]))
-    return kept.select(*docs.columns)
+        kept = kept.unionByName(rows.join(keyed_side(repeated), on, "left_semi").dropDuplicates([own_id, own_hash]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -102,6 +102,51 @@ def shingle_hashes(raw: bytes, sizes: np.ndarray, words: int = 5) -> tuple[np.nd
     return mix(out), many
 
 
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+_named: dict[int, np.ndarray] = {}
+
+
+def _targets(bins: int, attempts: int) -> np.ndarray:
+    """The bin that each (attempt, bin) names, for ``attempts`` attempts at least."""
+    known = _named.get(bins)
+    if known is None or len(known) < attempts:
+        step = np.arange(1, 2 * attempts + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        _named[bins] = known = (mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x100000001B3) + step) % np.uint64(bins)).astype(np.int64)
+    return known
+
+
+def densify(bins: np.ndarray) -> np.ndarray:
+    """Fill each empty bin with the value of the bin that a fixed hash of (bin, attempt) names first among the full ones.
+
+    Rows without any full bin stay empty.
+    """
+    full, width = bins != EMPTY, bins.shape[1]
+    out, flat, known = bins.copy().reshape(-1), bins.reshape(-1), full.reshape(-1)
+    at = np.flatnonzero(~full & full.any(1)[:, None])
+    first, place, attempt = at - at % width, at % width, 0
+    while len(at):
+        target = first + _targets(width, attempt + 1)[attempt][place]
+        hit = known[target]
+        out[at[hit]] = flat[target[hit]]
+        miss = ~hit
+        at, first, place, attempt = at[miss], first[miss], place[miss], attempt + 1
+    return out.reshape(bins.shape)
+
+
+def distinct(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each of consecutive sets, ascending, and how many each has; ``hashes`` is sorted in place."""
+    cuts = np.concatenate([[0], np.cumsum(many)]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[[a for a, b in zip(cuts, cuts[1:]) if b > a]] = True
+    total = np.concatenate([[0], np.cumsum(new)])
+    return hashes[new], np.diff(total[cuts])
+
+
 def groups(texts: list[bytes], most: int = 1 << 20):
     """Slices of about ``most`` bytes; a longer text stands alone."""
     first = size = 0

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from granary.llm import fingerprints, graph, ngram_join, shingles
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import TEXTS, awkward
 
@@ -89,11 +90,74 @@ def test_stage_keeps_one_of_each_class(spark):
     assert len(kept) == len(expected) and {r.doc_id for r in kept} == expected and kept[0].source == "x"
 
 
-def test_depth_shortens_to_the_recall():
+def test_shortest_prefix_keeps_the_recall():
     for threshold in (0.5, 0.8, 0.95):
-        d = ngram_join.depth_for(threshold)
-        assert d == 1 or 1 - (1 - threshold**d) ** ngram_join.TREES >= ngram_join.RECALL
-        assert d == ngram_join.DEEPEST or 1 - (1 - threshold ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL
+        d = ngram_join.shortest_for(threshold)
+        assert ngram_join.meets(threshold, d) >= ngram_join.RECALL
+        assert d == 24 or ngram_join.meets(threshold, d + 1) < ngram_join.RECALL
+
+
+def test_depth_follows_the_links_that_are_there():
+    short = ngram_join.shortest_for(0.8)
+    deep = short + ngram_join.LEVELS
+    assert ngram_join.depth_for([(deep, 1.0, 500)], short, 0.8) == deep  # close copies meet at any depth
+    assert ngram_join.depth_for([(deep, 0.99, 500), (deep - 3, 0.9, 3)], short, 0.8) <= deep - 3
+    assert ngram_join.depth_for([(deep, 0.8, 500)], short, 0.8) < deep  # at the threshold, many more must be expected
+    assert ngram_join.depth_for([(deep, 0.3, 500)], short, 0.8) == ngram_join.depth_for([], short, 0.8) == short
+
+
+def near_pairs(rng, n, low, high):
+    """Pairs of texts whose similarity lies from ``low`` to ``high``, beside texts that nothing resembles."""
+    words, rows = [f"v{i}" for i in range(5000)], []
+    while len(rows) < 2 * n:
+        size = rng.randint(40, 300)
+        a = [rng.choice(words) for _ in range(size)]
+        b = a[:]
+        for _ in range(rng.randint(1, max(1, size // 40))):
+            b[rng.randrange(size)] = rng.choice(words)
+        a, b = " ".join(a), " ".join(b)
+        if low <= jaccard(grams(a), grams(b)) <= high:
+            rows += [a, b]
+    return list(enumerate(rows))
+
+
+def test_recall_against_brute_force(spark):
+    rows = near_pairs(random.Random(9), 400, 0.8, 0.85)
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.n_links == 1 for r in got) / len(rows) >= 0.99
+
+
+def boilerplate(n, seed=4):
+    """Texts with nearly half of their words in common, of which none is a near copy of another."""
+    rng, words = random.Random(seed), [f"u{i}" for i in range(20_000)]
+    shared = [rng.choice(words) for _ in range(90)]
+    return [(i, " ".join([*shared, *[rng.choice(words) for _ in range(100)]])) for i in range(n)]
+
+
+def test_boilerplate_makes_no_candidates(spark):
+    each = []
+    for n in (600, 1200):
+        docs = spark.createDataFrame(boilerplate(n), "doc_id long, text string")
+        signed = ngram_join.sign(docs).withColumn("node", F.monotonically_increasing_id())
+        each.append(ngram_join.neighbours(ngram_join.materialize(signed, "test")).count() / n)
+        assert not ngram_join.link(docs).filter("n_links > 0").count()
+    assert each[1] <= each[0] + 0.01 and each[1] < 0.05
+
+
+def test_a_repeated_row_is_verified_once(spark):
+    rows = near_pairs(random.Random(3), 5, 0.8, 0.99)
+    docs = spark.createDataFrame(rows + [rows[0]] * 500, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.link(docs).collect()}
+    assert {(r[0], r[2]) for r in got if r[0] in (0, 1)} == {(0, 501), (1, 501)}
+
+
+def test_stage_with_clashing_names(spark):
+    rows = [(i, t, "a", "b", "c", "e", 5) for i, t in planted()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_id string, D string, h string, keeper string, n int")
+    kept = ngram_join.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {tuple(r)[2:] for r in kept.collect()} == {("a", "b", "c", "e", 5)}
+    assert ngram_join.stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_components(spark):
