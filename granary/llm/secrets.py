@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table, text_of
+from granary.llm.common import fresh, table, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 SPANS = "array<struct<start:int,rank:int,end:int,match:string>>"
@@ -44,7 +44,7 @@ STEMS = (
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    """The default labelled samples: 6000 random strings by rule from a hash, and the stems in five styles (string, random)."""
+    """The default labelled samples: 6000 random strings by rule from a hash, and pairs of stems in seven styles (string, random)."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     plain = F.base64(F.unhex(digest))
     random = spark.range(6000).select(
@@ -56,6 +56,11 @@ def samples(spark: SparkSession) -> DataFrame:
     return random.unionByName(pairs.select(F.explode(styles).alias("string"), F.lit(False).alias("random")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def place(character: Column) -> Column:
     """0-based place of a character in the alphabet; the last one for any other."""
     found = F.instr(F.lit(ALPHABET), character)
@@ -65,10 +70,13 @@ def place(character: Column) -> Column:
 def fit(labelled: DataFrame, most: int = 200_000) -> list[float]:
     """Fit both models on at most ``most`` labelled rows (string, random); row-major log-likelihood ratios by pair.
 
-    First-order chains with add-half smoothing. The bound holds for a sample handed in; the default one is below it. Null
-    strings, and strings of one character, add nothing.
+    First-order chains with add-half smoothing. Of a larger sample those with the least hashes are taken, so that the fit
+    is the same each time; the default one is below the bound. Null strings, and strings of one character, add nothing; an
+    empty sample gives ratios of zero.
     """
-    rows = labelled.limit(most).filter(F.col("string").isNotNull() & F.col("random").isNotNull())
+    rows = labelled.filter(F.col("string").isNotNull() & F.col("random").isNotNull()).select("string", "random")
+    if rows.count() > most:
+        rows = rows.orderBy(F.xxhash64("string", "random")).limit(most)
     pair = F.transform(F.sequence(F.lit(1), F.length("string") - 1), lambda i: F.substr("string", i, F.lit(2)))
     counted = rows.filter(F.length("string") > 1).select("random", F.explode(pair).alias("pair")).groupBy("random", "pair").count().collect()
     counts = {True: [[0.5] * SIDE for _ in range(SIDE)], False: [[0.5] * SIDE for _ in range(SIDE)]}
@@ -87,7 +95,7 @@ def ratios_of(token: Column, ratios: list[float]) -> Column:
     grid = F.array(*[F.lit(x) for x in ratios])
     places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), place)
     paired = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * SIDE + b)
-    return F.transform(F.element_at(F.transform(F.array(places), paired), 1), lambda i: F.get(grid, i))
+    return F.transform(let(places, paired), lambda i: F.get(grid, i))
 
 
 def mean(values: Column) -> Column:
@@ -97,7 +105,7 @@ def mean(values: Column) -> Column:
 
 def score(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's pairs of characters."""
-    return F.element_at(F.transform(F.array(ratios_of(token, ratios)), mean), 1)
+    return let(ratios_of(token, ratios), mean)
 
 
 def stretches(values: Column, threshold: float) -> Column:
@@ -121,7 +129,7 @@ def stretches(values: Column, threshold: float) -> Column:
         fresh = F.struct(s["at"].alias("at"), s["at"].alias("first"), s["at"].alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), closed(s).alias("found"))
         return F.when((s["sum"] <= 0) | (s["top"] - s["sum"] > DROP), fresh).otherwise(s)
 
-    step = lambda s, x: F.element_at(F.transform(F.array(added(s, x)), settled), 1)
+    step = lambda s, x: let(added(s, x), settled)
     n = F.size(values) + 1
 
     def widened(w):
@@ -144,45 +152,92 @@ def random_in(run: Column, ratios: list[float], threshold: float) -> Column:
         part = lambda w: F.struct((run["start"] + w["first"]).alias("start"), run["rank"].alias("rank"), (run["start"] + w["end"]).alias("end"), F.substr(run["match"], w["first"] + 1, w["end"] - w["first"]).alias("match"))
         return F.when(mean(values) > threshold, F.array(run)).otherwise(F.filter(F.transform(stretches(values, threshold), part), lambda s: varied(s["match"])))
 
-    found = F.element_at(F.transform(F.array(ratios_of(run["match"], ratios)), judged), 1)
+    found = let(ratios_of(run["match"], ratios), judged)
     return F.when(varied(run["match"]), found).otherwise(F.array().cast(SPANS))
 
 
+#: Elements that one fold gathers: what it has gathered is copied at each step, so long arrays are folded in parts.
+PART = 128
+
+
+def _folded(values: Column, join) -> Column:
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+    step = lambda s, x: F.struct(join(s["sum"], x).alias("sum"), F.concat(s["all"], F.array(s["sum"])).alias("all"))
+    return F.aggregate(values, start, step, lambda s: s["all"])
+
+
+def running(values: Column, join=lambda x, y: x + y, depth: int = 2) -> Column:
+    """For each of an array of integers what ``join`` (a sum or a maximum, from 0) makes of those before it.
+
+    In time linear in the array: parts are folded by themselves, and what the parts before them make is added.
+    """
+    if not depth:
+        return _folded(values, join)
+
+    def by_part(v):
+        at = F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / PART).cast("int"), F.lit(0)))
+        parts = F.transform(at, lambda i: F.slice(v, i * PART + 1, F.lit(PART)))
+        whole = lambda p: F.aggregate(p, F.lit(0), join)
+
+        def placed(p):
+            before = running(F.transform(p, whole), join, depth - 1)
+            return F.flatten(F.zip_with(p, before, lambda part, b: F.transform(_folded(part, join), lambda x: join(x, b))))
+
+        return let(parts, placed)
+
+    return let(values, by_part)
+
+
 def find(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as array of (start, rank, end, match), in code points.
 
-    The matches and the gaps between them come from two passes of the same pattern; a running sum gives the places.
+    The matches and the gaps between them come from two passes of the same pattern; running sums give the places.
     """
     empty = F.array().cast(SPANS)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), lambda h, g: F.struct(F.length(g).alias("gap"), h.alias("match")))
 
+    def span(x, before):
+        begin = before + x["gap"]
+        return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + F.length(x["match"])).alias("end"), x["match"].alias("match"))
+
     def place_all(found):
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+        before = running(F.transform(found, lambda x: x["gap"] + F.length(x["match"])))
+        return F.zip_with(found, before, span)
 
-        def step(s, x):
-            begin = s["at"] + x["gap"]
-            end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), x["match"].alias("match")))).alias("spans"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(both, place_all)).otherwise(empty)
 
-        return F.aggregate(found, start, step)["spans"]
 
-    located = F.element_at(F.transform(F.array(both), place_all), 1)
-    return F.when(F.regexp_like(text, F.lit(pattern)), located).otherwise(empty)
+#: Code points of the stretches that a text is cut into, so that reaching a place costs no walk from its beginning.
+STRETCH = 1024
 
 
-def blanked(text: Column, spans: str) -> Column:
-    """``text`` with a blank for each character that ``spans`` cover, so that all places stay."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def between(chunks: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to ``end`` of a text that is cut into ``chunks``; empty if there are none."""
+    a, b = F.floor(begin / STRETCH).cast("int"), F.floor(end / STRETCH).cast("int")
+    own = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    apart = F.concat(F.substr(own(a), begin % STRETCH + 1), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substr(own(b), F.lit(1), end % STRETCH))
+    return F.when(end <= begin, "").when(a == b, F.substr(own(a), begin % STRETCH + 1, end - begin)).otherwise(apart)
+
+
+def replaced(text: Column, spans: str, body) -> Column:
+    """``text`` with each of ``spans``, sorted by start, replaced by ``body(span, end of those before)``; each place is cut once."""
+
+    def by_chunks(chunks):
+        def cut(before):
+            pieces = F.zip_with(F.col(spans), before, lambda s, b: F.concat(between(chunks, b, s["start"]), body(s, b)))
+            tail = between(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+            return F.concat(F.array_join(pieces, ""), tail)
+
+        return let(running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), cut)
 
-    def step(s, x):
-        gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        blanks = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blanks).alias("out"))
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % STRETCH), F.lit(0)), by_chunks)).otherwise(text)
 
-    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+def blanked(text: Column, spans: str) -> Column:
+    """``text`` with a blank for each character that ``spans`` cover, so that all places stay."""
+    return replaced(text, spans, lambda s, before: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], before), F.lit(0))))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
@@ -191,7 +246,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text",
     ``base_spans`` are the matches of the fixed patterns; ``spans`` adds what the models call random in runs of 20 or more
     token characters that base spans leave: the run if its mean exceeds ``threshold``, else those of its stretches whose
     mean does, so that a path or name around a secret does not hide it. Both have 8 different characters or more. One
-    narrow projection; null text counts as empty; columns of these two ``names`` are replaced, others stay.
+    narrow projection, in time linear in a text's length and matches; null text counts as empty, repeated rows are scanned
+    each, an empty table gives no rows; columns of these two ``names`` are replaced, others stay.
     """
     base_name, all_name = names
     if ratios is None:
@@ -201,7 +257,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text",
     assign = F.filter(find(t, ASSIGN, "assign"), lambda s: F.length(value(s["match"])) >= 8)
     base = F.array_sort(F.concat(assign, find(t, ACCESS, "access"), find(t, HEX, "hex")))
     first = docs.withColumn(base_name, base)
-    runs = F.element_at(F.transform(F.array(blanked(t, base_name)), lambda x: find(x, CANDIDATE, "markov")), 1)
+    runs = let(blanked(t, base_name), lambda x: find(x, CANDIDATE, "markov"))
     likely = F.flatten(F.transform(runs, lambda r: random_in(r, ratios, threshold)))
     return first.withColumn(all_name, F.array_sort(F.concat(base_name, likely)))
 
@@ -219,21 +275,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with each stretch of text that spans cover replaced by ``mark``; overlapping spans are one stretch."""
-    base_name, all_name = "__base_spans", "__spans"
-    found = scan(docs, names=(base_name, all_name), **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``docs`` with each stretch of text that spans cover replaced by ``mark``; overlapping spans are one stretch.
 
-    def step(s, x):
-        gap = F.substr(F.col("text"), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        fresh = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
-
-    done = F.aggregate(all_name, start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    changed = F.when(F.size(all_name) > 0, done).otherwise(F.col("text"))
+    Null texts stay null, repeated rows are redacted each, an empty table gives no rows; all other columns stay, whatever
+    their names.
+    """
+    base_name, all_name = fresh(docs.columns, "base_spans", "all_spans")
+    found = scan(docs, names=(base_name, all_name), **options)
+    changed = replaced(F.col("text"), all_name, lambda s, before: F.when(s["start"] >= before, mark).otherwise(""))
     return found.withColumn("text", changed).drop(base_name, all_name)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark and ``n_chars`` following the text."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, with their secrets replaced by a mark and ``n_chars`` following the text; other columns stay."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])

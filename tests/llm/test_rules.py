@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from granary.llm import quality, secrets, sharding, urls
@@ -99,6 +100,97 @@ def test_redaction(spark):
     assert got == {1: ('é [SECRET]" end', 15, "keep"), 2: (None, None, None), 3: ("nothing", 7, "x")}
 
 
+def test_redaction_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12", 0, "a", "b", "c")], "doc_id long, text string, n_chars long, base_spans string, All_Spans string, `x.y` string")
+    assert tuple(secrets.stage(spark, docs, "").first()) == (1, "[SECRET]", 8, "a", "b", "c")
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def dense(n):
+    """A long text of many matches, some of which overlap, and its redaction by regular expressions."""
+    text = "é " + " ".join(f"token=abcdefgh{i:06} the {'0123456789abcdef' * 2}{i % 7} AKIA0123456789ABCD{i % 5}" for i in range(n)) + " end"
+    return text
+
+
+def test_long_text_full_of_matches(spark):
+    text = dense(3000)
+    row = secrets.redact(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    own = spans(text)
+    assert len(own) == 9000 and [(s.start, s.rank, s.end) for s in row.base_spans] == own
+    out, at = [], 0
+    for s in row.spans:
+        if s.start >= at:
+            out += [text[at : s.start], "[SECRET]"]
+        at = max(at, s.end)
+    assert row.text == "".join(out) + text[at:]
+
+
+def test_time_is_linear_in_matches(spark):
+    took = []
+    for n in (2000, 2000, 8000):
+        docs = spark.createDataFrame([(1, dense(n))], "doc_id long, text string")
+        began = time.perf_counter()
+        secrets.redact(docs, ratios=[0.0] * secrets.SIDE**2).collect()
+        took.append(time.perf_counter() - began)
+    assert took[2] < 8 * took[1] + 1
+
+
+def added_spans(text, ratios):
+    """The spans of the models by their definition, with plain loops."""
+    text, out = text or "", []
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    hidden = list(text)
+    for a, _, b in spans(text):
+        hidden[a:b] = " " * (b - a)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(hidden)):
+        run, first = m[0], m.start()
+        value = [ratios[at[x] * secrets.SIDE + at[y]] for x, y in zip(run, run[1:])]
+        mean = lambda v: sum(v) / max(len(v), 1)
+        if len(set(run)) < secrets.DISTINCT:
+            continue
+        if mean(value) > secrets.THRESHOLD:
+            out.append((first, 3, first + len(run)))
+            continue
+        found, begin, last, total, top = [], 0, 0, 0.0, 0.0
+        for k, x in enumerate([*value, None]):
+            if x is not None:
+                total += x - secrets.THRESHOLD
+                if total > top:
+                    last, top = k + 1, total
+                if not (total <= 0 or top - total > secrets.DROP):
+                    continue
+            if last - begin + 1 >= secrets.SHORTEST:
+                found.append((begin, last + 1))
+            begin = last = k + 1
+            total = top = 0.0
+        for a, b in found:
+            short = max(secrets.LEAST - (b - a), 0)
+            low, high = max(a - short, 0), min(b + short, len(run))
+            both = [(low, max(b, low + secrets.LEAST)), (min(a, high - secrets.LEAST), high)]
+            score, a, b = max((mean(value[x : y - 1]), x, y) for x, y in both)
+            if score > secrets.THRESHOLD and len(set(run[a:b])) >= secrets.DISTINCT:
+                out.append((first + a, 3, first + b))
+    return out
+
+
+def test_added_spans_equal_plain_loops(spark, small):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = ["/".join(rng.choice(["".join(rng.choice(letters) for _ in range(rng.randint(5, 40))), "documentation", "international_index", "zz"]) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [f"a {x} b {y}" for x, y in zip(mixed, mixed[1:])]
+    ratios = secrets.fit(secrets.samples(spark))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in secrets.scan(docs, ratios).collect()}
+    expected = {i: sorted([*spans(t), *added_spans(t, ratios)]) for i, t in enumerate(texts)}
+    assert got == expected and sum(r == 3 for v in got.values() for _, r, _ in v) > 50
+
+
+def test_fit_takes_the_same_rows_of_a_larger_sample(spark):
+    rows = secrets.samples(spark)
+    assert secrets.fit(rows, 500) == secrets.fit(rows.repartition(7), 500) != secrets.fit(rows)
+    assert set(secrets.fit(rows.limit(0))) == {0.0}
+
+
 def test_shards(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.octet_length("text").alias("size"))
     for shards in (1, 3, 8):
