@@ -130,7 +130,7 @@ def decode_blocks(sizes: np.ndarray, bits: bytes, n_bits: np.ndarray, marks: np.
 def _tokenized(parts: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     from granary.llm.tokenize import word_tokenizer
 
-    tokenizer = word_tokenizer(path, 1_500_000)
+    tokenizer = word_tokenizer(path, 112 << 20)
     for part in slices(parts, 1, 4 << 20):  # fewer, larger searches among the remembered chunks
         ids, sizes = tokenizer.encode(part.column(1).to_pylist(), end)
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), binaries(ids.astype("<u2" if tokenizer.size <= 65536 else "<u4"), sizes)], names=["doc_id", "n_tokens", "ids"])

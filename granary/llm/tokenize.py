@@ -18,6 +18,18 @@ _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı
 _WORDS = re.compile(r"""'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
 
 
+#: The steps of a file for which the way through chunks is right.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the others from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -32,26 +44,28 @@ _SECOND = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B42
 class WordTokenizer:
     """Encodes whole texts as the library would with ``add_special_tokens=False``.
 
-    The file's model splits texts into words, so the ids of a lower-cased chunk between white space never depend on its
-    neighbours. Chunks are found and hashed in NumPy; the library's model encodes each distinct chunk once, and texts are
-    put together from the remembered ids. Beyond ``most`` chunks, those of the latest texts stay. Texts with characters
-    beyond ``_PLAIN`` are encoded whole by the library, as are all texts if the file is of another kind. Strings of
-    special tokens in a text are ordinary text.
+    A file whose normalizer, pre-tokenizer and end-of-word suffix are the ones above splits texts into words, so the ids of
+    a lower-cased chunk between white space never depend on its neighbours. Chunks are found and hashed in NumPy; the
+    library's model encodes each distinct chunk once, and texts are put together from the remembered ids. If these take
+    more than ``most`` bytes, those of the latest texts stay. The library encodes whole what this does not hold for: texts
+    with characters beyond ``_PLAIN`` or with the string of an added token, and all texts if the file has other steps.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
-        self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunked = bool(self.ends.any())
+        file = json.loads(self.library.to_str())
+        self.chunked = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == _PRE_TOKENIZER and file["model"].get("end_of_word_suffix") == "</w>"
+        added = [t["content"] for t in file["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         if self.chunked:  # the file's model alone, for words that are split and normal already
-            parts = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            parts = file | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
             self.model = Tokenizer.from_str(json.dumps(parts))
             letters = _byte_letters()
             self.letters = {b: letters[b] for b in range(256) if b != 32}
@@ -106,7 +120,7 @@ class WordTokenizer:
         many = self.many[at][entry]
         total = np.concatenate([[0], np.cumsum(many)])
         out = self.ids[np.repeat(self.start[at][entry] - total[:-1], many) + np.arange(total[-1])]
-        if len(self.first) > self.most:
+        if 32 * len(self.first) + 4 * len(self.ids) > self.most:
             keep = np.zeros(len(self.first), bool)
             keep[at] = True
             many = self.many[keep]
@@ -118,7 +132,7 @@ class WordTokenizer:
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (null: empty), one after the other, each with ``end`` after it, and how many each has."""
         texts = [t or "" for t in texts]
-        plain = np.array([self.chunked and _PLAIN.fullmatch(t) is not None for t in texts], bool)
+        plain = np.array([self.chunked and _PLAIN.fullmatch(t) is not None and not (self.added and self.added.search(t)) for t in texts], bool)
         raw = [t.lower().encode() for t, ok in zip(texts, plain) if ok]
         got = self._plain(b"".join(raw), np.array([len(r) for r in raw], np.int64)) if raw else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if got is None:
@@ -153,8 +167,8 @@ class WordTokenizer:
 _loaded: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str, most: int = 600_000) -> WordTokenizer:
-    """One per worker process, file and size of memory."""
+def word_tokenizer(path: str, most: int = 48 << 20) -> WordTokenizer:
+    """One per worker process, file and bytes of memory."""
     if (path, most) not in _loaded:
         _loaded[path, most] = WordTokenizer(path, most)
     return _loaded[path, most]

@@ -1,11 +1,10 @@
 import corpus_pipeline
-import numpy as np
 from granary.llm import packing, quality, secrets
 from granary.llm.queries import QUERIES, SQL
 
 from tests.llm.test_near import brute
 from tests.llm.test_rules import base
-from tests.llm.test_tokens import library  # noqa: F401
+from tests.llm.test_tokens import library, wide  # noqa: F401
 
 
 def clean(text):
@@ -30,7 +29,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small, library):  # no
     assert set(by_doc) == set(kept)
     for i in kept:
         parts = sorted(by_doc[i], key=lambda p: p.start)
-        assert np.frombuffer(b"".join(p.ids for p in parts), "<u4").tolist() == library(redacted[i])
+        assert [x for p in parts for x in wide(p)] == library(redacted[i])
     assert set(packing.digest(corpus_pipeline.run(spark, small)).columns) >= {"doc_id", "start", "length", "ids_crc32"}
 
 

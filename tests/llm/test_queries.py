@@ -14,7 +14,7 @@ from granary.llm.queries import QUERIES, SQL
 
 from tests.llm.test_near import brute
 from tests.llm.test_rules import spans
-from tests.llm.test_tokens import library  # noqa: F401
+from tests.llm.test_tokens import library, sequences  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,8 @@ def test_sql(spark, small, name):
 def test_packing(spark, small, texts, library):  # noqa: F811
     ids = {k: library(t) for k, t in texts.items()}
     rows = QUERIES["op2_packing"](spark, small).collect()
+    used = sequences(rows)
+    assert max(used) <= 2048 and len(used) <= 1.02 * sum(used) / 2048 + 1
     assert sum(r.length for r in rows) == sum(map(len, ids.values()))
     for r in rows:
         assert r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(ids[r.doc_id])

@@ -15,13 +15,12 @@ from tokenizers import Tokenizer
 from tests.llm.helpers import TEXTS, awkward
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-HARD = [t for _, t in TEXTS] + ["a\x1cb", "Don't THEY'LL 12ab_3 __ <|endoftext|> x", "'S 's'T", "ǅ ŉ ß ẞ", "a'b''s", "１２ ½ ⅓", "…“a”—b", "²ªº"]
+HARD = [t for _, t in TEXTS] + ["a\x1cb", "Don't THEY'LL 12ab_3 __ <|endoftext|> x", "a<|endoftext|><|startoftext|>B <|ENDOFTEXT|> <| endoftext |>", "'S 's'T", "ǅ ŉ ß ẞ", "a'b''s", "１２ ½ ⅓", "…“a”—b", "²ªº"]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -32,38 +31,104 @@ def runs(ids, sizes):
 
 def test_words_equal_the_library(spark, small, library):
     texts = HARD + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    worker = WordTokenizer(PATH, most=50)
+    worker = WordTokenizer(PATH, most=2000)
     for _ in range(2):
         assert runs(*worker.encode(texts, 1)) == [library(t) for t in texts]
     assert runs(*worker.encode([])) == []
 
 
+def test_control_strings_in_random_texts(library):
+    rng = np.random.default_rng(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "<|EndOfText|>", " ", "\n", "a", "B", "'s", "1", "é", "</w>", "_", "中"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(3000)]
+    assert runs(*WordTokenizer(PATH).encode(texts, 1)) == [library(t) for t in texts]
+
+
+def test_memory_is_bounded_by_bytes():
+    rng = np.random.default_rng(1)
+    worker = WordTokenizer(PATH, most=100_000)
+    for _ in range(20):
+        worker.encode([" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 400)) for _ in range(20))])
+        assert 32 * len(worker.first) + 4 * len(worker.ids) < 200_000
+
+
+def test_other_steps_go_to_the_library(tmp_path):
+    import json
+
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:2]  # keeps the case
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file), encoding="utf-8")
+    own = Tokenizer.from_file(str(other))
+    texts = ["Some Text WITH capitals", "none"]
+    assert runs(*WordTokenizer(str(other)).encode(texts)) == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def sequences(pieces):
+    """Length of each sequence, whose pieces must follow each other without a gap."""
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for parts in by_sequence.values():
+        parts.sort(key=lambda p: p.offset)
+        assert [p.offset for p in parts] == np.cumsum([0, *[p.length for p in parts]])[:-1].tolist()
+    return [sum(p.length for p in parts) for parts in by_sequence.values()]
+
+
+def wide(p):
+    return np.frombuffer(p.ids, "<u2" if len(p.ids) == 2 * p.length else "<u4").tolist()
+
+
 def test_packing_covers_each_id_once(spark, small, library):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     pieces = packing.pack_documents(docs).collect()
-    by_doc, by_sequence = {}, {}
+    by_doc = {}
     for p in pieces:
-        assert len(p.ids) == 4 * p.length
         by_doc.setdefault(p.doc_id, []).append(p)
-        by_sequence.setdefault(p.sequence_id, []).append(p)
     for k, text in texts.items():
         parts = sorted(by_doc[k], key=lambda p: p.start)
         assert [p.start for p in parts] == np.cumsum([0, *[p.length for p in parts]])[:-1].tolist()
-        assert np.frombuffer(b"".join(p.ids for p in parts), "<u4").tolist() == library(text)
+        assert [i for p in parts for i in wide(p)] == library(text)
         assert {p.doc_tokens for p in parts} == {sum(p.length for p in parts)}
-    used = 0
-    for parts in by_sequence.values():
-        parts.sort(key=lambda p: p.offset)
-        assert [p.offset for p in parts] == np.cumsum([0, *[p.length for p in parts]])[:-1].tolist()
-        used += sum(p.length for p in parts)
-        assert sum(p.length for p in parts) <= 2048
-    assert used / (2048 * len(by_sequence)) > 0.97
-    assert {tuple(r) for r in packing.digest(packing.pack_documents(docs)).select("doc_id", "start", "ids_crc32").collect()} == {(p.doc_id, p.start, zlib.crc32(p.ids)) for p in pieces}
+    used = sequences(pieces)
+    assert max(used) <= 2048 and sum(used) / (2048 * len(used)) > 0.98
+    digests = {tuple(r) for r in packing.digest(packing.pack_documents(docs)).select("doc_id", "start", "ids_crc32").collect()}
+    assert digests == {(p.doc_id, p.start, zlib.crc32(np.asarray(wide(p), "<u4"))) for p in pieces}
+
+
+def test_packing_does_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    filled = [sorted(sequences(packing.pack_documents(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert filled[0] == filled[1]
+
+
+def test_plan_equals_one_window_at_a_time():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        window = int(rng.integers(5, 60))
+        lengths = rng.integers(1, window, rng.integers(1, 80)).tolist()
+        counts = {x: lengths.count(x) for x in lengths}
+        left, single = dict(counts), []
+        while left:
+            longest = max(left)
+            taken = {longest: 1}
+            for _ in range(2):
+                for k, m in taken.items():
+                    left[k] -= m
+                    if not left[k]:
+                        del left[k]
+                single.append(longest + sum(k * m for k, m in taken.items())) if _ else None
+                taken = packing.fill(left, window - longest) if not _ else {}
+        lines = packing.plan(counts, window)
+        assert sorted(single) == sorted(sum(k * m for k, m in p.items()) for p, t in lines for _ in range(t))
+        assert {k: sum(p.get(k, 0) * t for p, t in lines) for k in counts} == counts
+        assert len(lines) <= len(counts) * (window // min(counts)).bit_length() + len(counts)
 
 
 def test_packing_of_awkward_rows(spark):
     pieces = packing.pack_documents(awkward(spark)).collect()
+    sequences(pieces)
     assert sorted((p.doc_id or 0) for p in pieces if p.start == 0) == sorted((i or 0) for i, _ in TEXTS)
     assert packing.pack_documents(awkward(spark).limit(0)).count() == 0
 
