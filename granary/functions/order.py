@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE, MOST_RANGES = 200_000, 4096
+ROWS_PER_RANGE, MOST_RANGES = 200_000, 16_384
 
 
 def bounds_of(df: DataFrame, key: Column, rows: int = ROWS_PER_RANGE) -> list[float]:
@@ -22,12 +24,12 @@ def bounds_of(df: DataFrame, key: Column, rows: int = ROWS_PER_RANGE) -> list[fl
 def range_of(key: Column, bounds: list) -> Column:
     """The number of ``bounds`` (ascending, of the key's own kind) at or below ``key``; nulls belong to the first range.
 
-    Plain comparisons, first with every 64th bound, then with the 64 from there on.
+    Plain comparisons, first with every ``step``-th bound, then with those from there on.
     """
     if not bounds:
         return F.lit(0)
     below = lambda tests: F.size(F.array_remove(F.array(*tests), F.lit(False)))
-    step = 64
+    step = max(64, math.isqrt(len(bounds)) + 1)
     rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     if len(rows) == 1:
         found = below([key >= F.lit(b) for b in bounds])
