@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.order import range_of
-from granary.functions.storage import materialize, on_workers_path, remove, scratch, shared_dir, sweep, work_path  # noqa: F401
+from granary.functions import storage
+from granary.functions.storage import on_workers_path, remove, scratch, shared_dir, sweep, work_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,39 +35,70 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def range_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 4096) -> list[int]:
+def range_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 16_384) -> list[int]:
     """Values of ``key`` that cut ``df`` into ranges of about ``rows_per_bucket`` rows (at most ``most`` ranges).
 
-    One job over the key column alone. The values occur in the data, ascend, and go into the plan as literals, so a
-    row's range is the same in each job and each retry. Nulls of the key count as below all values.
+    One job over the key column alone. The values occur in the data and do not descend; a value that holds several
+    quantiles is there as often. They go into the plan as literals, so a row's range is the same in each job and each
+    retry. Nulls of the key count as below all values.
     """
     n, least = df.agg(F.count(key), F.min(key)).first()
     parts = max(1, min(most, -(-n // rows_per_bucket)))
     if n == 0 or parts == 1:
         return []
     at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts))).first()[0]
-    return sorted({int(x) for x in found if x > least})
+    found = sorted(int(x) for x in df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts))).first()[0])
+    return [x for i, x in enumerate(found) if x > least or found[i : i + 2] == [x, x]]
+
 
+def range_bucket(key: str | Column, bounds: list[int], spread: Column | None = None) -> Column:
+    """Number of bounds at or below the key; 0 for a null key.
 
-def range_bucket(key: str | Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key; 0 for a null key."""
-    return range_of(F.col(key) if isinstance(key, str) else key, bounds)
+    Rows of a key that holds m bounds are dealt over the last m ranges up to there by ``spread``, a 64-bit hash: the order
+    of ranges is that of (key, spread).
+    """
+    column = F.col(key) if isinstance(key, str) else key
+    own = range_of(column, bounds)
+    times = Counter(bounds)
+    hot = {x: m for x, m in times.items() if m > 1}
+    if spread is None or not hot:
+        return own
+    many = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), column)
+    part = F.floor((spread.cast("double") + 2.0**63) / 2.0**64 * many)
+    return F.coalesce(own - many + 1 + F.greatest(F.least(part, many - 1), F.lit(0)), own).cast("int")
 
 
 ROWS_PER_BATCH, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside send Python at most ``ROWS_PER_BATCH`` rows at once; the session's setting is put back.
+
+    Whole texts are long rows, and both sides hold a batch or two per task.
+    """
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder, in small batches of whole texts, and read it back."""
+    with small_batches(df.sparkSession):
+        return storage.materialize(df, name, codec)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers find this package, and give what a task has freed back to the system after it.
 
-    Whole texts are long rows: the session's Arrow batches are lowered to ``ROWS_PER_BATCH`` rows if they are larger, since
-    both sides hold a batch or two per task.
+    A result that is handed out lazily is run with the session's own spark.sql.execution.arrow.maxRecordsPerBatch.
     """
     spark = df.sparkSession
     on_workers_path(spark)
-    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= ROWS_PER_BATCH:
-        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
 
     def run(parts):
         try:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_arrow, range_bounds, range_bucket, remove, slices, table, work_path
+from granary.llm.common import map_arrow, materialize, range_bounds, range_bucket, scratch, slices, small_batches, table, work_path
 
 END, LIMIT, STRIDE = 1, 18, 128
 
@@ -171,18 +171,20 @@ def _coded(parts: Iterator[pa.RecordBatch], lengths: np.ndarray, stride: int) ->
             piece = part.slice(a, 512)
             sizes = np.asarray(piece.column(1))
             bits, n_bits, marks, n_marks = encode_blocks(_numbers(piece.column(2), sizes), sizes, lengths, codes, stride)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), binaries(bits, n_bits), binaries(marks, n_marks)], names=["doc_id", "n_tokens", "bits", "checkpoints"])
+            columns = [piece.column(0), piece.column(1), binaries(bits, n_bits), binaries(marks, n_marks), piece.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "bits", "checkpoints", "spread"])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: int = END, limit: int = LIMIT, stride: int = STRIDE, rows_per_file: int = 20_000) -> str:
     """Encode documents (doc_id, text) and write their ids in the folder ``path``, in ascending doc_id order.
 
-    Jobs: range bounds of doc_id; encode each text once into an intermediate table in the shared folder; sum the counts
+    Jobs: encode each text once into an intermediate table in the shared folder; range bounds of doc_id; sum the counts
     of ids (the driver gets one row per id of the vocabulary); code each document with the global code; shuffle the
     coded documents by range, each to the partition of its number, and write them sorted, so that the order of the part
-    files is that of the ranges. ``start`` comes from the sums of the ranges and a running sum
-    within each. Null texts count as empty, null doc_ids stand first, rows that repeat a doc_id stand beside each
-    other in order of their bits, an empty table gives an empty folder of files; other columns are not read.
+    files is that of the ranges. ``start`` comes from the sums of the ranges and a running sum within each. Null texts count
+    as empty, null doc_ids stand first, rows that repeat a doc_id stand beside each other in order of a hash of their ids
+    (if they are so many that they hold several ranges, they are dealt over these by it), an empty table gives an empty
+    folder of files; other columns are not read.
     """
     spark = docs.sparkSession
     if tokenizer_path is None:
@@ -191,37 +193,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     name = str(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = range_bounds(rows, "doc_id", rows_per_file)
-    held = work_path(spark, "ids")
-    kinds = "doc_id long, n_tokens long, ids binary"
-    map_arrow(rows, lambda parts: _tokenized(parts, name, end), kinds).write.option("compression", "zstd").parquet(held)
-    encoded = spark.read.schema(kinds).parquet(held)
-    counted = map_arrow(encoded.select("n_tokens", "ids"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max([r["id"] for r in counted], default=0) + 1, np.int64)
-    for r in counted:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts, limit)
-    bucket = range_bucket("doc_id", bounds)
-    sums = {r["bucket"]: r["n"] for r in encoded.groupBy(bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()}
-    before, starts = 0, []
-    for k in range(len(bounds) + 1):
-        starts.append(before)
-        before += sums.get(k, 0)
-    coded = map_arrow(encoded, lambda parts: _coded(parts, lengths, stride), "doc_id long, n_tokens long, bits binary, checkpoints binary")
-    running = F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "bits").rowsBetween(Window.unboundedPreceding, -1))
-    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket") + 1)
-    (
-        coded.withColumn("bucket", range_bucket("doc_id", bounds))
-        .repartitionById(len(bounds) + 1, "bucket")
-        .withColumn("start", base + F.coalesce(running, F.lit(0)))
-        .select("bucket", "doc_id", "start", "n_tokens", "bits", "checkpoints")
-        .write.option("compression", "none")
-        .parquet(f"{path}/blocks")
-    )
+    with scratch(spark):
+        kinds = "doc_id long, n_tokens long, ids binary"
+        encoded = materialize(map_arrow(rows, lambda parts: _tokenized(parts, name, end), kinds), "ids")
+        encoded = encoded.withColumn("spread", F.xxhash64("ids"))
+        bounds = range_bounds(encoded, "doc_id", rows_per_file)
+        bucket = range_bucket("doc_id", bounds, F.col("spread"))
+        counted = map_arrow(encoded.select("n_tokens", "ids"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(max([r["id"] for r in counted], default=0) + 1, np.int64)
+        for r in counted:
+            counts[r["id"]] = r["n"]
+        lengths = code_lengths(counts, limit)
+        sums = {r["bucket"]: r["n"] for r in encoded.groupBy(bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()}
+        before, starts = 0, []
+        for k in range(len(bounds) + 1):
+            starts.append(before)
+            before += sums.get(k, 0)
+        kinds = "doc_id long, n_tokens long, bits binary, checkpoints binary, spread long"
+        coded = map_arrow(encoded.select("doc_id", "n_tokens", "ids", "spread"), lambda parts: _coded(parts, lengths, stride), kinds)
+        order = [F.col("doc_id").asc_nulls_first(), "spread", "n_tokens", "bits"]
+        running = F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        base = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket") + 1)
+        blocks = (
+            coded.withColumn("bucket", bucket)
+            .repartitionById(len(bounds) + 1, "bucket")
+            .withColumn("start", base + F.coalesce(running, F.lit(0)))
+            .select("bucket", "doc_id", "start", "n_tokens", "bits", "checkpoints")
+        )
+        with small_batches(spark):
+            blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     used = np.flatnonzero(lengths)
     table_rows = spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "length": pa.array(lengths[used], pa.int32())}))
     table_rows.coalesce(1).write.parquet(f"{path}/lengths")
-    remove(spark, held)
     return path
 
 
