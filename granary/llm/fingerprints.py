@@ -53,7 +53,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _compared(parts: Iterator[pa.RecordBatch], bins: int, bits: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, role, doc_id, text); role 0: the first rows of the next range, role 1: the range's own."""
+    """Rows sorted by (range, role, doc_id, hash of text, text); role 0: first rows of the next range, role 1: the range's own."""
     ahead: dict[str, object] = {"range": None, "text": ""}
     held: tuple | None = None  # the row whose following text is not known yet
 
@@ -108,22 +108,29 @@ def _compared(parts: Iterator[pa.RecordBatch], bins: int, bits: int, words: int)
 def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int = WORDS, rows_per_range: int = 4000) -> DataFrame:
     """Fingerprints of documents (doc_id, text) and of their edited texts, and their likeness.
 
-    One shuffle of the texts, by ranges of doc_id; a range's first row also goes to the range before it (that of the
-    first range to the last one), so that each task finds the text that follows its last row. A task streams its rows and
-    holds a few MB of them. Rows that tie on doc_id follow each other in order of their text, a null doc_id stands first,
-    a null text counts as empty, a single row follows itself, an empty table gives no rows; other columns are not read.
+    One shuffle of the texts, by ranges of doc_id, each to the partition of its number; the first row of a range that has
+    rows also goes to the last range before it that has rows (that of the first one to the last one), so that each task
+    finds the text that follows its last row. A task streams its rows and holds a few MB of them. Rows that tie on doc_id
+    follow each other in order of a hash of their text; if they are so many that they hold several ranges, they are dealt
+    over these by it. A null doc_id stands first, a null text counts as empty, a single row follows itself, an empty
+    table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     bounds = range_bounds(rows, "doc_id", rows_per_range)
     n = len(bounds) + 1
-    least, nulls = rows.agg(F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    own = range_bucket("doc_id", bounds)
-    leads = F.col("doc_id").isNull() if nulls else F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))
-    opens = leads | F.col("doc_id").isin(bounds) if bounds else leads
-    target = F.struct(own.alias("range"), F.lit(1).alias("role"))
-    lead = F.struct(F.pmod(own - 1, F.lit(n)).cast("int").alias("range"), F.lit(0).alias("role"))
-    sent = rows.select(F.explode(F.when(opens, F.array(target, lead)).otherwise(F.array(target))).alias("to"), "doc_id", "text")
-    dealt = sent.select("to.range", "to.role", "doc_id", "text").repartition(n, "range").sortWithinPartitions("range", "role", F.col("doc_id").asc_nulls_first(), "text")
+    spread = F.xxhash64("text")
+    own = range_bucket("doc_id", bounds, spread)
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", spread.alias("spread")))
+    opens = rows.groupBy(own.alias("range")).agg(first.alias("first")).orderBy("range").collect()  # a row for each range
+    known = [(r["range"], r["first"]["doc_id"], r["first"]["spread"], opens[k - 1]["range"]) for k, r in enumerate(opens)]
+    ends = docs.sparkSession.createDataFrame(known, "range int, first_id long, first_spread long, ahead int")
+    rows = rows.withColumns({"range": own, "spread": spread}).join(F.broadcast(ends), "range")
+    firsts = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("spread") == F.col("first_spread"))
+    lead = F.struct(F.col("ahead").alias("range"), F.lit(0).alias("role"))
+    target = F.struct(F.col("range"), F.lit(1).alias("role"))
+    sent = rows.select(F.explode(F.when(firsts, F.array(target, lead)).otherwise(F.array(target))).alias("to"), "doc_id", "spread", "text")
+    dealt = sent.select("to.range", "to.role", "doc_id", "text", "spread").repartitionById(n, "range")
+    dealt = dealt.sortWithinPartitions("range", "role", F.col("doc_id").asc_nulls_first(), "spread", "text").drop("spread")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return map_arrow(dealt, lambda parts: _compared(parts, bins, bits, words), kinds)
 
