@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import range_bounds, range_bucket, table, text_of
+from granary.llm.common import materialize, range_bounds, range_bucket, table, text_of
 
 
-def assign_shards(df: DataFrame, key: str, size: str, shards: int, tie: list[str] | None = None, rows_per_range: int = 20_000) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, size: str, shards: int, rows_per_range: int = 20_000) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: cut at equal targets of the running sum of ``size`` in the order of ``key``.
 
     The key's quantiles make ranges (a bounded number); the ranges' totals, a row each, give the sum before each range,
     and a running sum within a range completes it. A row belongs to the shard in which the middle of its bytes falls,
     so a shard is off its target by at most the sizes of the two rows at its ends. ``slot`` counts the rows of a shard
-    from 0 in the same order. Rows that tie on ``key`` are ordered by the columns ``tie``. A null key stands first, a null
-    size counts as 0; an empty table gives no rows; columns named ``shard`` and ``slot`` are replaced and others stay.
+    from 0 in the same order. Rows that tie on ``key`` are ordered by a hash of their number in the table; if they are so
+    many that they hold several ranges, they are dealt over these by it. A null key stands first, a null size counts as 0; an
+    empty table gives no rows; columns named ``shard`` and ``slot`` are replaced and others stay.
+
+    ``df`` is read once, into a written table in which each row has a number, so that it stands at the same place in each
+    job and each retry. It should hold keys and sizes rather than texts.
     """
-    ties = [F.col(x).alias(f"tie{i}") for i, x in enumerate(tie or [])]
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # apart from the columns made here, whatever their names
-    bounds = range_bounds(df, key, rows_per_range)
-    rows = df.select(whole.alias("row"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), range_bucket(key, bounds).alias("range"), *ties)
-    order = [F.col("key").asc_nulls_first(), *[F.col(f"tie{i}").asc_nulls_first() for i in range(len(ties))]]
+    rows = df.select(whole.alias("row"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    rows = materialize(rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())), "rows")
+    bounds = range_bounds(rows, "key", rows_per_range)
+    rows = rows.withColumn("range", range_bucket("key", bounds, F.col("spread")))
+    order = [F.col("key").asc_nulls_first(), F.col("spread")]
     totals = rows.groupBy("range").agg(F.sum("size").alias("bytes"))
     every = Window.partitionBy(F.lit(0))  # over as many rows as there are ranges
     before = totals.select(
@@ -46,6 +51,7 @@ def assign_shards(df: DataFrame, key: str, size: str, shards: int, tie: list[str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = text_of().cast("binary")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = assign_shards(docs, "doc_id", "size", 8, tie=["size", "text_crc32"])
+    size = (F.octet_length(raw) + 1).cast("long")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = assign_shards(docs, "doc_id", "size", 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
