@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, scratch, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict); a rule is a host, which stands for its subdomains too, and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, STEPS, TOLERANCE = 0.85, 30, 1e-9
-#: A host is blocked from this much distrust over trust on, in units of the score of a host that is a seed with all its
-#: pages and that no link reaches.
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: A host is blocked from this much distrust over trust on, each in units of what a host scores that is a seed with all its
+#: pages and that no link reaches or leaves.
 BLOCK_FROM = 0.5
 
 
@@ -48,31 +48,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score): what seeds (host, weight) spread over edges (src, dst, n), in equal shares by link.
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, score): what seeds (host, weight) spread over edges (src, dst, n), in equal shares by link, in units of a seed
+    of weight 1 without links.
 
-    score = (1 - damping) * weight + damping * sum over links to the host, at most ``steps`` times or until no score moves
-    by more than ``tolerance``. Each step is a join and a grouping by host, written to the shared folder. Hosts
-    without links out keep their share.
+    Personalised PageRank: a host has (1 - damping) times its weight, and damping times what links bring; what hosts without
+    links out would send goes back to the seeds by weight. Steps are repeated until no score moves by more than
+    ``tolerance``; since each step shrinks the differences by ``damping``, that takes at most log(tolerance) / log(damping)
+    steps. A step is a join and a grouping by host, written to the shared folder.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "flow")
-    base = materialize(seeds.filter("weight > 0").select("host", (F.col("weight") * (1 - damping)).alias("base")), "seeds")
-    now = base.select("host", F.col("base").alias("score"))
-    if flow.isEmpty() or base.isEmpty():
-        return now
-    for _ in range(steps):
-        sent = flow.join(now, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score") * damping).alias("got"))
-        after = sent.join(base, "host", "full").select("host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"))
+    ends = flow.select(F.col("dst").alias("host"), F.lit(0.0).alias("weight"), F.lit(False).alias("sends"))
+    starts = flow.select(F.col("src").alias("host"), F.lit(0.0).alias("weight"), F.lit(True).alias("sends"))
+    hosts = seeds.select("host", F.col("weight").cast("double").alias("weight"), F.lit(False).alias("sends")).unionByName(ends).unionByName(starts)
+    hosts = materialize(hosts.groupBy("host").agg(F.max("weight").alias("weight"), F.max("sends").alias("sends")), "seeds")
+    total, stays = hosts.agg(F.sum("weight"), F.sum(F.when(~F.col("sends"), F.col("weight")))).first()
+    if not total:
+        return hosts.select("host", F.lit(0.0).alias("score"))
+    now = hosts.withColumn("score", F.col("weight"))
+    while True:
+        back = (1 - damping) + damping * (stays or 0.0) / total
+        sent = flow.join(now.select("host", "score"), F.col("src") == F.col("host")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        score = F.col("weight") * back + F.coalesce("got", F.lit(0.0)) * damping
+        after = now.join(sent, F.col("host") == F.col("to"), "left").select("host", "weight", "sends", F.col("score").alias("old"), score.alias("score"))
         after = materialize(after, "scores")
-        moved = after.join(now.withColumnRenamed("score", "old"), "host", "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        now = after
-        if moved is None or moved <= tolerance:
-            break
-    return now
+        moved, stays = after.agg(F.max(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(~F.col("sends"), F.col("score")))).first()
+        now = after.drop("old")
+        if moved <= tolerance:
+            return after.select("host", (F.col("score") / back).alias("score"))
 
 
-def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, trust, distrust, verdict of pages (page_id, url, html).
 
     A rule's verdict is its own; the others' is ``block`` if their host's distrust less trust reaches ``block_from``,
@@ -87,18 +94,21 @@ def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM, damping
     for rule, verdict in rules:
         kind = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(kind)
     own = own.withColumn("kind", kind)
-    hosts = own.filter("host != ''").groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "allow", 1)).alias("good"), F.count(F.when(F.col("kind") == "block", 1)).alias("bad"))
-    hosts = materialize(hosts, "hosts")
-    edges = materialize(host_edges(own), "host-edges")
-    trust = spread(hosts.select("host", (F.col("good") / F.col("n")).alias("weight")), edges, damping, steps)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(hosts.select("host", (F.col("bad") / F.col("n")).alias("weight")), back, damping, steps)
-    unit = 1 - damping
-    scores = hosts.select("host").join(trust.withColumnRenamed("score", "t"), "host", "left").join(distrust.withColumnRenamed("score", "d"), "host", "left")
-    scores = scores.select("host", (F.coalesce("t", F.lit(0.0)) / unit).alias("trust"), (F.coalesce("d", F.lit(0.0)) / unit).alias("distrust"))
+    with scratch(pages.sparkSession) as work:
+        good, bad = F.count(F.when(F.col("kind") == "allow", 1)), F.count(F.when(F.col("kind") == "block", 1))
+        hosts = own.filter("host != ''").groupBy("host").agg((good / F.count("*")).alias("good"), (bad / F.count("*")).alias("bad"))
+        hosts = materialize(hosts, "hosts")
+        edges = materialize(host_edges(own), "host-edges")
+        trust = spread(hosts.select("host", F.col("good").alias("weight")), edges, damping).withColumnRenamed("score", "trust")
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+        distrust = spread(hosts.select("host", F.col("bad").alias("weight")), back, damping).withColumnRenamed("score", "distrust")
+        scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
+        scores = materialize(scores, "scores")
+        work.keep(scores)
     blocked = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= block_from
     judged = own.select("page_id", "host", "path", "rule", "kind").join(scores, "host", "left")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("kind", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+    spread_ = [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("trust", "distrust")]
+    return judged.select("page_id", "host", "path", "rule", *spread_, F.coalesce("kind", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,17 +142,23 @@ WITH RECURSIVE own AS (
 ), forward AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
 backward AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM edges),
 nodes AS (
-  SELECT name AS host, coalesce(any_value(good), 0) AS good, coalesce(any_value(bad), 0) AS bad
+  SELECT name AS host, coalesce(any_value(good), 0) AS good, coalesce(any_value(bad), 0) AS bad,
+    name IN (SELECT src FROM edges) AS sends, name IN (SELECT dst FROM edges) AS receives
   FROM (SELECT host AS name FROM hosts UNION SELECT src FROM edges UNION SELECT dst FROM edges) LEFT JOIN hosts ON host = name GROUP BY name
-), score AS (
-  SELECT 0 AS step, host, 0.15 * good AS t, 0.15 * bad AS d FROM nodes
+), seeds AS (SELECT nullif(sum(good), 0) AS good, nullif(sum(bad), 0) AS bad FROM nodes),
+score AS (
+  SELECT 0 AS step, host, good AS t, bad AS d, sends, receives, 1.0::DOUBLE AS ut, 1.0::DOUBLE AS ud FROM nodes
   UNION ALL
-  SELECT max(s.step) + 1, v.host,
-    any_value(0.15 * v.good) + 0.85 * coalesce(sum(f.share * s.t) FILTER (f.dst = v.host), 0),
-    any_value(0.15 * v.bad) + 0.85 * coalesce(sum(b.share * s.d) FILTER (b.dst = v.host), 0)
-  FROM nodes v CROSS JOIN score s LEFT JOIN forward f ON f.src = s.host AND f.dst = v.host LEFT JOIN backward b ON b.src = s.host AND b.dst = v.host
-  WHERE s.step < 30 GROUP BY v.host
-), last AS (SELECT host, t / 0.15 AS t, d / 0.15 AS d FROM score WHERE step = 30)
+  SELECT step + 1, host, good * ut + 0.85 * got_t, bad * ud + 0.85 * got_d, sends, receives, ut, ud
+  FROM (
+    SELECT max(s.step) AS step, v.host, any_value(v.good) AS good, any_value(v.bad) AS bad, any_value(v.sends) AS sends, any_value(v.receives) AS receives,
+      0.15 + 0.85 * coalesce(sum(s.t) FILTER (NOT s.sends) / any_value(w.good), 0) AS ut,
+      0.15 + 0.85 * coalesce(sum(s.d) FILTER (NOT s.receives) / any_value(w.bad), 0) AS ud,
+      coalesce(sum(f.share * s.t), 0) AS got_t, coalesce(sum(b.share * s.d), 0) AS got_d
+    FROM nodes v CROSS JOIN score s CROSS JOIN seeds w LEFT JOIN forward f ON f.src = s.host AND f.dst = v.host LEFT JOIN backward b ON b.src = s.host AND b.dst = v.host
+    WHERE s.step < 140 GROUP BY v.host
+  )
+), last AS (SELECT host, t / ut AS t, d / ud AS d FROM score WHERE step = 140)
 SELECT page_id, k.host, path, rule, coalesce(kind, CASE WHEN coalesce(d - t, 0) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM kinds k LEFT JOIN last ON k.host = last.host
 """
