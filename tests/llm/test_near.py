@@ -188,9 +188,26 @@ def test_shingles_are_those_of_the_words():
     assert (shingles.word_hashes(long, np.array([len(long)]), most=1000)[0] == shingles.word_hashes(long, np.array([len(long)]))[0]).all()
 
 
+def in_order(docs):
+    """(doc_id, text) by doc_id, ties by the hash that the operator uses."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    return [(r.doc_id, r.t) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id, r.h, r.t))]
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    rows = [(7 if i % 2 else i, f"text {i} of some words that differ by {i * i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.compare_with_next(docs, rows_per_range=20)
+    used = docs.select(fingerprints.range_bucket("doc_id", fingerprints.range_bounds(docs, "doc_id", 20), F.xxhash64("text")).alias("r")).groupBy("r").count()
+    assert max(r["count"] for r in used.collect()) < 60
+    rows = in_order(docs)
+    expected = sorted(hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest() for (_, t), (_, n) in zip(rows, rows[1:] + rows[:1]))
+    assert sorted(r.edited_sha256 for r in got.collect()) == expected
+
+
 def test_fingerprints_of_tables(spark, small):
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), awkward(spark)):
-        rows = sorted([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()], key=lambda r: (r[0] is not None, r[0], r[1].encode()))
+        rows = in_order(docs)
         got = {(r.doc_id, r.fingerprint, r.edited_sha256): r for r in fingerprints.compare_with_next(docs, rows_per_range=7).collect()}
         errors = []
         for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):

@@ -192,6 +192,23 @@ def test_files_round_trip(spark, small, library, table):
     assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def test_files_of_a_hot_id(spark, library):
+    rows = [(5 if i % 2 else i, f"text {i}" + " more" * (i % 7)) for i in range(300)]
+    path = huffman.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), work_path(spark, "test"), rows_per_file=20)
+    got = sorted(huffman.read_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == sorted((i, np.asarray(library(t), "<u4").tobytes()) for i, t in rows)
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/blocks").groupBy("bucket").count().collect()]
+    assert max(sizes) < 60
+
+
+def test_the_sessions_settings_stay(spark, small):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packing.pack_documents(spark.read.parquet(f"{small}/documents.parquet")).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_part_files_ascend(spark):
     docs = spark.range(400, 0, -1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     path = huffman.write_ids(docs, work_path(spark, "test"), rows_per_file=25)
@@ -203,15 +220,33 @@ def test_part_files_ascend(spark):
 
 def test_byte_bpe_equals_tiktoken(spark, small):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    worker = bpe.Codec(path, public_tokenizers.PATTERN, most=100)
+    worker = bpe.Codec(path, public_tokenizers.PATTERN, most=3000)
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=worker.ranks, special_tokens={})
-    hard = [t or "" for t in HARD] + ["a  b", " \n x", "foo \n bar", "foo\n bar", "foo  \n  bar ", "  a", " a ", "ab" * 700, "a\u3000 b", "a \u3000b", "=-" * 300]
+    hard = [t or "" for t in HARD] + ["a  b", " \n x", "foo \n bar", "foo\n bar", "foo  \n  bar ", "  a", " a ", "ab" * 700, "a\u3000 b", "a \u3000b", "=-" * 300, "hello" * 120, "x" * 5001, "中文字符" * 500, "".join(chr(97 + k * k % 23) for k in range(5000))]
     texts = hard + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     for _ in range(2):
         ids = worker.encode(texts)
         assert ids == [" ".join(map(str, encoding.encode_ordinary(t))) for t in texts]
     assert worker.decode(ids) == [t.encode() for t in texts]
-    assert worker.contract(["hello" * 40]) == [" ".join(map(str, worker._heap(b"hello" * 40)))]
+    both = [worker._contracted([w.encode()], q) for w in ("hello" * 40, "aaaab" * 30, "x" * 255) for q in (bpe._ENCODE, bpe._ENCODE_LONG)]
+    assert both[::2] == both[1::2]
+
+
+@pytest.mark.parametrize("pattern", [r"\w+ \w+|\s+|\S+", r"(?s).{1,7}"])
+def test_byte_bpe_with_another_pattern(pattern):
+    worker = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=worker.ranks, special_tokens={})
+    texts = ["some words stand here, and there", "a  b\n c", "", "é 中文 x", " lead"]
+    assert worker.encode(texts) == [" ".join(map(str, encoding.encode_ordinary(t))) for t in texts]
+
+
+def test_byte_bpe_memory_is_bounded():
+    rng = np.random.default_rng(1)
+    worker = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, most=50_000)
+    for _ in range(10):
+        worker.encode([" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 200)) for _ in range(20))])
+        for held in (worker.memory, worker.words):
+            assert sum(len(k) + len(v) for k, v in held.items()) < 100_000 and len(held) < 500
 
 
 def test_byte_bpe_of_awkward_rows(spark):
