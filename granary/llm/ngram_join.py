@@ -1,8 +1,8 @@
 """n-gram Jaccard join: MinHash LSH forest for candidates, exact verification of their shingle sets.
 
 Texts with equal shingle sets are one class. Each tree of the forest sorts the classes by a string of MinHash labels of
-its own, as a walk through its prefix trie; neighbours in that order meet at the prefix that they share. Prefixes are
-shortened from the deepest on until the links that they find reach the target recall. Neighbours whose sketches are near
+its own, as a walk through its prefix trie; classes meet at the prefix that they share there. Prefixes are
+shortened from the deepest on until the links that they find reach the target recall. Meetings whose sketches are near
 the threshold make candidate groups, and within a group all sets are compared exactly: each text is read once, as its
 difference from the group's first text, and what leaves a task is a row per class, never a row per pair.
 """
@@ -129,30 +129,51 @@ def _near(parts: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "depth", "same"]).filter(keep)
 
 
+def shared(a: Column, b: Column, shortest: int) -> Column:
+    """Labels that two strings of one root have in common from the first on."""
+    differ = a.bitwiseXOR(b)
+    found = F.lit(shortest) + (differ == 0).cast("int")
+    for k in range(1, LEVELS):
+        found = found + (F.shiftrightunsigned(differ, 64 - 8 * k) == 0).cast("int")
+    return found
+
+
+def near(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (src, dst, depth), one for each two classes, whose sketches (node, sketch) are near the threshold; with ``same``."""
+    once = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "depth").groupBy("src", "dst").agg(F.max("depth").alias("depth"))
+    ends = once.join(known.withColumnRenamed("node", "src"), "src").join(known.select(F.col("node").alias("dst"), F.col("sketch").alias("other")), "dst")
+    kinds = "src long, dst long, depth int, same long"
+    return materialize(map_arrow(ends.select("src", "dst", "depth", "sketch", "other"), lambda parts: _near(parts, threshold - MARGIN), kinds), "near")
+
+
 def neighbours(classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(src, dst): classes (node, sketch) that stand side by side in some tree, are near by their sketches, and share a
-    prefix of the depth that reaches ``recall`` (:func:`depth_for`).
+    """(src, dst): near neighbours in the forest, by which classes (node, sketch) that may be linked hang together.
 
-    A class gives at most one pair per tree, so pairs grow with the classes, whatever their texts have in common.
+    In each tree a class meets the least class under its shortest prefix, and the class that stands before it in the sorted
+    trie. The first meetings give the depth down to which prefixes are shortened (:func:`depth_for`) and groups; of the
+    second, those that join two groups count. Both must be near by their sketches, so that texts which share a long passage
+    and no more do not hang together. A class has at most two meetings per tree, however many texts resemble it.
     """
     shortest = shortest_for(threshold, trees, recall)
     known = classes.filter("sketch IS NOT NULL").select("node", "sketch")
     strings = map_arrow(known, lambda parts: _strung(parts, trees, shortest), "node long, root long, tail long")
-    walk = Window.partitionBy("root").orderBy("tail", "node")
-    steps = strings.select("node", "tail", F.lag("node").over(walk).alias("before"), F.lag("tail").over(walk).alias("last")).filter("before IS NOT NULL")
-    differ = F.col("tail").bitwiseXOR(F.col("last"))
-    shared: Column = F.lit(shortest)
-    for k in range(1, LEVELS + 1):
-        shared = shared + (F.shiftrightunsigned(differ, 64 - 8 * k) == 0).cast("int") if k < LEVELS else shared + (differ == 0).cast("int")
-    pairs = steps.select(F.least("node", "before").alias("src"), F.greatest("node", "before").alias("dst"), shared.alias("depth"))
-    pairs = materialize(pairs.groupBy("src", "dst").agg(F.max("depth").alias("depth")), "neighbours")
-    ends = pairs.join(known.withColumnRenamed("node", "src"), "src").join(known.select(F.col("node").alias("dst"), F.col("sketch").alias("other")), "dst")
-    least = threshold - MARGIN
-    near = map_arrow(ends.select("src", "dst", "depth", "sketch", "other"), lambda parts: _near(parts, least), "src long, dst long, depth int, same long")
-    near = materialize(near, "near")
-    found = near.groupBy("depth", "same").count().collect()  # a row for each depth and number of equal labels
+    walk, under = Window.partitionBy("root").orderBy("tail", "node"), Window.partitionBy("root")
+    step = F.struct(F.lag("node").over(walk).alias("node"), F.lag("tail").over(walk).alias("tail")).alias("before")
+    steps = strings.select("node", "tail", step, F.min(F.struct("node", "tail")).over(under).alias("first"))
+    steps = steps.filter("node != first.node OR before.node IS NOT NULL")
+    meet = lambda other: F.when(F.col(f"{other}.node") != F.col("node"), shared(F.col("tail"), F.col(f"{other}.tail"), shortest))
+    steps = steps.select("node", F.col("first.node").alias("first"), meet("first").alias("deep"), F.col("before.node").alias("before"), meet("before").alias("depth"))
+    steps = materialize(steps, "meetings")
+    firsts = near(steps.filter("deep IS NOT NULL").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.col("deep").alias("depth")), known, threshold)
+    found = firsts.groupBy("depth", "same").count().collect()  # a row for each depth and number of equal labels
     depth = depth_for([(r["depth"], r["same"] / (PASSES * BINS), r["count"]) for r in found], shortest, threshold, trees, recall)
-    return near.filter(F.col("depth") >= depth).select("src", "dst")
+    firsts = firsts.filter(F.col("depth") >= depth).select("src", "dst")
+    groups_ = components(firsts, "src", "dst")
+    rest = steps.filter(F.col("depth") >= depth).select(F.col("before").alias("src"), F.col("node").alias("dst"), "depth")
+    for end in ("src", "dst"):
+        rest = rest.join(groups_.select(F.col("node").alias(end), F.col("label").alias(f"{end}_group")), end, "left")
+    apart = ~F.coalesce(F.col("src_group") == F.col("dst_group"), F.lit(False))
+    return firsts.unionByName(near(rest.filter(apart).select("src", "dst", "depth"), known, threshold).select("src", "dst"))
 
 
 def compare(
@@ -356,8 +377,8 @@ def link(
             F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("bytes").alias("bytes"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")
         )
         classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-        near = components(neighbours(classes, threshold, trees, recall), "src", "dst").withColumnRenamed("label", "part")
-        members = materialize(classes.select("node", "n", "rep", "bytes").join(near, "node"), "candidates")
+        groups_ = components(neighbours(classes, threshold, trees, recall), "src", "dst").withColumnRenamed("label", "part")
+        members = materialize(classes.select("node", "n", "rep", "bytes").join(groups_, "node"), "candidates")
         verified = verify(docs, members, words, threshold, block_classes, block_bytes)
 
         joined = components(verified.filter("node != root"), "node", "root").withColumnRenamed("label", "group")
