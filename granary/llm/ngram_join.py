@@ -25,8 +25,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, RECALL = 96, 0.9999
 #: A sketch has a label of 8 bits in each bin of a few independent one-permutation hashings.
 PASSES, BINS = 8, 32
-#: Labels that a tree has beyond the shortest prefix.
-LEVELS = 8
+#: Labels that a tree has beyond the shortest prefix; trees that are walked first.
+LEVELS, FIRST = 8, 8
 #: Neighbours are candidates if their sketches' likeness is less than the threshold by this at most: more than four
 #: standard deviations of the estimate.
 MARGIN = 0.12
@@ -46,18 +46,17 @@ def shortest_for(threshold: float, trees: int = TREES, recall: float = RECALL) -
     return depth
 
 
-def depth_for(found: list[tuple[int, float, int]], shortest: int, threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
-    """Shorten the prefix until the links that it finds are ``recall`` of all that there are by its own estimate.
+def depth_for(found: list[tuple[float, int]], shortest: int, threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
+    """Shorten the prefix until the forest meets ``recall`` of the links, by what its first trees have met.
 
-    ``found`` counts neighbours by (longest shared prefix, estimated similarity). A link of similarity s that is found at a
-    depth stands for 1 / P(s meets at that depth) links. The shortest prefix holds for any pair at the threshold.
+    ``found`` counts the pairs of the first trees by estimated similarity. A link of similarity s stands for as many links as
+    the inverse of its chance to be met there; each of these is met by the whole forest with a chance that grows as the prefix
+    gets shorter. The shortest prefix holds for any pair at the threshold.
     """
-    links = [(depth, max(near, threshold), n) for depth, near, n in found if near >= threshold]
+    links = [(max(near, threshold), n) for near, n in found if near >= threshold]
+    weights = [n / meets(near, shortest, FIRST) for near, n in links]
     for depth in range(shortest + LEVELS, shortest, -1):
-        hits = [(near, n) for d, near, n in links if d >= depth]
-        beyond = sum(n for d, _, n in links if d < depth)
-        expected = max(sum(n / meets(near, depth, trees) for near, n in hits), sum(n for _, n in hits) + beyond)
-        if expected and sum(n for _, n in hits) >= recall * expected:
+        if weights and sum(w * meets(near, depth, trees) for (near, _), w in zip(links, weights)) >= recall * sum(weights):
             return depth
     return shortest
 
@@ -103,20 +102,20 @@ def _labels(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PASSES * BINS)
 
 
-def _strung(parts: Iterator[pa.RecordBatch], trees: int, shortest: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, sketch) to a row for each tree: a key of the tree and the shortest prefix, and the labels beyond it."""
-    places = tree_places(trees, shortest + LEVELS)
+def _strung(parts: Iterator[pa.RecordBatch], trees: range, shortest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, sketch, group) to a row for each tree: a key of the tree and the shortest prefix, and the labels beyond it."""
+    places = tree_places(trees.stop, shortest + LEVELS)
     power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(shortest)], np.uint64)
     for part in parts:
         labels, n = _labels(part.column(1)), part.num_rows
-        roots, tails = np.zeros((n, trees), np.uint64), np.zeros((n, trees, LEVELS), np.uint8)
-        for t in range(trees):
-            roots[:, t] = mix(((labels[:, places[t, :shortest]].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64) + np.uint64(t))
-            tails[:, t] = labels[:, places[t, shortest:]]
-        nodes = np.repeat(np.asarray(part.column(0)), trees)
+        roots, tails = np.zeros((n, len(trees)), np.uint64), np.zeros((n, len(trees), LEVELS), np.uint8)
+        for k, t in enumerate(trees):
+            roots[:, k] = mix(((labels[:, places[t, :shortest]].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64) + np.uint64(t))
+            tails[:, k] = labels[:, places[t, shortest:]]
+        nodes, own = (pa.array(np.repeat(np.asarray(part.column(i)), len(trees))) for i in (0, 2))
         tail = tails.reshape(-1, LEVELS).view(">u8").reshape(-1).astype(np.uint64)
-        columns = [pa.array(nodes), pa.array(roots.reshape(-1).view(np.int64)), pa.array(tail.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "tail"])
+        columns = [nodes, own, pa.array(roots.reshape(-1).view(np.int64)), pa.array(tail.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "group", "root", "tail"])
 
 
 def _near(parts: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -138,10 +137,20 @@ def shared(a: Column, b: Column, shortest: int) -> Column:
     return found
 
 
+def meetings(known: DataFrame, trees: range, shortest: int) -> DataFrame:
+    """(src, dst, depth): classes (node, sketch, group) that stand side by side in the walk through some of ``trees``, belong
+    to different groups and share ``depth`` labels, ``shortest`` at least; each two once."""
+    strings = map_arrow(known.select("node", "sketch", "group"), lambda parts: _strung(parts, trees, shortest), "node long, group long, root long, tail long")
+    walk = Window.partitionBy("root").orderBy("tail", "node")
+    before = F.struct(*[F.lag(c).over(walk).alias(c) for c in ("node", "group", "tail")])
+    steps = strings.withColumn("before", before).filter("before.node IS NOT NULL AND before.group != group")
+    src, dst = F.least("node", "before.node").alias("src"), F.greatest("node", "before.node").alias("dst")
+    return steps.select(src, dst, shared(F.col("tail"), F.col("before.tail"), shortest).alias("depth")).groupBy("src", "dst").agg(F.max("depth").alias("depth"))
+
+
 def near(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (src, dst, depth), one for each two classes, whose sketches (node, sketch) are near the threshold; with ``same``."""
-    once = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "depth").groupBy("src", "dst").agg(F.max("depth").alias("depth"))
-    ends = once.join(known.withColumnRenamed("node", "src"), "src").join(known.select(F.col("node").alias("dst"), F.col("sketch").alias("other")), "dst")
+    """Those of ``pairs`` (src, dst, depth) whose sketches (node, sketch) are near the threshold, with ``same``."""
+    ends = pairs.join(known.select(F.col("node").alias("src"), "sketch"), "src").join(known.select(F.col("node").alias("dst"), F.col("sketch").alias("other")), "dst")
     kinds = "src long, dst long, depth int, same long"
     return materialize(map_arrow(ends.select("src", "dst", "depth", "sketch", "other"), lambda parts: _near(parts, threshold - MARGIN), kinds), "near")
 
@@ -149,31 +158,20 @@ def near(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
 def neighbours(classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(src, dst): near neighbours in the forest, by which classes (node, sketch) that may be linked hang together.
 
-    In each tree a class meets the least class under its shortest prefix, and the class that stands before it in the sorted
-    trie. The first meetings give the depth down to which prefixes are shortened (:func:`depth_for`) and groups; of the
-    second, those that join two groups count. Both must be near by their sketches, so that texts which share a long passage
-    and no more do not hang together. A class has at most two meetings per tree, however many texts resemble it.
+    In each tree a class meets the class that stands before it in the sorted trie. What the first trees meet makes groups and
+    gives the depth down to which the prefixes of the others are shortened (:func:`depth_for`); there, only meetings of two
+    groups count. All must be near by their sketches, so that texts which share a long passage and no more do not hang
+    together. A class has at most one meeting per tree, and a few in all if many texts resemble it.
     """
     shortest = shortest_for(threshold, trees, recall)
     known = classes.filter("sketch IS NOT NULL").select("node", "sketch")
-    strings = map_arrow(known, lambda parts: _strung(parts, trees, shortest), "node long, root long, tail long")
-    walk, under = Window.partitionBy("root").orderBy("tail", "node"), Window.partitionBy("root")
-    step = F.struct(F.lag("node").over(walk).alias("node"), F.lag("tail").over(walk).alias("tail")).alias("before")
-    steps = strings.select("node", "tail", step, F.min(F.struct("node", "tail")).over(under).alias("first"))
-    steps = steps.filter("node != first.node OR before.node IS NOT NULL")
-    meet = lambda other: F.when(F.col(f"{other}.node") != F.col("node"), shared(F.col("tail"), F.col(f"{other}.tail"), shortest))
-    steps = steps.select("node", F.col("first.node").alias("first"), meet("first").alias("deep"), F.col("before.node").alias("before"), meet("before").alias("depth"))
-    steps = materialize(steps, "meetings")
-    firsts = near(steps.filter("deep IS NOT NULL").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.col("deep").alias("depth")), known, threshold)
-    found = firsts.groupBy("depth", "same").count().collect()  # a row for each depth and number of equal labels
-    depth = depth_for([(r["depth"], r["same"] / (PASSES * BINS), r["count"]) for r in found], shortest, threshold, trees, recall)
-    firsts = firsts.filter(F.col("depth") >= depth).select("src", "dst")
-    groups_ = components(firsts, "src", "dst")
-    rest = steps.filter(F.col("depth") >= depth).select(F.col("before").alias("src"), F.col("node").alias("dst"), "depth")
-    for end in ("src", "dst"):
-        rest = rest.join(groups_.select(F.col("node").alias(end), F.col("label").alias(f"{end}_group")), end, "left")
-    apart = ~F.coalesce(F.col("src_group") == F.col("dst_group"), F.lit(False))
-    return firsts.unionByName(near(rest.filter(apart).select("src", "dst", "depth"), known, threshold).select("src", "dst"))
+    firsts = near(meetings(known.withColumn("group", F.col("node")), range(FIRST), shortest), known, threshold)
+    found = firsts.groupBy("same").count().collect()  # a row for each number of equal labels
+    depth = depth_for([(r["same"] / (PASSES * BINS), r["count"]) for r in found], shortest, threshold, trees, recall)
+    firsts = firsts.select("src", "dst")
+    grouped = known.join(components(firsts, "src", "dst"), "node", "left").withColumn("group", F.coalesce("label", "node"))
+    rest = meetings(grouped, range(FIRST, trees), shortest).filter(F.col("depth") >= depth)
+    return firsts.unionByName(near(rest, known, threshold).select("src", "dst"))
 
 
 def compare(

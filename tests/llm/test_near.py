@@ -100,10 +100,14 @@ def test_shortest_prefix_keeps_the_recall():
 def test_depth_follows_the_links_that_are_there():
     short = ngram_join.shortest_for(0.8)
     deep = short + ngram_join.LEVELS
-    assert ngram_join.depth_for([(deep, 1.0, 500)], short, 0.8) == deep  # close copies meet at any depth
-    assert ngram_join.depth_for([(deep, 0.99, 500), (deep - 3, 0.9, 3)], short, 0.8) <= deep - 3
-    assert ngram_join.depth_for([(deep, 0.8, 500)], short, 0.8) < deep  # at the threshold, many more must be expected
-    assert ngram_join.depth_for([(deep, 0.3, 500)], short, 0.8) == ngram_join.depth_for([], short, 0.8) == short
+    assert ngram_join.depth_for([(1.0, 500)], short, 0.8) == deep  # close copies meet at any depth
+    between = ngram_join.depth_for([(1.0, 500), (0.9, 20)], short, 0.8)
+    assert short < between < deep
+    links = [(1.0, 500), (0.9, 20)]
+    true = [n / ngram_join.meets(s, short, ngram_join.FIRST) for s, n in links]
+    recall = lambda d: sum(w * ngram_join.meets(s, d) for (s, _), w in zip(links, true)) / sum(true)
+    assert recall(between) >= ngram_join.RECALL > recall(between + 1)
+    assert ngram_join.depth_for([(0.3, 500)], short, 0.8) == ngram_join.depth_for([], short, 0.8) == short
 
 
 def near_pairs(rng, n, low, high):
