@@ -101,9 +101,9 @@ def test_depth_follows_the_links_that_are_there():
     short = ngram_join.shortest_for(0.8)
     deep = short + ngram_join.LEVELS
     assert ngram_join.depth_for([(1.0, 500)], short, 0.8) == deep  # close copies meet at any depth
-    between = ngram_join.depth_for([(1.0, 500), (0.9, 20)], short, 0.8)
+    between = ngram_join.depth_for([(1.0, 500), (0.82, 20)], short, 0.8)
     assert short < between < deep
-    links = [(1.0, 500), (0.9, 20)]
+    links = [(1.0, 500), (0.82, 20)]
     true = [n / ngram_join.meets(s, short, ngram_join.FIRST) for s, n in links]
     recall = lambda d: sum(w * ngram_join.meets(s, d) for (s, _), w in zip(links, true)) / sum(true)
     assert recall(between) >= ngram_join.RECALL > recall(between + 1)
