@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE, MOST_RANGES = 200_000, 16_384
 
 
+def share_of(*keys) -> Column:
+    """In [0, 1), from the MD5 of whole numbers (columns or literals): the same in any engine, and spread evenly."""
+    parts = [k if isinstance(k, Column) else F.col(k) if isinstance(k, str) else F.lit(k) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def bounds_of(df: DataFrame, key: Column, rows: int = ROWS_PER_RANGE) -> list[float]:
     """Cuts of a numeric ``key`` into ranges of about ``rows`` rows, ascending; the rows' number is not collected."""
     one = df.select(key.cast("double").alias("k"))

@@ -11,15 +11,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of each application on a single machine.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where none is set, a temporary one on a single machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="granary-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="granary-shared-")
+        path = _own[app]
     return path.rstrip("/")
 
 

@@ -208,3 +208,28 @@ def k_distances(df: DataFrame, key: str, cols: list[str], min_points: int) -> Da
 
     near = neighbours(df, key, cols, min_points - 1).groupBy("a").agg(F.avg("d").alias("d")).select(F.col("a").alias(key), "d")
     return with_row_id(near.withColumn("__o", -F.col("d")), "__o", key, name="place").drop("__o")
+
+
+def best_epsilon(df: DataFrame, key: str, cols: list[str], min_points: int) -> DataFrame:
+    """One row: the neighbour distance at which the scaled curve of :func:`k_distances` lies farthest below the diagonal."""
+    from granary.operators.metrics import normalized_curve
+
+    scaled = normalized_curve(k_distances(df, key, cols, min_points), "place", "d")
+    return scaled.agg(F.max_by("d", F.struct("difference", F.negate("x"))).alias("epsilon"))
+
+
+def silhouette_by_k(df: DataFrame, key: str, cols: list[str], clusterings: dict[int, str]) -> DataFrame:
+    """(k, silhouette): the mean coefficient of each clustering, a column of ``df`` by number of clusters."""
+    out = None
+    for k, column in clusterings.items():
+        one = silhouette(df, key, cols, column).agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def leaf_counts(merges: DataFrame) -> DataFrame:
+    """(step, left_leaves, right_leaves, leaves) of the merges of :func:`agglomerate`: rows under each branch."""
+    n = merges.count() + 1
+    sizes = merges.select((F.col("step") + n).alias("node"), F.col("size").alias("of"))
+    side = lambda rows, name: rows.join(F.broadcast(sizes), F.col(name) == F.col("node"), "left").withColumn(f"{name}_leaves", F.coalesce("of", F.lit(1))).drop("node", "of")
+    return side(side(merges, "left"), "right").select("step", "left_leaves", "right_leaves", F.col("size").alias("leaves"))

@@ -27,6 +27,29 @@ def of_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     return cells.crossJoin(F.broadcast(total)).agg(mi.alias("mutual_information"))
 
 
+def g_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: the G statistic of two discrete columns, and mutual information as half of it over n, in nats."""
+    n = F.lit(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).count())
+    return of_counts(df, x, y).select((F.col("mutual_information") * 2 * n).alias("g"), "mutual_information")
+
+
+def prepared(df: DataFrame, cols: list[str], key: str, noise: float = 1e-10, seed: int = 17) -> DataFrame:
+    """Continuous columns for nearest-neighbour estimates: divided by their standard deviation, with a little noise.
+
+    The noise is normal, drawn by a hash of the whole-number ``key``, and scaled by the mean size of the values, 1 at least.
+    It settles ties; a column that does not vary becomes null.
+    """
+    from granary.functions.order import share_of
+
+    got = df.agg(*[f(c) for c in numeric(df, cols) for f in (F.stddev_pop, lambda c: F.avg(F.abs(F.col(c))))]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        sd, size = got[2 * i], got[2 * i + 1]
+        normal = F.sqrt(-2 * F.ln(1 - share_of(key, seed, i, 1))) * F.cos(share_of(key, seed, i, 2) * 6.283185307179586)
+        out[c] = F.col(c) / F.lit(sd) + normal * F.lit(noise * max(1.0, size / sd)) if sd else F.lit(None).cast("double")
+    return df.withColumns(out)
+
+
 def bins(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     """``df`` with ``<column>_bin``: equal-width bins 0 to n - 1 between each column's extremes."""
     ends = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(numeric(df, cols)) for k, f in (("a", F.min), ("b", F.max))]).first()

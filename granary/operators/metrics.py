@@ -114,6 +114,23 @@ def knee(values: DataFrame, x: str, y: str) -> DataFrame:
     return gaps.agg(F.max_by(x, F.struct("gap", F.negate(x))).alias(x), F.max("gap").alias("gap"))
 
 
+def normalized_curve(values: DataFrame, x: str, y: str) -> DataFrame:
+    """The curve with both axes scaled to 0 to 1 (x, y), beside the falling diagonal.
+
+    ``foot_x`` and ``foot_y`` are the foot of the perpendicular on the diagonal, ``distance`` its length, ``diagonal`` the
+    diagonal's height at x (the perpendicular turned by 45 degrees ends there), ``difference`` what the curve lies below it.
+    """
+    ends = values.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    a = (F.col(x) - F.col("x0")) / F.nullif((F.col("x1") - F.col("x0")).cast("double"), F.lit(0.0))
+    b = (F.col(y) - F.col("y0")) / F.nullif((F.col("y1") - F.col("y0")).cast("double"), F.lit(0.0))
+    names = [F.col(c) for c in (x, y) if c not in ("x", "y")]
+    rows = values.crossJoin(F.broadcast(ends)).select(*names, a.alias("x"), b.alias("y"))  # beside one row
+    x, y = F.col("x"), F.col("y")
+    return rows.withColumns({
+        "foot_x": (x - y + 1) / 2, "foot_y": (y - x + 1) / 2, "distance": F.abs(x + y - 1) / math.sqrt(2), "diagonal": 1 - x, "difference": 1 - x - y,
+    })
+
+
 def elbow(values: DataFrame, k: str, sse: str, share: float = 0.05) -> DataFrame:
     """One row: the first inner k whose neighbours' errors differ by less than ``share`` of the total error."""
     at = Window.partitionBy(F.lit(0)).orderBy(k)

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.order import with_row_id
+from granary.functions.order import share_of, with_row_id
 
 
 def merge_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -51,7 +51,7 @@ def subsets(names: list[str], most: int = 16) -> list[tuple[str, ...]]:
 
 def hash_sample(rows: DataFrame, key: str, share: float, seed: int = 17) -> DataFrame:
     """``rows`` with ``sampled``: a simple random sample by a hash of the key, and the rest."""
-    return rows.withColumn("sampled", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < share)
+    return rows.withColumn("sampled", share_of(key, seed) < share)
 
 
 def clamp(c: Column, low: float | None = None, high: float | None = None) -> Column:

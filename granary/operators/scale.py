@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
-from granary.functions.distributions import normal_ppf
+from granary.functions.distributions import normal_ppf, normal_ppf_of
 from granary.functions.order import exact_quantiles, value_ranks
 from granary.functions.storage import materialize
 
@@ -92,15 +92,10 @@ class QuantileModel:
             ecdf = ranged.withColumn("__own", own).join(F.broadcast(tops), "__range").select("__v", F.coalesce("__own", "__lower", F.lit(0.0)).alias("__e"))
             out = F.col("__e")
             if self.distribution == "normal":
-                from pyspark.sql.functions import pandas_udf
-
                 low, high = self.extremes[c]
-
-                @pandas_udf("double")
-                def quantile(u):
-                    return u.map(lambda p: None if p is None or math.isnan(p) else min(max(normal_ppf(p), low), high))
-
-                out = quantile(F.col("__e"))
+                e = F.col("__e")
+                inner = F.least(F.greatest(normal_ppf_of(e), F.lit(low)), F.lit(high))
+                out = F.when(e <= 0, F.lit(low)).when(e >= 1, F.lit(high)).otherwise(inner)
             found = ecdf.select(F.col("__v"), out.alias("__out"))
             df = df.join(found, F.col(c).cast("double") == F.col("__v"), "left").drop("__v")
             df = df.withColumn(c + suffix, F.col("__out")).drop("__out")

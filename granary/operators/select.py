@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -107,6 +108,43 @@ def backward(evaluation: Evaluation, features: list[str]) -> list[str]:
     return max(seen, key=lambda s: (s[0], -len(s[1])))[1]
 
 
+def importances(evaluation: Evaluation, features: list[str]) -> dict[str, float]:
+    """What the estimator, fitted on all rows, says of each feature: tree importances, or absolute coefficients."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="__features").transform(evaluation.rows)
+    model = evaluation.estimator.copy().setFeaturesCol("__features").setLabelCol(evaluation.label).fit(rows)
+    found = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
+    return {f: abs(float(v)) for f, v in zip(features, found.toArray())}
+
+
+def rfe(evaluation: Evaluation, features: list[str], n: int | None = None) -> list[str]:
+    """Recursive elimination: drop the least important feature (ties: the last) until ``n``, or half of them, are left."""
+    left = list(features)
+    while len(left) > (n or max(1, len(features) // 2)):
+        known = importances(evaluation, left)
+        left.remove(min(reversed(left), key=known.get))
+    return left
+
+
+def rfecv(evaluation: Evaluation, features: list[str]) -> list[str]:
+    """Of all sets that :func:`rfe` passes through the one that scores best; of equal ones the smallest."""
+    sets = [rfe(evaluation, features, n) for n in range(1, len(features) + 1)]
+    scores = evaluation.many(sets)
+    return sets[max(range(len(sets)), key=lambda i: (scores[i], -i))]
+
+
+def benchmark(evaluation: Evaluation, selectors: dict[str, Callable[[], list[str]]], truth: list[str], features: list[str]) -> DataFrame:
+    """(selector, features, seconds, train_score, valid_score, selection_accuracy) of each selector's choice."""
+    rows = []
+    for name, choose in selectors.items():
+        began = time.perf_counter()
+        chosen = choose()
+        took = time.perf_counter() - began
+        train, valid = evaluation.both(chosen)
+        rows.append((name, ",".join(sorted(chosen)), took, float(train), float(valid), selection_accuracy(chosen, truth, features)))
+    kinds = "selector string, features string, seconds double, train_score double, valid_score double, selection_accuracy double"
+    return evaluation.rows.sparkSession.createDataFrame(rows, kinds)
+
+
 def exhaustive(evaluation: Evaluation, features: list[str], most: int = 12) -> list[str]:
     """The best of all non-empty subsets; more than ``most`` features raise ValueError."""
     if len(features) > most:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.order import share_of
+
 
 def _roles(rows: DataFrame, fold: Column, k: int, keep: list[str] = ()) -> DataFrame:
     splits = rows.select("row_id", *keep, fold.alias("fold"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("split"))
@@ -32,7 +34,7 @@ def shuffled_kfold(rows: DataFrame, k: int, key: Column, stratify: str | None =
         n = rows.agg(F.count("*")).first()[0]
         return _roles(with_row_id(keyed, "__key", "row_id", name="__place"), _even_fold(F.col("__place"), F.lit(n), k), k)
     # salted: a class is dealt by rank within each of 64 hash cells, whose offsets make one rank of the class
-    cell = F.pmod(F.xxhash64("__key"), F.lit(64))
+    cell = F.floor(share_of("row_id") * 64).cast("int")
     counts = keyed.groupBy(F.col(stratify).alias("__c"), cell.alias("__cell")).agg(F.count("*").alias("__m"))
     one = Window.partitionBy("__c")
     counts = counts.withColumns({"__before": F.coalesce(F.sum("__m").over(one.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__m").over(one)})
@@ -41,6 +43,16 @@ def shuffled_kfold(rows: DataFrame, k: int, key: Column, stratify: str | None =
     return _roles(placed, _even_fold(F.col("__before") + F.col("__nth"), F.col("__n"), k), k, [stratify])
 
 
+def n_splits(kind: str, n: int, k: int = 5, repeats: int = 5) -> int:
+    """How many splits a splitter makes of ``n`` rows: all rows for ``leave_one_out``, ``repeats`` times k, or k."""
+    return n if kind == "leave_one_out" else k * repeats if kind == "repeated_kfold" else k
+
+
+def stratified_regression_kfold(rows: DataFrame, y: str, k: int, key: Column, bins: int = 30) -> DataFrame:
+    """Folds within the ``bins`` of a continuous target; with the bin of each row."""
+    return shuffled_kfold(stratify_bins(rows, y, bins), k, key, "bin")
+
+
 def stratify_bins(rows: DataFrame, y: str, bins: int = 30) -> DataFrame:
     """``rows`` with ``bin``: the share of rows at or below y, cut at ``bins`` even points (1 to ``bins``)."""
     from granary.functions.order import with_rank
@@ -48,11 +60,11 @@ def stratify_bins(rows: DataFrame, y: str, bins: int = 30) -> DataFrame:
     return with_rank(rows, y, "__ecdf", "ecdf").withColumn("bin", (F.floor(F.col("__ecdf") * (bins - 1)) + 1).cast("int")).drop("__ecdf")
 
 
-def repeated_kfold(rows: DataFrame, k: int, repeats: int = 5, seed: int = 17) -> DataFrame:
-    """Shuffled folds for each repeat, numbered on: split = repeat * k + fold."""
+def repeated_kfold(rows: DataFrame, k: int, repeats: int = 5, seed: int = 17, stratify: str | None = None) -> DataFrame:
+    """Shuffled folds for each repeat, within each class of ``stratify``, numbered on: split = repeat * k + fold."""
     out = None
     for r in range(repeats):
-        one = shuffled_kfold(rows, k, F.xxhash64(F.col("row_id"), F.lit(seed + r))).withColumn("split", F.col("split") + r * k)
+        one = shuffled_kfold(rows, k, share_of("row_id", seed + r), stratify).withColumn("split", F.col("split") + r * k)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -68,7 +80,7 @@ def block_bootstrap(rows: DataFrame, n_splits: int, block: int = 7, seed: int =
     if n == 0:
         return rows.select(F.lit(1).alias("split"), "row_id", F.lit("test").alias("role"), F.lit(0).cast("long").alias("times")).limit(0)
     spark = rows.sparkSession
-    blocks = spark.range(n_splits * -(-n // block)).select((F.col("id") % n_splits + 1).cast("int").alias("split"), F.floor(F.col("id") / n_splits).alias("nth"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n - block + 1))).alias("start"))
+    blocks = spark.range(n_splits * -(-n // block)).select((F.col("id") % n_splits + 1).cast("int").alias("split"), F.floor(F.col("id") / n_splits).alias("nth"), F.floor(share_of("id", seed) * max(1, n - block + 1)).alias("start"))
     drawn = blocks.select("split", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + block, F.col("start") + F.lit(n) - F.col("nth") * block, F.lit(n)) - 1)).alias("row_id"))
     times = drawn.groupBy("split", "row_id").agg(F.count("*").alias("times"))
     every = rows.select("row_id", F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("split"))
@@ -127,8 +139,7 @@ def ordered_split(rows: DataFrame, train: float = 0.8) -> DataFrame:
 
 def random_split(rows: DataFrame, train: float = 0.8, seed: int = 17) -> DataFrame:
     """By a hash of the row id: the same row falls on the same side in each run."""
-    share = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    return rows.withColumn("role", F.when(share < train, "train").otherwise("test"))
+    return rows.withColumn("role", F.when(share_of("row_id", seed) < train, "train").otherwise("test"))
 
 
 def sequence_windows(rows: DataFrame, cols: list[str], label: str, length: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -206,10 +207,19 @@ def variance_threshold(df: DataFrame, cols: list[str], threshold: float = 0.0) -
     return [c for i, c in enumerate(cols) if got[f"v{i}"] is not None and got[f"v{i}"] > threshold]
 
 
+def adf_p_value(t: float) -> float:
+    """MacKinnon's approximate p value of a Dickey-Fuller t statistic with a constant."""
+    if t > 2.74 or t < -18.83:
+        return float(t > 0)
+    # fixed values: the published polynomials below and above -1.61
+    terms = (2.1659, 1.4412, 0.038269) if t <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
+    return NormalDist().cdf(sum(c * t**i for i, c in enumerate(terms)))
+
+
 def adf(df: DataFrame, order: str, c: str, lags: int = 1) -> DataFrame:
     """Augmented Dickey-Fuller t statistic with a constant; the normal equations are summed in Spark.
 
-    ``stationary`` compares it with -2.86, the 5 % point for long series.
+    ``stationary`` compares it with -2.86, the 5 % point for long series; ``p_value`` is MacKinnon's approximation.
     """
     from granary.functions.order import with_row_id
 
@@ -224,4 +234,4 @@ def adf(df: DataFrame, order: str, c: str, lags: int = 1) -> DataFrame:
     beta = np.linalg.solve(xx, xy)
     sigma = (yy - beta @ xy) / (n - k)
     t = float(beta[1] / math.sqrt(sigma * np.linalg.inv(xx)[1, 1]))
-    return one_row(df, {"adf_statistic": t, "stationary": t < -2.86, "n": n})
+    return one_row(df, {"adf_statistic": t, "p_value": adf_p_value(t), "stationary": t < -2.86, "n": n})

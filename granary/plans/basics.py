@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from granary.functions.columns import columns_of_type
 from granary.functions.order import with_rank
 from granary.operators import relational, series
-from granary.plans.registry import load, query, rounded
+from granary.plans.registry import load, query, rounded, share_sql
 
 orders = lambda spark, folder: load(spark, folder, "orders")
 
@@ -57,7 +57,7 @@ def clamp(spark, folder):
     return rounded(load(spark, folder, "supplier").select("s_suppkey", relational.clamp(F.col("s_acctbal"), 0).alias("floor"), relational.clamp(F.col("s_acctbal"), 1000, 5000).alias("both")))
 
 
-@query("column_names_joined", "SELECT string_agg(upper(column_name), ' ' ORDER BY column_index) AS names FROM (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS column_name, unnest([1, 2, 3, 4]) AS column_index)")
+@query("column_names_joined", "SELECT string_agg(upper(column_name), ' ' ORDER BY column_index) AS names FROM duckdb_columns() WHERE table_name = 'supplier'")
 def column_names_joined(spark, folder):
     names = load(spark, folder, "supplier").columns
     return spark.range(1).select(F.array_join(F.transform(F.array(*[F.lit(n) for n in names]), F.upper), " ").alias("names"))
@@ -94,9 +94,14 @@ def set_agreement(spark, folder):
     return relational.agreement(labels.join(docs.filter("n_chars > 1000").select("doc_id"), "doc_id"), labels.filter("quality = 1"), labels, "doc_id")
 
 
-@query("feature_subsets", "SELECT unnest(['a', 'b', 'c', 'a,b', 'a,c', 'b,c', 'a,b,c']) AS features")
+@query(
+    "feature_subsets",
+    """WITH RECURSIVE f AS (SELECT s AS name, row_number() OVER (ORDER BY s) AS i FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)),
+    p AS (SELECT name AS features, i FROM f UNION ALL SELECT p.features || ',' || f.name, f.i FROM p JOIN f ON f.i > p.i) SELECT features FROM p""",
+)
 def feature_subsets(spark, folder):
-    return spark.createDataFrame([(",".join(s),) for s in relational.subsets(["a", "b", "c"])], "features string")
+    names = sorted(r[0] for r in orders(spark, folder).select("o_orderstatus").distinct().collect())
+    return spark.createDataFrame([(",".join(s),) for s in relational.subsets(names)], "features string")
 
 
 @query("column_moments", "SELECT round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS sd, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high, count(DISTINCT o_custkey) AS customers FROM orders")
@@ -133,7 +138,7 @@ def class_scatter(spark, folder):
     return rounded(relational.class_scatter(load(spark, folder, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag"), 4, within=2)
 
 
-@query("sample_sizes")
+@query("sample_sizes", f"SELECT {share_sql('o_orderkey', 17)} < 0.7::DOUBLE AS sampled, count(*) AS n FROM orders GROUP BY 1")
 def sample_sizes(spark, folder):
     return relational.hash_sample(orders(spark, folder), "o_orderkey", 0.7).groupBy("sampled").agg(F.count("*").alias("n"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions.order import with_row_id
-from granary.operators import cluster, explain, reduce, select, splits
-from granary.plans.registry import load, query, rounded
+from granary.functions.storage import materialize
+from granary.operators import cluster, explain, metrics, reduce, select, splits
+from granary.plans.registry import gaussian_sql, load, query, rounded, share_sql
 from granary.sources import generators
 
 _CENTERS = [[10.0, 20000.0], [30.0, 40000.0], [45.0, 80000.0]]
@@ -42,7 +44,7 @@ _S = "s AS (SELECT s_suppkey AS k, s_acctbal / 100 AS a, s_nationkey::DOUBLE AS
 @query("kmeans_fit")
 def kmeans_fit(spark, folder):
     rows = suppliers(spark, folder)
-    return rounded(cluster.fit_kmeans(rows, ["a", "b"], 4, max_iter=20).transform(rows))
+    return rounded(cluster.fit_kmeans(rows, ["a", "b"], 4).transform(rows))
 
 
 @query("elbow_sse")
@@ -118,6 +120,38 @@ _projected("lda", lambda rows: reduce.fit_lda(rows, _NUM, "l_returnflag"))
 _projected("factor_analysis", lambda rows: reduce.fit_factor_analysis(rows, _NUM, 2))
 
 
+def _axes(matrix: str, centered: bool) -> str:
+    """SQL of the two components of x and y by a matrix (m11, m12, m21, m22) and, if centered, means (mx, my)."""
+    x, y = ("(x - mx)", "(y - my)") if centered else ("x", "y")
+    half = "sqrt((m11 + m22) * (m11 + m22) / 4 - (m11 * m22 - m12 * m21))"
+    return f"""WITH t AS (SELECT {', '.join(_KEY)}, l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), {matrix},
+    v AS (SELECT *, m12 AS p, (m11 + m22) / 2 + {half} - m11 AS q, (m11 + m22) / 2 - {half} - m11 AS r FROM m),
+    u AS (SELECT *, p / sqrt(p * p + q * q) AS a0, q / sqrt(p * p + q * q) AS b0, p / sqrt(p * p + r * r) AS a1, r / sqrt(p * p + r * r) AS b1 FROM v),
+    w AS (SELECT *, CASE WHEN abs(a0) >= abs(b0) THEN sign(a0) ELSE sign(b0) END AS s0, CASE WHEN abs(a1) >= abs(b1) THEN sign(a1) ELSE sign(b1) END AS s1 FROM u)
+    SELECT {', '.join(_KEY)}, round(s0 * (a0 * {x} + b0 * {y}), 4) + 0.0 AS c0, round(s1 * (a1 * {x} + b1 * {y}), 4) + 0.0 AS c1 FROM t, w"""
+
+
+def _two(name, fit, matrix, centered):
+    @query(f"{name}_two_columns", _axes(matrix, centered))
+    def run(spark, folder):
+        rows = load(spark, folder, "lineitem").select(*_KEY, "l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+        out = fit(rows).transform(rows, "c")
+        return rounded(out.select(*_KEY, "c0", "c1"), 4)
+
+
+_two("pca", lambda rows: reduce.fit_pca(rows, ["x", "y"], 2), "m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS m11, covar_samp(x, y) AS m12, covar_samp(x, y) AS m21, var_samp(y) AS m22 FROM t)", True)
+_two("svd", lambda rows: reduce.fit_svd(rows, ["x", "y"], 2), "m AS (SELECT sum(x * x) AS m11, sum(x * y) AS m12, sum(x * y) AS m21, sum(y * y) AS m22 FROM t)", False)
+_two(
+    "lda",
+    lambda rows: reduce.fit_lda(rows, ["x", "y"], "l_returnflag"),
+    """g AS (SELECT count(*) AS n, avg(x) AS gx, avg(y) AS gy, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, var_pop(y) * count(*) AS syy FROM t GROUP BY l_returnflag),
+    o AS (SELECT avg(x) AS ox, avg(y) AS oy FROM t),
+    h AS (SELECT sum(sxx) AS a, sum(sxy) AS b, sum(syy) AS c, sum(n * (gx - ox) * (gx - ox)) AS d, sum(n * (gx - ox) * (gy - oy)) AS e, sum(n * (gy - oy) * (gy - oy)) AS f FROM g, o),
+    m AS (SELECT (c * d - b * e) / (a * c - b * b) AS m11, (c * e - b * f) / (a * c - b * b) AS m12, (a * e - b * d) / (a * c - b * b) AS m21, (a * f - b * e) / (a * c - b * b) AS m22 FROM h)""",
+    False,
+)
+
+
 @query("kernel_pca")
 def kernel_pca(spark, folder):
     rows = suppliers(spark, folder)
@@ -149,7 +183,7 @@ def documents(spark, folder):
 def evaluation(spark, folder, folds: bool = False, **options):
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    rows = documents(spark, folder).persist()
+    rows = materialize(documents(spark, folder), "evaluation")
     return select.Evaluation(rows, "quality", DecisionTreeClassifier(maxDepth=3, seed=1), "accuracy", splits.kfold(rows.select("row_id"), 2) if folds else None, **options)
 
 
@@ -184,7 +218,7 @@ def select_leave_one_out(spark, folder):
 
 @query("select_perturbation")
 def select_perturbation(spark, folder):
-    return rounded(select.perturbation(evaluation(spark, folder), _FEATURES, n_repeats=2))
+    return rounded(select.perturbation(evaluation(spark, folder), _FEATURES))
 
 
 @query("select_boruta")
@@ -204,7 +238,7 @@ def select_rfe_information(spark, folder):
 @query("random_search")
 def random_search(spark, folder):
     space = {"maxDepth": ("int", (1, 4)), "minInfoGain": ("float", (0.0, 0.05)), "impurity": ("categorical", ["gini", "entropy"])}
-    return rounded(select.random_search(evaluation(spark, folder), _FEATURES, space, n_trials=3))
+    return rounded(select.random_search(evaluation(spark, folder), _FEATURES, space))
 
 
 _B = [0.5, -2.0]
@@ -237,26 +271,122 @@ def input_gradients(spark, folder):
     return rounded(out.select(*_KEY, (F.col("grad_l_quantity") * 1e6).alias("grad_l_quantity")))
 
 
-@query("generator_planted_pair")
+def _generated(m: int, y: str) -> str:
+    return "SELECT id, " + ", ".join(f"round(x{i}, 6) + 0.0 AS x{i}" for i in range(m)) + f", {y} AS y"
+
+
+@query(
+    "generator_planted_pair",
+    "WITH g AS (SELECT id, " + ", ".join(f"{share_sql('id', 17, i)} * 10 AS x{i}" for i in range(10)) + " FROM (SELECT range AS id FROM range(1000))), m AS (SELECT median(x3 * x8) AS m FROM g) " + _generated(10, "CASE WHEN x3 * x8 < m THEN 0 ELSE 1 END") + " FROM g, m",
+)
 def generator_planted_pair(spark, folder):
     return rounded(generators.planted_pair(spark))
 
 
-@query("generator_planted_linear")
+def _normal(n: int, m: int) -> str:
+    return "WITH g AS (SELECT id, " + ", ".join(f"{gaussian_sql('id', 17, i)} AS x{i}" for i in range(m)) + f" FROM (SELECT range AS id FROM range({n}))) "
+
+
+@query("generator_planted_linear", _normal(1000, 5) + _generated(5, "round(x0 + 2 * x2, 6) + 0.0") + " FROM g")
 def generator_planted_linear(spark, folder):
     return rounded(generators.planted_linear(spark))
 
 
-@query("generator_blobs")
+@query("generator_blobs", _normal(1000, 2) + "SELECT id, round((id % 2) * 5 + 0.5::DOUBLE * x0, 6) + 0.0 AS x, round((id % 2) * 5 + 0.5::DOUBLE * x1, 6) + 0.0 AS y, CAST(id % 2 AS INT) AS blob FROM g")
 def generator_blobs(spark, folder):
     return rounded(generators.blobs(spark, centers=[(0.0, 0.0), (5.0, 5.0)]))
 
 
-@query("generator_rings")
+_RINGS = [
+    f"""SELECT id + {k * 1_000_000} AS id, round(cos(id * (6.283185307179586::DOUBLE / {n})) * {r} + {gaussian_sql('id', 17, k, 1)} * 30, 6) + 0.0 AS x,
+    round(sin(id * (6.283185307179586::DOUBLE / {n})) * {r} + {gaussian_sql('id', 17, k, 2)} * 30, 6) + 0.0 AS y, {k} AS ring FROM (SELECT range AS id FROM range({n}))"""
+    for k, (r, n) in enumerate(((500, 1000), (300, 700), (100, 300)))
+]
+_REST = f"SELECT id + 1000000000 AS id, round({share_sql('id', 17, 8)} * 1200 - 600, 6) AS x, round({share_sql('id', 17, 9)} * 1200 - 600, 6) AS y, -1 AS ring FROM (SELECT range AS id FROM range(300))"
+
+
+@query("generator_rings", " UNION ALL ".join([*_RINGS, _REST]))
 def generator_rings(spark, folder):
     return rounded(generators.rings(spark))
 
 
-@query("generator_informative")
+@query("generator_informative", _normal(1000, 10) + _generated(10, "CASE WHEN x0 + x1 * 2 + x2 * 3 + x3 > 0 THEN 1 ELSE 0 END") + " FROM g")
 def generator_informative(spark, folder):
     return rounded(generators.informative(spark, 1000, 10, 4))
+
+
+_CURVE = "c AS (SELECT a.p_size AS k, count(*) AS sse FROM (SELECT DISTINCT p_size FROM part) a JOIN part b ON b.p_size >= a.p_size GROUP BY 1)"
+_SCALED = "z AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE AS x, (sse - min(sse) OVER ()) / (max(sse) OVER () - min(sse) OVER ())::DOUBLE AS y FROM c)"
+
+
+def curve(spark, folder):
+    """A falling curve: parts of a size or more, by size."""
+    sizes = load(spark, folder, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+    return sizes.select(F.col("p_size").alias("k"), F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("p_size"))).alias("sse"))  # a row per size
+
+
+@query(
+    "elbow_normalized",
+    f"""WITH {_CURVE}, {_SCALED} SELECT k, sse, round(x, 6) AS x, round(y, 6) AS y, round((x - y + 1) / 2, 6) AS foot_x, round((y - x + 1) / 2, 6) AS foot_y,
+    round(abs(x + y - 1) / sqrt(2), 6) AS distance, round(1 - x, 6) + 0.0 AS diagonal, round(1 - x - y, 6) + 0.0 AS difference FROM z""",
+)
+def elbow_normalized(spark, folder):
+    return rounded(metrics.normalized_curve(curve(spark, folder), "k", "sse"))
+
+
+@query("elbow", f"WITH {_CURVE} SELECT min(k) AS k FROM (SELECT k, lag(sse) OVER w - lead(sse) OVER w AS fall, sum(sse) OVER () AS total FROM c WINDOW w AS (ORDER BY k)) WHERE fall < 0.05 * total")
+def elbow(spark, folder):
+    return metrics.elbow(curve(spark, folder), "k", "sse")
+
+
+@query("difference_curve", f"WITH {_CURVE}, {_SCALED} SELECT arg_max(k, (round(1 - x - y, 12), -k)) AS k, round(max(1 - x - y), 6) AS gap FROM z")
+def difference_curve(spark, folder):
+    return rounded(metrics.knee(curve(spark, folder), "k", "sse"))
+
+
+@query("cumulative_share", "SELECT c_nationkey, n, round(sum(n) OVER (ORDER BY c_nationkey) / sum(n) OVER (), 6) AS share FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)")
+def cumulative_share(spark, folder):
+    counts = load(spark, folder, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return rounded(metrics.cumulative_share(counts, "c_nationkey", "n"))
+
+
+_NEAREST = f"WITH {_S}, n AS (SELECT i, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM p) WHERE r <= 4 GROUP BY i), o AS (SELECT i, d, row_number() OVER (ORDER BY d DESC, i) - 1 AS place, count(*) OVER () AS m FROM n), z AS (SELECT i, d, place / (m - 1)::DOUBLE AS x, (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()) AS y FROM o)"
+
+
+@query("k_distances_normalized", _NEAREST + " SELECT round(x, 6) AS x, round(y, 6) AS y, round(1 - x - y, 6) + 0.0 AS difference FROM z")
+def k_distances_normalized(spark, folder):
+    near = cluster.k_distances(suppliers(spark, folder), "s_suppkey", ["a", "b"], 5)
+    return rounded(metrics.normalized_curve(near, "place", "d").select("x", "y", "difference"))
+
+
+@query("difference_curve_epsilon", _NEAREST + " SELECT round(arg_max(d, (1 - x - y, -x)), 6) AS epsilon FROM z")
+def difference_curve_epsilon(spark, folder):
+    return rounded(cluster.best_epsilon(suppliers(spark, folder), "s_suppkey", ["a", "b"], 5))
+
+
+@query("silhouette_by_k", " UNION ALL ".join(f"SELECT {k} AS k, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM (SELECT i, min(m) FILTER (c = e) AS a, min(m) FILTER (c <> e) AS b FROM (SELECT i, i % {k} AS c, j % {k} AS e, avg(d) AS m FROM p GROUP BY ALL) GROUP BY i)" for k in (2, 3, 4)).replace("SELECT 2 AS k", f"WITH {_S} SELECT 2 AS k", 1))
+def silhouette_by_k(spark, folder):
+    rows = suppliers(spark, folder).withColumns({f"g{k}": F.col("s_suppkey") % k for k in (2, 3, 4)})
+    return rounded(cluster.silhouette_by_k(rows, "s_suppkey", ["a", "b"], {k: f"g{k}" for k in (2, 3, 4)}))
+
+
+@query("dendrogram_leaves")
+def dendrogram_leaves(spark, folder):
+    return cluster.leaf_counts(cluster.agglomerate(_nations(spark, folder), "c_nationkey", ["m", "n"]))
+
+
+@query("select_rfe")
+def select_rfe(spark, folder):
+    return _names(spark, select.rfe(evaluation(spark, folder), _FEATURES, 2))
+
+
+@query("select_rfecv")
+def select_rfecv(spark, folder):
+    return _names(spark, select.rfecv(evaluation(spark, folder, folds=True), _FEATURES))
+
+
+@query("select_benchmark")
+def select_benchmark(spark, folder):
+    e = evaluation(spark, folder)
+    ways = {"forward": lambda: select.forward(e, _FEATURES), "rfe": lambda: select.rfe(e, _FEATURES, 2)}
+    return rounded(select.benchmark(e, ways, ["n_chars", "n_marks"], _FEATURES).drop("seconds"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions.distributions import PPF_CUT, PPF_MIDDLE, PPF_TAIL
 from granary.operators import impute, metrics, outliers, scale, series
 from granary.plans.registry import load, query, rounded
 
@@ -52,16 +53,32 @@ def quantile_uniform(spark, folder):
 
 @query(
     "quantile_unseen",
-    """WITH t AS (SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT count(*) AS n FROM t)
-    SELECT o_orderkey, round(coalesce((SELECT count(*) FROM t WHERE x <= o.o_totalprice), 0) / n, 6) AS u FROM orders o, n WHERE o_orderkey % 3 = 0""",
+    """WITH t AS (SELECT o_totalprice AS x FROM orders), n AS (SELECT count(*) AS n FROM t), c AS (SELECT DISTINCT c_acctbal * 40 AS v FROM customer),
+    e AS (SELECT v, sum(k) OVER (ORDER BY v, k DESC) AS below, k FROM (SELECT x AS v, 1 AS k FROM t UNION ALL SELECT v, 0 FROM c)),
+    b AS (SELECT v, max(below) AS below FROM e WHERE k = 0 GROUP BY v)
+    SELECT c_custkey, round(below / n, 6) AS u FROM customer JOIN b ON b.v = c_acctbal * 40, n""",
 )
 def quantile_unseen(spark, folder):
-    rows = load(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").alias("u"))
-    model = scale.QuantileTransformer(["u"], "uniform").fit(rows.filter("o_orderkey % 3 <> 0"))
-    return rounded(model.transform(rows.filter("o_orderkey % 3 = 0")))
+    model = scale.QuantileTransformer(["u"], "uniform").fit(load(spark, folder, "orders").select(F.col("o_totalprice").alias("u")))
+    return rounded(model.transform(load(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("u"))))
+
+
+def _poly(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _ppf_sql(p: str) -> str:
+    """SQL of ``granary.functions.distributions.normal_ppf_of``."""
+    q, r = f"({p} - 0.5::DOUBLE)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    middle = f"{q} * {_poly(PPF_MIDDLE[0], f'({q} * {q})')} / {_poly(PPF_MIDDLE[1], f'({q} * {q})')}"
+    tail = f"{_poly(PPF_TAIL[0], r)} / {_poly(PPF_TAIL[1], r)}"
+    return f"CASE WHEN {p} < {PPF_CUT} THEN {tail} WHEN {p} > 1 - {PPF_CUT} THEN -({tail}) ELSE {middle} END"
 
 
-@query("quantile_normal")
+@query("quantile_normal", "WITH u AS (SELECT o_orderkey, cume_dist() OVER (ORDER BY o_totalprice) AS u FROM orders), h AS (SELECT o_orderkey, least(u, max(u) FILTER (u < 1) OVER ()) AS p FROM u) SELECT o_orderkey, round(" + _ppf_sql("p") + ", 6) + 0.0 AS z FROM h")
 def quantile_normal(spark, folder):
     rows = load(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").alias("z"))
     return rounded(scale.QuantileTransformer(["z"], "normal").fit_transform(rows))
@@ -127,6 +144,18 @@ def impute_iterative(spark, folder):
     return rounded(impute.IterativeImputer(FEATURES).fit_transform(holed(spark, folder)).select(*KEY, *FEATURES), 4)
 
 
+@query(
+    "impute_iterative_pair",
+    f"""WITH h AS (SELECT {_KEYS}, l_extendedprice, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS q FROM lineitem),
+    s AS (SELECT regr_slope(q, l_extendedprice) AS a, regr_intercept(q, l_extendedprice) AS b FROM h)
+    SELECT {_KEYS}, l_extendedprice, round(coalesce(q, a * l_extendedprice + b), 4) AS l_quantity FROM h, s""",
+)
+def impute_iterative_pair(spark, folder):
+    rows = items(spark, folder).withColumn("l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")))
+    cols = ["l_extendedprice", "l_quantity"]
+    return rounded(impute.IterativeImputer(cols).fit_transform(rows).select(*KEY, *cols), 4, l_extendedprice=9)
+
+
 @query("impute_outliers_iterative")
 def impute_outliers_iterative(spark, folder):
     rows = items(spark, folder)
@@ -312,13 +341,12 @@ def indicators(spark, folder):
 
 @query(
     "join_series",
-    """WITH a AS (SELECT user_id, round(avg(value), 6) AS a FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id, round(avg(value), 6) AS b FROM events WHERE user_id % 2 = 0 GROUP BY 1)
-    SELECT user_id, a, b FROM a FULL JOIN b USING (user_id)""",
+    """WITH a AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS a FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 6) AS b FROM supplier GROUP BY 1)
+    SELECT k, a, b FROM a FULL JOIN b USING (k)""",
 )
 def join_series(spark, folder):
-    events = load(spark, folder, "events")
-    side = lambda where, name: events.filter(where).groupBy("user_id").agg(F.round(F.avg("value"), 6).alias(name))
-    return series.join_series(side("event_id % 3 = 0", "a"), side("user_id % 2 = 0", "b"), "user_id")
+    side = lambda table, c, name: load(spark, folder, table).groupBy(F.col(f"{c}_nationkey").alias("k")).agg(F.round(F.avg(f"{c}_acctbal"), 6).alias(name))
+    return series.join_series(side("customer", "c", "a"), side("supplier", "s", "b"), "k")
 
 
 @query("histogram", "WITH s AS (SELECT min(o_totalprice) AS a, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders), c AS (SELECT least(floor((o_totalprice - a) / w), 19) AS bin, count(*) AS n FROM orders, s GROUP BY 1) SELECT CAST(i AS INT) AS bin, round(a + i * w, 4) AS low, round(a + (i + 1) * w, 4) AS high, coalesce(n, 0) AS n FROM range(20) r(i) CROSS JOIN s LEFT JOIN c ON c.bin = i")

@@ -34,3 +34,13 @@ def rounded(df: DataFrame, digits: int = 6, **places: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.select(*[(F.round(F.col(f"`{n}`"), places.get(n, digits)) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+def share_sql(*keys) -> str:
+    """SQL of ``granary.functions.order.share_of``: ``keys`` are columns (strings) or numbers."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, keys))})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def gaussian_sql(*keys) -> str:
+    """SQL of ``granary.sources.generators.gaussian``, beginning with the id."""
+    return f"(sqrt(-2 * ln(1 - {share_sql(*keys, 1)})) * cos({share_sql(*keys, 2)} * 6.283185307179586::DOUBLE))"

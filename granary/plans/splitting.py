@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.order import with_row_id
 from granary.operators import splits
-from granary.plans.registry import load, query, rounded
+from granary.plans.registry import load, query, rounded, share_sql
 
 _ROWS = "r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_totalprice, o_orderstatus FROM orders), n AS (SELECT count(*) AS n FROM orders)"
 K = 5
@@ -37,10 +37,25 @@ def kfold_shuffled(spark, folder):
     return splits.shuffled_kfold(rows(spark, folder), K, F.col("o_orderkey") * 7919 % 10007)
 
 
-@query("kfold_stratified_sizes", f"WITH {_ROWS}, c AS (SELECT o_orderstatus, count(*) AS m FROM r GROUP BY 1) SELECT CAST(s AS INT) AS split, o_orderstatus, CAST(m // {K} + (s <= m % {K})::INT AS BIGINT) AS n FROM c, range(1, {K + 1}) t(s)")
-def kfold_stratified_sizes(spark, folder):
-    folds = splits.shuffled_kfold(rows(spark, folder), K, F.xxhash64("row_id"), "o_orderstatus")
-    return folds.filter("role = 'test'").groupBy("split", "o_orderstatus").agg(F.count("*").alias("n"))
+_CELL = f"floor({share_sql('row_id')} * 64)"
+
+
+def _dealt(by: str, key: str, source: str = "r") -> str:
+    """Places within the classes of ``by``, and how many rows each class has."""
+    return f"p AS (SELECT row_id, {by}, row_number() OVER (PARTITION BY {by} ORDER BY {_CELL}, {key}, row_id) - 1 AS place, count(*) OVER (PARTITION BY {by}) AS m FROM {source})"
+
+
+@query("kfold_stratified", f"WITH {_ROWS}, {_dealt('o_orderstatus', _SHUFFLE)} " + _folds("place", "m", "p", ", o_orderstatus"))
+def kfold_stratified(spark, folder):
+    return splits.shuffled_kfold(rows(spark, folder), K, F.col("o_orderkey") * 7919 % 10007, "o_orderstatus")
+
+
+_BINS = "b AS (SELECT *, CAST(floor(cume_dist() OVER (ORDER BY o_totalprice) * 29) AS INT) + 1 AS bin FROM r)"
+
+
+@query("kfold_stratified_regression", f"WITH {_ROWS}, {_BINS}, {_dealt('bin', _SHUFFLE, 'b')} " + _folds("place", "m", "p", ", bin"))
+def kfold_stratified_regression(spark, folder):
+    return splits.stratified_regression_kfold(rows(spark, folder), "o_totalprice", K, F.col("o_orderkey") * 7919 % 10007)
 
 
 @query("stratify_bins", f"WITH {_ROWS} SELECT row_id, CAST(floor(cume_dist() OVER (ORDER BY o_totalprice) * 29) AS INT) + 1 AS bin FROM r")
@@ -48,9 +63,29 @@ def stratify_bins(spark, folder):
     return splits.stratify_bins(rows(spark, folder), "o_totalprice").select("row_id", "bin")
 
 
-@query("repeated_kfold_sizes", f"SELECT CAST(s AS INT) AS split, CAST(n // {K} + (((s - 1) % {K}) < n % {K})::INT AS BIGINT) AS n FROM (SELECT count(*) AS n FROM orders), range(1, {3 * K + 1}) t(s)")
-def repeated_kfold_sizes(spark, folder):
-    return splits.repeated_kfold(rows(spark, folder), K, 3).filter("role = 'test'").groupBy("split").agg(F.count("*").alias("n"))
+def _repeated(repeats: int, places: str, n: str, extra: str = "") -> str:
+    one = " UNION ALL ".join(f"SELECT CAST(split + {t * K} AS INT) AS split, row_id, role{extra} FROM ({_folds(f'place{t}', n, 'p, n', extra)})" for t in range(repeats))
+    return f"WITH {_ROWS}, p AS (SELECT row_id, {places}) " + one
+
+
+_PLACES = ", ".join(f"row_number() OVER (ORDER BY {share_sql('row_id', 17 + t)}, row_id) - 1 AS place{t}" for t in range(3)) + " FROM r"
+_CLASSED = ", ".join(f"row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_CELL}, {share_sql('row_id', 17 + t)}, row_id) - 1 AS place{t}" for t in range(2))
+
+
+@query("repeated_kfold", _repeated(3, _PLACES, "n"))
+def repeated_kfold(spark, folder):
+    return splits.repeated_kfold(rows(spark, folder), K, 3)
+
+
+@query("repeated_kfold_stratified", _repeated(2, f"o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) AS m, {_CLASSED} FROM r", "m", ", o_orderstatus"))
+def repeated_kfold_stratified(spark, folder):
+    return splits.repeated_kfold(rows(spark, folder), K, 2, stratify="o_orderstatus")
+
+
+@query("n_splits", f"SELECT unnest(['kfold', 'repeated_kfold', 'leave_one_out']) AS splitter, unnest([{K}, {3 * K}, count(*)]) AS n FROM orders")
+def n_splits(spark, folder):
+    n = rows(spark, folder).count()
+    return spark.createDataFrame([(x, splits.n_splits(x, n, K, 3)) for x in ("kfold", "repeated_kfold", "leave_one_out")], "splitter string, n long")
 
 
 @query("leave_one_out", f"WITH {_ROWS} SELECT row_id + 1 AS split, row_id, 'test' AS role FROM r")
@@ -58,7 +93,13 @@ def leave_one_out(spark, folder):
     return splits.leave_one_out(rows(spark, folder))
 
 
-@query("block_bootstrap")
+@query(
+    "block_bootstrap",
+    f"""WITH {_ROWS}, b AS (SELECT i % 3 + 1 AS split, i // 3 AS nth, CAST(floor({share_sql('i', 17)} * greatest(1, n - 6)) AS BIGINT) AS a, n FROM n, range(3 * CAST(ceil(n / 7) AS BIGINT)) t(i)),
+    d AS (SELECT split, unnest(range(a, least(a + 7, a + n - nth * 7, n))) AS row_id FROM b), c AS (SELECT split, row_id, count(*) AS times FROM d GROUP BY ALL)
+    SELECT CAST(s AS INT) AS split, r.row_id, CASE WHEN times IS NULL THEN 'test' ELSE 'train' END AS role, coalesce(times, 0) AS times
+    FROM r CROSS JOIN range(1, 4) t(s) LEFT JOIN c ON c.split = s AND c.row_id = r.row_id""",
+)
 def block_bootstrap(spark, folder):
     return splits.block_bootstrap(rows(spark, folder).select("row_id"), 3)
 
@@ -96,7 +137,7 @@ def ordered_split(spark, folder):
     return splits.ordered_split(rows(spark, folder)).select("row_id", "role")
 
 
-@query("random_split")
+@query("random_split", f"WITH {_ROWS} SELECT row_id, CASE WHEN {share_sql('row_id', 17)} < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS role FROM r")
 def random_split(spark, folder):
     return splits.random_split(rows(spark, folder)).select("row_id", "role")
 

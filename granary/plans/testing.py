@@ -130,17 +130,48 @@ def correlation_pairs(spark, folder):
     return rounded(metrics.correlation_pairs(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
 
 
-@query("correlation_selection", "SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([abs(corr(l_quantity, l_tax)) <= 0.9 OR true, true, true]) AS kept FROM lineitem")
+@query(
+    "correlation_selection",
+    """WITH x AS (SELECT l_quantity AS a, l_quantity + 20 * l_discount AS b, l_quantity + 40 * l_tax + l_discount AS c, l_extendedprice AS y FROM lineitem),
+    r AS (SELECT corr(a, b) AS ba, corr(a, c) AS ca, corr(b, c) AS cb, abs(corr(a, y)) AS ay, abs(corr(b, y)) AS byy, abs(corr(c, y)) AS cy FROM x),
+    g AS (SELECT *, CASE WHEN abs(ba) > 0.9 THEN CASE WHEN ay < byy THEN 'a' ELSE 'b' END ELSE '' END AS g1 FROM r),
+    h AS (SELECT *, CASE WHEN abs(ca) > 0.9 AND g1 <> 'a' THEN CASE WHEN ay < cy THEN 'a' ELSE 'c' END ELSE '' END AS g2 FROM g),
+    i AS (SELECT g1, g2, CASE WHEN abs(cb) > 0.9 AND g2 <> 'c' AND 'b' NOT IN (g1, g2) THEN CASE WHEN byy < cy THEN 'b' ELSE 'c' END ELSE '' END AS g3 FROM h)
+    SELECT f AS feature, f NOT IN (g1, g2, g3) AS kept FROM i, (SELECT unnest(['a', 'b', 'c']) AS f)""",
+)
 def correlation_selection(spark, folder):
-    return stats.correlation_selection(load(spark, folder, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 0.9)
+    q = F.col("l_quantity")
+    made = [q.alias("a"), (q + 20 * F.col("l_discount")).alias("b"), (q + 40 * F.col("l_tax") + F.col("l_discount")).alias("c"), F.col("l_extendedprice").alias("y")]
+    return stats.correlation_selection(load(spark, folder, "lineitem").select(*made), ["a", "b", "c"], "y", 0.9)
 
 
-@query("variance_threshold", "SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature")
+@query(
+    "variance_threshold",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature FROM lineitem HAVING var_pop({c}) > 0.0007" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+)
 def variance_threshold(spark, folder):
-    kept = stats.variance_threshold(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 0.01)
+    kept = stats.variance_threshold(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 0.0007)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+@query(
+    "g_test",
+    """WITH c AS (SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM c)
+    SELECT round(2 * sum(n * ln(n * t / (nx * ny))), 4) AS g, round(sum(n * ln(n * t / (nx * ny))) / any_value(t), 8) AS mutual_information FROM m""",
+)
+def g_test(spark, folder):
+    return rounded(information.g_test(load(spark, folder, "orders"), "o_orderstatus", "o_orderpriority"), 8, g=4)
+
+
+@query(
+    "information_prepared",
+    "WITH s AS (SELECT stddev_pop(c_acctbal) AS a, stddev_pop(c_nationkey) AS b FROM customer) SELECT c_custkey, round(c_acctbal / a, 6) AS c_acctbal, round(c_nationkey / b, 6) AS c_nationkey FROM customer, s",
+)
+def information_prepared(spark, folder):
+    rows = load(spark, folder, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"))
+    return rounded(information.prepared(rows, ["c_acctbal", "c_nationkey"], "c_custkey"))
+
+
 @query("mutual_information_discrete", "WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM c) SELECT round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 AS mutual_information FROM m")
 def mutual_information_discrete(spark, folder):
     return rounded(information.of_counts(load(spark, folder, "lineitem"), "l_returnflag", "l_linestatus"))
@@ -165,24 +196,58 @@ def mutual_information_histogram(spark, folder):
     return rounded(information.histogram_matrix(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice"], 5))
 
 
-@query("mutual_information_normalized")
+_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
+_NORM_PAIRS = [(a, b) for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i:]]
+_BINNED = "least(floor(({c} - (SELECT min({c}) FROM lineitem)) / ((SELECT max({c}) - min({c}) FROM lineitem) / 5)), 4)"
+_CELLS = ", ".join(f"z{i} AS (SELECT {_BINNED.format(c=a)} AS x, {_BINNED.format(c=b)} AS y, count(*) AS n FROM lineitem GROUP BY ALL)" for i, (a, b) in enumerate(_NORM_PAIRS))
+_PSI = "dg AS (SELECT i + 1 AS n, -0.57721566490153286::DOUBLE + sum(CASE WHEN i = 0 THEN 0 ELSE 1.0::DOUBLE / i END) OVER (ORDER BY i) AS psi FROM range(200000) t(i))"
+
+
+def _ross(table: str, x: str, y: str) -> str:
+    """SQL of Ross's estimate with three neighbours, as a table ``ross``."""
+    return f"""{_PSI}, v AS (SELECT row_number() OVER () AS i, {x} AS x, {y} AS y, count(*) OVER (PARTITION BY {y}) AS ny FROM {table}), u AS (SELECT * FROM v WHERE ny > 1),
+    k AS (SELECT a.i, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x)) AS nth, least(3, a.ny - 1) AS k FROM u a JOIN u b ON a.y = b.y AND a.i <> b.i),
+    e AS (SELECT i, d, k FROM k WHERE nth = k), w AS (SELECT a.i, any_value(e.k) AS k, any_value(a.ny) AS ny, greatest(count(*) FILTER (abs(a.x - b.x) < e.d), 1) AS m FROM u a JOIN e ON e.i = a.i CROSS JOIN u b GROUP BY a.i),
+    ross AS (SELECT greatest(0, (SELECT psi FROM dg WHERE n = (SELECT count(*) FROM u)) + avg(p.psi - q.psi - s.psi)) AS mi FROM w JOIN dg p ON p.n = w.k JOIN dg q ON q.n = w.ny JOIN dg s ON s.n = w.m)"""
+
+
+_NORM = " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, round((hx + hy - hxy) / sqrt(hx * hy), 6) + 0.0 AS mutual_information FROM (SELECT {', '.join(f"(SELECT -sum(p * log2(p)) FROM (SELECT sum(n) / (SELECT sum(n) FROM z{i}) AS p FROM z{i} GROUP BY {k})) AS h{k.replace(', ', '')}" for k in ('x', 'y', 'x, y'))})"""
+    for i, (a, b) in enumerate(_NORM_PAIRS)
+)
+
+
+@query("mutual_information_normalized", f"WITH {_CELLS} {_NORM}")
 def mutual_information_normalized(spark, folder):
     return rounded(information.histogram_matrix(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 5, normalized=True))
 
 
-@query("mutual_information_ross")
+@query("mutual_information_ross", f"WITH {_ross('customer', 'c_acctbal', 'c_mktsegment')} SELECT round(mi, 6) + 0.0 AS mutual_information FROM ross")
 def mutual_information_ross(spark, folder):
     return rounded(information.continuous_discrete(load(spark, folder, "customer"), "c_acctbal", "c_mktsegment"))
 
 
-@query("mutual_information_ksg")
+@query(
+    "mutual_information_ksg",
+    f"""WITH {_PSI}, s AS (SELECT s_suppkey AS i, s_acctbal AS x, s_acctbal * 2 + s_nationkey AS y FROM supplier),
+    p AS (SELECT a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM s a JOIN s b ON a.i <> b.i),
+    e AS (SELECT i, d FROM (SELECT i, greatest(dx, dy) AS d, row_number() OVER (PARTITION BY i ORDER BY greatest(dx, dy)) AS r FROM p) WHERE r = 3),
+    c AS (SELECT p.i, count(*) FILTER (dx < d) + 1 AS nx, count(*) FILTER (dy < d) + 1 AS ny FROM p JOIN e ON e.i = p.i GROUP BY p.i)
+    SELECT round(greatest(0, (SELECT psi FROM dg WHERE n = (SELECT count(*) FROM s)) + (SELECT psi FROM dg WHERE n = 3) - avg(a.psi + b.psi)), 6) + 0.0 AS mutual_information FROM c JOIN dg a ON a.n = c.nx JOIN dg b ON b.n = c.ny""",
+)
 def mutual_information_ksg(spark, folder):
     return rounded(information.continuous_continuous(load(spark, folder, "supplier").withColumn("z", F.col("s_acctbal") * 2 + F.col("s_nationkey")), "s_suppkey", "s_acctbal", "z"))
 
 
-@query("stationarity")
+@query(
+    "stationarity",
+    """WITH e AS (SELECT value - lag(value) OVER w AS y, lag(value) OVER w AS a, lag(value) OVER w - lag(value, 2) OVER w AS b FROM events WINDOW w AS (ORDER BY event_id)),
+    s AS (SELECT count(*) AS n, var_pop(a) * count(*) AS saa, var_pop(b) * count(*) AS sbb, covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby, var_pop(y) * count(*) AS syy FROM e WHERE b IS NOT NULL),
+    r AS (SELECT *, saa * sbb - sab * sab AS det FROM s), c AS (SELECT *, (sbb * say - sab * sby) / det AS p, (saa * sby - sab * say) / det AS q FROM r)
+    SELECT round(p / sqrt((syy - p * say - q * sby) / (n - 3) * sbb / det), 4) AS adf_statistic, p / sqrt((syy - p * say - q * sby) / (n - 3) * sbb / det) < -2.86 AS stationary, n FROM c""",
+)
 def stationarity(spark, folder):
-    return rounded(stats.adf(load(spark, folder, "events"), "event_id", "value"), 4)
+    return rounded(stats.adf(load(spark, folder, "events"), "event_id", "value").drop("p_value"), 4)
 
 
 _PRED = "SELECT l_extendedprice AS y, l_quantity * 2000 AS p FROM lineitem"
@@ -225,7 +290,12 @@ def multilabel_confusion(spark, folder):
     return metrics.multilabel_confusion(guesses(spark, folder), "y", "p")
 
 
-@query("mutual_information_mixed")
+@query(
+    "mutual_information_mixed",
+    f"""WITH {_ross('customer', 'c_acctbal', 'c_mktsegment')}, c AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*) AS n FROM customer GROUP BY ALL),
+    t AS (SELECT n, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM c)
+    SELECT 'c_acctbal' AS feature, round(mi, 6) + 0.0 AS mutual_information FROM ross UNION ALL SELECT 'nation', round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 FROM t""",
+)
 def mutual_information_mixed(spark, folder):
     rows = load(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
     return rounded(information.mutual_information(rows, "c_custkey", ["c_acctbal", "nation"], "c_mktsegment", discrete=["nation"], target_discrete=True))

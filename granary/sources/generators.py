@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.order import share_of
+
 
 def uniform(seed: int, *keys) -> Column:
     """In [0, 1), from a hash of the row id."""
-    return F.pmod(F.xxhash64("id", F.lit(seed), *[F.lit(k) for k in keys]), F.lit(1 << 52)) / float(1 << 52)
+    return share_of("id", seed, *keys)
 
 
 def gaussian(seed: int, *keys) -> Column:

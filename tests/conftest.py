@@ -10,7 +10,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
@@ -19,6 +19,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -29,3 +30,13 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def swept(request):
+    """The shared folder is emptied after each test."""
+    yield
+    if "spark" in request.fixturenames:
+        from granary.functions import storage
+
+        storage.sweep(request.getfixturevalue("spark"))

@@ -325,3 +325,74 @@ def test_models_score_streams(spark, tmp_path):
     run = score.windowed_summary(stream, "t", "x").writeStream.outputMode("complete").format("memory").queryName("summary").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("summary").agg(F.sum("n")).first()[0] == 40
+
+
+def test_normal_quantile_column(spark):
+    from statistics import NormalDist
+
+    from granary.functions.distributions import normal_ppf_of
+
+    shares = [1e-12, 1e-6, 0.01, 0.02425, 0.3, 0.5, 0.7, 0.98, 0.999999]
+    got = spark.createDataFrame([(p,) for p in [*shares, 0.0, 1.0, None]], "p double").select("p", normal_ppf_of(F.col("p")).alias("z")).collect()
+    for r in got:
+        if r.p in shares:
+            assert abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-7
+        else:
+            assert r.z is None
+
+
+def test_adf_p_value():
+    from granary.operators.stats import adf_p_value
+
+    assert abs(adf_p_value(-2.86) - 0.05) < 0.002 and abs(adf_p_value(-3.43) - 0.01) < 0.001 and abs(adf_p_value(-2.57) - 0.10) < 0.003
+    assert adf_p_value(3.0) == 1.0 and adf_p_value(-20.0) == 0.0
+
+
+def test_recursive_elimination_and_benchmark(spark):
+    from granary.operators import select, splits
+    from pyspark.ml.regression import LinearRegression
+
+    rows = generators.planted_linear(spark, 400, 4).withColumnRenamed("id", "row_id")
+    e = select.Evaluation(rows, "y", LinearRegression(), "rmse", splits.kfold(rows.select("row_id"), 2))
+    features = [f"x{i}" for i in range(4)]
+    assert sorted(select.rfe(e, features, 2)) == ["x0", "x2"] and {"x0", "x2"} <= set(select.rfecv(e, features))
+    out = select.benchmark(e, {"rfe": lambda: select.rfe(e, features, 2), "one": lambda: ["x2"]}, ["x0", "x2"], features).collect()
+    assert [(r.selector, r.selection_accuracy) for r in out] == [("rfe", 1.0), ("one", 0.75)] and out[0].valid_score > out[1].valid_score
+
+
+def test_leaf_counts(spark):
+    from granary.operators import cluster
+
+    points = spark.createDataFrame([(0, 0.0), (1, 0.1), (2, 5.0), (3, 5.3), (4, 20.0)], "k int, x double")
+    rows = cluster.leaf_counts(cluster.agglomerate(points, "k", ["x"], linkage="single")).orderBy("step").collect()
+    assert [(r.left_leaves, r.right_leaves, r.leaves) for r in rows] == [(1, 1, 2), (1, 1, 2), (2, 2, 4), (1, 4, 5)]
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    import os
+
+    from granary.functions import storage
+
+    storage.sweep(spark)
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    with storage.scratch(spark) as work:
+        storage.materialize(spark.range(3), "gone")
+        kept = storage.materialize(spark.range(5), "kept")
+        work.keep(kept)
+    assert len(os.listdir(tmp_path)) == 1 and kept.count() == 5
+    with pytest.raises(ZeroDivisionError), storage.scratch(spark) as work:
+        work.keep(storage.materialize(spark.range(3), "gone"))
+        1 / 0
+    assert len(os.listdir(tmp_path)) == 1
+    storage.sweep(spark)
+    assert not os.listdir(tmp_path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from granary.functions import storage
+
+    conf, context = SimpleNamespace(get=lambda key, other: other), SimpleNamespace(master="spark://host:7077", applicationId="a")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
