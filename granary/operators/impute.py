@@ -140,8 +140,7 @@ def knn_impute(train: DataFrame, test: DataFrame, key: str, cols: list[str], k:
     """Fill nulls of ``test`` from the ``k`` nearest rows of ``train`` (other than the row itself, by ``key``).
 
     The distance is Euclidean over the columns that both rows have, scaled up by their share. Only rows of ``test`` with a
-    null meet ``train``, in one pass; the k nearest of each are kept by partial aggregation, as sorted arrays of at most
-    k. ``uniform`` averages the neighbours that have a value, ``weighted`` weighs them k, k-1, ..., 1 by rank.
+    null meet ``train``: a join of all such pairs, numbered by distance within each row, of which k are kept. ``uniform`` averages the neighbours that have a value, ``weighted`` weighs them k, k-1, ..., 1 by rank.
     """
     if weights not in ("uniform", "weighted"):
         raise ValueError(f"unknown weights {weights!r}")
