@@ -1,10 +1,13 @@
-"""Distribution functions in plain Python, for statistics that have been reduced to one row."""
+"""Distribution functions in plain Python, for statistics that have been reduced to one row, and digamma of a column."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _TINY, _EPS = 1e-300, 1e-15
 
 
@@ -140,5 +143,15 @@ def digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s * (1 / 132)))))
 
 
+def digamma_of(x: Column) -> Column:
+    """The digamma function of a positive column, in the JVM: eight steps up, then the asymptotic series."""
+    x = x.cast("double")
+    z = x + 8
+    series = F.ln(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8) - 1 / (132 * z**10)
+    for i in range(8):
+        series = series - 1 / (x + i)
+    return series
+
+
 def binomial_pmf(k: int, n: int, p: float = 0.5) -> float:
     return math.comb(n, k) * p**k * (1 - p) ** (n - k)

@@ -62,15 +62,35 @@ def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     return placed.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__range", "__nth", "__before")
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, below): each distinct value of ``column``, its rows and the rows with lesser values; nulls are left out."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+def value_ranks(df: DataFrame, column: str, weight: Column | None = None) -> DataFrame:
+    """(value, n, below): each distinct value of ``column``, its rows and the rows with lesser values; nulls are left out.
+
+    With ``weight`` its sums take the place of numbers of rows; a place of weight 0 gets a rank and counts for nothing.
+    """
+    size = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(size.alias("n"))
     rows = counts.withColumn("__range", range_of(F.col("value").cast("double"), bounds_of(counts, F.col("value"))))
     run = F.sum("n").over(Window.partitionBy("__range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
     rows_ = rows.withColumn("__run", F.coalesce(run, F.lit(0))).join(F.broadcast(_before(rows, F.col("n"))), "__range")
     return rows_.select("value", "n", (F.col("__before") + F.col("__run")).cast("long").alias("below"))
 
 
+def count_near(df: DataFrame, column: str, radius: str, name: str) -> DataFrame:
+    """``df`` with the number of rows whose ``column`` is nearer than ``radius`` to the row's own, itself included.
+
+    0 where the radius is 0. Values at a distance of ``radius`` up to one part in 10^12 count as not nearer, so that
+    rounding in the sum of value and radius cannot decide. Ranks, not pairs, are compared; nulls get null.
+    """
+    x, r = F.col(column).cast("double"), F.col(radius).cast("double")
+    slack = F.least((F.abs(x) + r) * 1e-12, r / 2)
+    ends = df.withColumns({"__low": x - r + slack, "__high": x + r - slack})
+    places = ends.select(F.explode(F.array(*[F.struct(v.alias("v"), F.lit(w).alias("w")) for v, w in ((x, 1), (F.col("__low"), 0), (F.col("__high"), 0))])).alias("p")).select("p.*")
+    ranks = value_ranks(places, "v", F.col("w"))
+    out = ends.join(ranks.select(F.col("value").alias("__low"), F.col("below").alias("__under")), "__low", "left")
+    out = out.join(ranks.select(F.col("value").alias("__high"), (F.col("below") + F.col("n")).alias("__upto")), "__high", "left")
+    return out.withColumn(name, F.when(r > 0, F.col("__upto") - F.col("__under")).when(r == 0, 0)).drop("__low", "__high", "__under", "__upto")
+
+
 def with_rank(df: DataFrame, column: str, name: str, kind: str = "average") -> DataFrame:
     """``df`` with the rank of ``column``: ``average`` of ties, or ``ecdf`` (share of rows at or below)."""
     ranks = value_ranks(df, column)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
+from granary.functions.order import with_row_id
 from granary.functions.storage import materialize
 from granary.operators.outliers import distance
 
@@ -118,7 +119,7 @@ def dbscan(df: DataFrame, key: str, cols: list[str], epsilon: float, min_points:
     Linked core rows take the least key among them until none changes; a border row joins the nearest core row's cluster
     (ties: least key), so the result does not depend on an order of visits.
     """
-    pairs = close_pairs(df, key, cols, epsilon)
+    pairs = materialize(close_pairs(df, key, cols, epsilon), "dbscan-pairs")
     counts = pairs.groupBy("a").agg((F.count("*") + 1).alias("n"))
     core = counts.filter(F.col("n") >= min_points).select("a")
     if min_points <= 1:
@@ -134,10 +135,10 @@ def dbscan(df: DataFrame, key: str, cols: list[str], epsilon: float, min_points:
         if after.filter("label != old").isEmpty():
             break
     border = pairs.join(labels.select(F.col("a").alias("b"), "label"), "b").join(core, "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "label"))["label"].alias("label"))
-    names = labels.select("label").distinct()
+    names = materialize(labels.select("label").distinct(), "dbscan-names")
     found = labels.unionByName(border)
     rows = df.select(F.col(key).alias("a")).join(found, "a", "left")
-    number = names.withColumn("c", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1)  # a row per cluster
+    number = with_row_id(names, "label", name="c").withColumn("c", F.col("c").cast("int"))
     return rows.join(number, "label", "left").select(F.col("a").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
 
 
@@ -203,7 +204,6 @@ def silhouette(df: DataFrame, key: str, cols: list[str], cluster: str, metric: s
 
 def k_distances(df: DataFrame, key: str, cols: list[str], min_points: int) -> DataFrame:
     """(key, d, place): mean distance to the min_points - 1 nearest other rows, the largest first."""
-    from granary.functions.order import with_row_id
     from granary.operators.outliers import neighbours
 
     near = neighbours(df, key, cols, min_points - 1).groupBy("a").agg(F.avg("d").alias("d")).select(F.col("a").alias(key), "d")

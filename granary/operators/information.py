@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.columns import numeric, one_row
-from granary.functions.distributions import digamma
+from granary.functions.columns import numeric
+from granary.functions.distributions import digamma, digamma_of
+from granary.functions.order import count_near
+from granary.functions.storage import materialize
+from granary.operators.nearby import nearest
 
 
 def entropy(df: DataFrame, *cols: str, base: float = 2.0) -> DataFrame:
@@ -75,71 +77,33 @@ def histogram_matrix(df: DataFrame, cols: list[str], n: int = 5, normalized: boo
     return joined.select("a", "b", (mi / F.nullif(F.sqrt(F.col("hx") * F.col("hy")), F.lit(0.0)) if normalized else mi).alias("mutual_information"))
 
 
-def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3, most: int = 2_000_000) -> DataFrame:
-    """Ross's estimate for a continuous x and a discrete y, in nats.
+def continuous_discrete(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
+    """Ross's estimate for a continuous x and a discrete y, in nats; 0 without a class of two rows.
 
-    The k-th neighbour of a row within its class, and the rows of all classes within that radius, come from sorted
-    values; classes of one row are left out. The driver gets the two columns: more than ``most`` rows raise ValueError.
+    The k-th neighbour of a row within its class comes from :func:`nearest`, the rows of all classes nearer than that from
+    ranks. A smaller class takes as many neighbours as it has; classes of one row and rows with nulls are left out.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("string").alias("y"))
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"this estimate takes at most {most} rows")
-    found = {}
-    for r in rows.groupBy("y").agg(F.sort_array(F.collect_list("x")).alias("v")).collect():
-        v = np.array(r.v)
-        if len(v) > 1:
-            found[r.y] = v
-    total = sum(len(v) for v in found.values())
-    kept = np.sort(np.concatenate(list(found.values()))) if found else np.zeros(0)
-    psi_k = psi_m = psi_n = 0.0
-    for v in found.values():
-        kk = min(k, len(v) - 1)
-        m = _within(kept, v, _kth(v, kk))
-        psi_k += len(v) * digamma(kk)
-        psi_n += len(v) * digamma(len(v))
-        psi_m += sum(digamma(max(int(c), 1)) for c in m)
-    mi = 0.0 if not total else max(0.0, digamma(total) + (psi_k - psi_n - psi_m) / total)
-    return one_row(df, {"mutual_information": mi})
-
-
-def _within(values: np.ndarray, at: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """How many of the sorted ``values`` are nearer than ``d`` to each point; the ends are settled by the distance itself."""
-    n = len(values)
-    low, high = np.searchsorted(values, at - d, "left"), np.searchsorted(values, at + d, "right")
-    while True:
-        up = (low < n) & (at - values[np.minimum(low, n - 1)] >= d)
-        down = (low > 0) & (at - values[np.maximum(low - 1, 0)] < d)
-        shrink = (high > 0) & (values[np.maximum(high - 1, 0)] - at >= d)
-        grow = (high < n) & (values[np.minimum(high, n - 1)] - at < d)
-        if not (up | down | shrink | grow).any():
-            return np.maximum(high - low, 0)
-        low, high = low + up - (down & ~up), high - shrink + (grow & ~shrink)
-
-
-def _kth(v: np.ndarray, k: int) -> np.ndarray:
-    """Distance of each of the sorted values to its k-th nearest other one."""
-    n = len(v)
-    best = np.full(n, np.inf)
-    for left in range(k + 1):  # k + 1 consecutive values, ``left`` of them below
-        lo, hi = np.arange(n) - left, np.arange(n) + k - left
-        ok = (lo >= 0) & (hi < n)
-        reach = np.maximum(v - v[np.clip(lo, 0, n - 1)], v[np.clip(hi, 0, n - 1)] - v)
-        best = np.where(ok, np.minimum(best, reach), best)
-    return best
+    sizes = rows.groupBy("y").agg(F.count("*").alias("size")).filter("size > 1")
+    kept = materialize(rows.join(sizes, "y").withColumn("id", F.monotonically_increasing_id()), "classes")  # ids are fixed once written
+    reach = nearest(kept, "id", ["x"], k, by="y").groupBy(F.col("a").alias("id")).agg(F.max("d").alias("e"), F.count("*").alias("k"))
+    counted = count_near(kept.join(reach, "id"), "x", "e", "m")
+    terms = counted.agg(F.count("*").alias("n"), F.avg(digamma_of(F.col("k")) - digamma_of(F.col("size")) - digamma_of(F.greatest("m", F.lit(1)))).alias("mean"))
+    return terms.select(F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma_of(F.col("n")) + F.col("mean"))).otherwise(0.0).alias("mutual_information"))
 
 
 def continuous_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3) -> DataFrame:
-    """The estimate of Kraskov, Stoegbauer and Grassberger in nats, by distances of all pairs of rows."""
-    one = df.select(F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    two = one.select(F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
-    pairs = one.join(two, F.col("i") != F.col("j")).select("i", F.abs(F.col("x") - F.col("u")).alias("dx"), F.abs(F.col("y") - F.col("v")).alias("dy"))
-    near = F.array_sort(F.collect_list(F.greatest("dx", "dy")))
-    radius = pairs.groupBy("i").agg(F.get(near, F.lit(k - 1)).alias("e"))
-    counts = pairs.join(radius, "i").groupBy("i").agg(F.sum((F.col("dx") < F.col("e")).cast("int")).alias("nx"), F.sum((F.col("dy") < F.col("e")).cast("int")).alias("ny"))
-    got = counts.groupBy("nx", "ny").count().collect()
-    n = sum(r["count"] for r in got)
-    mean = sum(r["count"] * (digamma(r["nx"] + 1) + digamma(r["ny"] + 1)) for r in got) / max(n, 1)
-    return one_row(df, {"mutual_information": max(0.0, digamma(n) + digamma(k) - mean) if n else 0.0})
+    """The estimate of Kraskov, Stoegbauer and Grassberger in nats; 0 for k rows or fewer.
+
+    The k-th neighbour by the greater of both gaps comes from :func:`nearest`, the rows nearer than that in each column from
+    ranks: no pairs of all rows. ``key`` is unique; rows with nulls are left out.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    reach = nearest(rows, "id", ["x", "y"], k, "chebyshev").filter(F.col("r") == k).select(F.col("a").alias("id"), F.col("d").alias("e"))
+    counted = count_near(count_near(materialize(rows.join(reach, "id"), "reach"), "x", "e", "nx"), "y", "e", "ny")
+    # the row itself is counted wherever the reach is not 0
+    terms = counted.agg(F.count("*").alias("n"), F.avg(digamma_of(F.greatest("nx", F.lit(1))) + digamma_of(F.greatest("ny", F.lit(1)))).alias("mean"))
+    return terms.select(F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma_of(F.col("n")) + F.lit(digamma(k)) - F.col("mean"))).otherwise(0.0).alias("mutual_information"))
 
 
 def mutual_information(df: DataFrame, key: str, features: list[str], y: str, discrete: list[str] = (), target_discrete: bool = False, k: int = 3) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from granary.functions.columns import numeric
 from granary.functions.distributions import chi2_isf
 from granary.functions.order import exact_quantiles
+from granary.functions.storage import materialize
+from granary.operators.nearby import GRID_METRICS, nearest
 
 
 @dataclass
@@ -114,7 +116,12 @@ def distance(x: Column, y: Column, metric: str = "euclidean") -> Column:
 
 
 def neighbours(df: DataFrame, key: str, cols: list[str], k: int, metric: str = "euclidean") -> DataFrame:
-    """(a, b, d, r): the ``k`` nearest other rows of each row, by distance, then key."""
+    """(a, b, d, r): the ``k`` nearest other rows of each row, by distance, then key.
+
+    Metrics that a grid can serve go to :func:`granary.operators.nearby.nearest`; ``gap_ratio`` and ``cosine`` compare all pairs.
+    """
+    if metric in GRID_METRICS:
+        return nearest(df, key, cols, k, metric)
     v = F.array(*[F.col(c).cast("double") for c in numeric(df, cols)])
     one, two = df.select(F.col(key).alias("a"), v.alias("x")), df.select(F.col(key).alias("b"), v.alias("y"))
     pairs = one.join(two, F.col("a") != F.col("b")).select("a", "b", distance(F.col("x"), F.col("y"), metric).alias("d"))
@@ -126,7 +133,7 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], k: int = 20,
 
     ``reach`` takes the textbook's reachability distances instead.
     """
-    near = neighbours(df, key, cols, k, metric)
+    near = materialize(neighbours(df, key, cols, k, metric), "neighbours")
     if reach:
         far = near.groupBy(F.col("a").alias("b")).agg(F.max("d").alias("kd"))
         near = near.join(far, "b").withColumn("d", F.greatest("d", "kd"))
@@ -142,7 +149,7 @@ def above_quantile(scores: DataFrame, column: str, q: float = 0.95) -> DataFrame
 
 def path_constant(n: float) -> float:
     """Mean path length of an unsuccessful search among ``n`` rows."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
 @dataclass

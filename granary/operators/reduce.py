@@ -182,28 +182,61 @@ def fit_kernel_pca(df: DataFrame, key: str, cols: list[str], k: int = 5, kernel:
 
 
 def fit_nnmf(df: DataFrame, key: str, cols: list[str], k: int = 2, max_iter: int = 1000, learning_rate: float = 1e-3, alpha_w: float = 0.0, alpha_h: float = 0.0, l1_ratio: float = 0.0, seed: int = 17, most: int = 20_000) -> tuple[DataFrame, np.ndarray]:
-    """(W, H): projected gradient descent on a non-negative table of at most ``most`` rows; W has a row per key."""
+    """(W, H): projected gradient descent on a non-negative table of at most ``most`` rows; W has a row per key.
+
+    The penalties on W weigh the number of columns, those on H the number of rows; :func:`nnmf_scores` fits other rows to H.
+    """
     keys, x = _bounded(df, key, cols, most)
     if (x < 0).any():
         raise ValueError("values must not be negative")
     rng = np.random.default_rng(seed)
-    w, h = np.abs(rng.normal(0, 0.1, (len(x), k))), np.abs(rng.normal(0, 0.1, (k, len(cols))))
+    w, h = np.abs(rng.normal(0, 0.01, (len(x), k))), np.abs(rng.normal(0, 0.01, (k, len(cols))))
+    to_w, to_h = alpha_w * len(cols), alpha_h * len(x)
     for _ in range(max_iter):
         gap = w @ h - x
-        dw = gap @ h.T + alpha_w * (l1_ratio + (1 - l1_ratio) * w)
-        dh = w.T @ gap + alpha_h * (l1_ratio + (1 - l1_ratio) * h)
+        dw = gap @ h.T + to_w * (l1_ratio + 2 * (1 - l1_ratio) * w)
+        dh = w.T @ gap + to_h * (l1_ratio + 2 * (1 - l1_ratio) * h)
         w, h = np.maximum(w - learning_rate * dw, 0), np.maximum(h - learning_rate * dh, 0)
     return _scores(df, key, keys, w, "w"), h
 
 
-def tsne(df: DataFrame, key: str, cols: list[str], k: int = 2, perplexity: float = 30.0, learning_rate: float = 500.0, n_iter: int = 1000, seed: int = 17, most: int = 3000) -> DataFrame:
-    """(key, t0, ...): exact t-SNE of at most ``most`` rows; only the current and the last layout are held."""
+def nnmf_scores(df: DataFrame, cols: list[str], h: np.ndarray, max_iter: int = 1000, prefix: str = "w") -> DataFrame:
+    """``df`` with the non-negative factors that fit each row to a fitted H, by projected gradient descent from 0.
+
+    Rows do not depend on each other, so any number of them is scored; a null or negative value raises ValueError.
+    """
+    k = len(h)
+    gram = h @ h.T
+    step = 1 / max(float(np.linalg.norm(gram, 2)), 1e-300)
+
+    def scored(parts):
+        for pdf in parts:
+            x = pdf[cols].to_numpy(float)
+            if not (x >= 0).all():
+                raise ValueError("values must not be negative or null")
+            w, goal = np.zeros((len(x), k)), x @ h.T
+            for _ in range(max_iter):
+                w = np.maximum(w - step * (w @ gram - goal), 0)
+            yield pdf.assign(**{f"{prefix}{i}": w[:, i] for i in range(k)})
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + "".join(f", {prefix}{i} double" for i in range(k))
+    return df.mapInPandas(scored, fields)
+
+
+def tsne(df: DataFrame, key: str, cols: list[str], k: int = 2, perplexity: float = 30.0, learning_rate: float = 500.0, n_iter: int = 1000, seed: int = 17, most: int = 3000, early_exaggeration: float = 4.0, clip: float | None = 5.0) -> DataFrame:
+    """(key, t0, ...): exact t-SNE of at most ``most`` rows; only the current and the last layout are held.
+
+    ``early_exaggeration`` multiplies the goal before step 250; no component of a gradient exceeds ``clip``, unless that is
+    None. A perplexity that n rows cannot have (n - 1 or more) raises ValueError. Fewer than three rows stay at 0.
+    """
     keys, x = _bounded(df, key, cols, most)
     n = len(x)
     if n < 3:
         return _scores(df, key, keys, np.zeros((n, k)), "t")
     d2 = np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0)
-    p, goal = np.zeros((n, n)), math.log(min(perplexity, (n - 1) / 3))
+    if not 1 <= perplexity < n - 1:
+        raise ValueError(f"a perplexity of {perplexity} needs more than {perplexity + 1} rows")
+    p, goal = np.zeros((n, n)), math.log(perplexity)
     for i in range(n):
         lo, hi, beta, row = 0.0, math.inf, 1.0, np.delete(d2[i], i)
         row = row - row.min()
@@ -219,9 +252,9 @@ def tsne(df: DataFrame, key: str, cols: list[str], k: int = 2, perplexity: float
     for step in range(n_iter):
         inv = 1 / (1 + np.maximum((y**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * y @ y.T, 0))
         np.fill_diagonal(inv, 0)
-        g = ((4.0 if step < 250 else 1.0) * p - inv / inv.sum()) * inv
+        g = ((early_exaggeration if step < 250 else 1.0) * p - inv / inv.sum()) * inv
         grad = 4 * (g.sum(1)[:, None] * y - g @ y)
-        last = (0.5 if step < 250 else 0.8) * last - learning_rate * np.clip(grad, -5, 5)
+        last = (0.5 if step < 250 else 0.8) * last - learning_rate * (grad if clip is None else np.clip(grad, -clip, clip))
         y = y + last
         y -= y.mean(0)
     return _scores(df, key, keys, y, "t")

@@ -6,12 +6,13 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import distributions as dist
 from granary.functions.columns import numeric, one_row, row
-from granary.functions.order import with_rank
+from granary.functions.order import bounds_of, range_of, value_ranks, with_rank
+from granary.functions.storage import materialize
 
 
 def _verdict(statistic: float, p: float, critical: float, alpha: float) -> dict:
@@ -28,14 +29,18 @@ def chi_square_parts(df: DataFrame, x: str, y: str) -> DataFrame:
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("o"))
     rows = cells.groupBy("x").agg(F.sum("o").alias("rx"))
     cols = cells.groupBy("y").agg(F.sum("o").alias("cy"))
-    total = cells.agg(F.sum("o").alias("n"))
-    grid = rows.crossJoin(cols).crossJoin(total).join(cells, ["x", "y"], "left")  # as many rows as the table has cells
     e = F.col("rx") * F.col("cy") / F.col("n")
-    o = F.coalesce("o", F.lit(0))
-    return grid.agg(
-        F.sum((o - e) * (o - e) / e).alias("chi2"), F.max("n").alias("n"), F.countDistinct("x").alias("rows"), F.countDistinct("y").alias("cols"),
-        F.avg((e > 5).cast("int")).alias("share_expected_above_5"), F.min(e).alias("min_expected"),
-    )
+    total = cells.agg(F.sum("o").alias("n"))
+    # A cell without rows adds what is expected there; together that is what the other cells leave of n.
+    filled = cells.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(total))
+    seen = filled.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("gap"), F.sum(e).alias("expected"), F.max("n").alias("n"))
+    # Shares of cells need only the different sums of rows and columns: at most the root of 2 n of each.
+    sums = rows.groupBy("rx").agg(F.count("*").alias("a")).crossJoin(cols.groupBy("cy").agg(F.count("*").alias("b"))).crossJoin(F.broadcast(total))
+    many = F.col("a") * F.col("b")
+    grid = sums.agg((F.sum(F.when(e > 5, many).otherwise(0)) / F.sum(many)).alias("share_expected_above_5"), F.min(e).alias("min_expected"))
+    sizes = rows.agg(F.count("*").alias("rows")).crossJoin(cols.agg(F.count("*").alias("cols")))
+    chi2 = F.col("gap") + F.greatest(F.col("n") - F.col("expected"), F.lit(0.0))
+    return seen.crossJoin(sizes).crossJoin(grid).select(chi2.alias("chi2"), "n", "rows", "cols", "share_expected_above_5", "min_expected")
 
 
 def chi_square(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
@@ -132,16 +137,48 @@ def spearman(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
     return pearson(with_rank(with_rank(rows, x, "__rx"), y, "__ry"), "__rx", "__ry", alpha)
 
 
+def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(w, r, s, q) of each distinct (x, y): its rows, the rows below it by x, by y, and by both; ties count a half each.
+
+    A row is below another by both if, in the binary digits of their ranks by x, it has the 0 where they first differ, and
+    a lesser y. So each point enters one group per digit, groups hold sums per value of y, and running sums over ranges of
+    y count them: n log n rows in a few shuffles and no pair of rows. The row itself counts as a tie; nulls are left out.
+    """
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    sides = {c: materialize(value_ranks(points, c), "ranks") for c in "xy"}
+    cells = points.groupBy("x", "y").agg(F.count("*").alias("w"))
+    for c in "xy":
+        cells = cells.join(sides[c].select(F.col("value").alias(c), F.col("below").alias(f"b{c}"), F.col("n").alias(f"n{c}")), c)
+    cells = materialize(cells.select("w", "bx", "nx", "by", "ny"), "quadrants")
+    bits = max(int(cells.agg(F.max("bx")).first()[0] or 0), 1).bit_length()
+    level = F.col("level")
+    own = level == 0  # the group of one value of x, in which all rows tie by x
+    deep = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumns({"group": F.expr("shiftright(bx, level)"), "digit": F.when(own, -1).otherwise(F.expr("shiftright(bx, greatest(level - 1, 0)) & 1"))})
+    sums = deep.filter("digit != 1").groupBy("level", "group", "by").agg(F.sum("w").alias("tied"))
+    asked = deep.filter("digit != 0").select("level", "group", "by", F.lit(0).cast("long").alias("tied")).distinct()
+    bounds = bounds_of(cells, F.col("by"))
+    rows = sums.unionByName(asked).groupBy("level", "group", "by").agg(F.sum("tied").alias("tied")).withColumn("part", range_of(F.col("by").cast("double"), bounds))
+    parts = rows.groupBy("level", "group", "part").agg(F.sum("tied").alias("all"))
+    upto = Window.partitionBy("level", "group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    parts = parts.withColumn("before", F.coalesce(F.sum("all").over(upto), F.lit(0))).drop("all")
+    run = F.sum("tied").over(Window.partitionBy("level", "group", "part").orderBy("by").rowsBetween(Window.unboundedPreceding, -1))
+    below = rows.withColumn("run", F.coalesce(run, F.lit(0))).join(parts, ["level", "group", "part"])
+    below = below.select("level", "group", "by", (F.when(own, 0.5).otherwise(1.0) * (F.col("before") + F.col("run") + F.col("tied") / 2)).alias("q"))
+    found = deep.filter("digit != 0").join(below, ["level", "group", "by"]).groupBy("bx", "by").agg(F.sum("q").alias("q"))
+    half = lambda c: F.col(f"b{c}") + F.col(f"n{c}") / 2
+    return cells.join(found, ["bx", "by"]).select("w", half("x").alias("r"), half("y").alias("s"), "q")
+
+
 def hoeffding(df: DataFrame, key: str, x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """Hoeffding's D over all pairs of rows; ``bound``, meant for ten rows at most, depends on n and alpha only."""
-    half = lambda a, b: F.when(a > b, 1.0).when(a == b, 0.5).otherwise(0.0)
-    one = df.select(F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
-    two = df.select(F.col(x).alias("xj"), F.col(y).alias("yj"))
-    q = one.crossJoin(two).groupBy("i").agg((F.sum(half(F.col("xi"), F.col("xj")) * half(F.col("yi"), F.col("yj"))) + 0.75).alias("q"), (F.sum(half(F.col("xi"), F.col("xj"))) + 0.5).alias("r"), (F.sum(half(F.col("yi"), F.col("yj"))) + 0.5).alias("s"))
+    """Hoeffding's D from ranks (:func:`quadrants`); ``bound``, meant for ten rows at most, depends on n and alpha only.
+
+    ``key`` tells rows apart for the caller and is not needed here; rows with a null in x or y are left out.
+    """
+    counts = quadrants(df, x, y).select("w", (F.col("q") + 0.75).alias("q"), (F.col("r") + 0.5).alias("r"), (F.col("s") + 0.5).alias("s"))
     c = F.col
-    sums = q.agg(
-        F.count("*").cast("double").alias("n"), F.sum((c("q") - 1) * (c("q") - 2)).alias("d1"),
-        F.sum((c("r") - 1) * (c("r") - 2) * (c("s") - 1) * (c("s") - 2)).alias("d2"), F.sum((c("r") - 2) * (c("s") - 2) * (c("q") - 1)).alias("d3"),
+    sums = counts.agg(
+        F.coalesce(F.sum("w"), F.lit(0)).cast("double").alias("n"), F.sum(c("w") * (c("q") - 1) * (c("q") - 2)).alias("d1"),
+        F.sum(c("w") * (c("r") - 1) * (c("r") - 2) * (c("s") - 1) * (c("s") - 2)).alias("d2"), F.sum(c("w") * (c("r") - 2) * (c("s") - 2) * (c("q") - 1)).alias("d3"),
     )
     n = c("n")
     d = 30 * ((n - 2) * (n - 3) * c("d1") + c("d2") - 2 * (n - 2) * c("d3")) / F.nullif(n * (n - 1) * (n - 2) * (n - 3) * (n - 4), F.lit(0.0))

@@ -268,24 +268,26 @@ def outliers_mahalanobis(spark, folder):
     return rounded(model.find_outliers(rows).select(*KEY, model.distance().alias("distance")))
 
 
-def _lof(name: str, reach: bool):
+def _lof(name: str, reach: bool, table: str = "supplier", p: str = "s"):
+    key = {"s": "s_suppkey", "c": "c_custkey"}[p]
     kd = "d" if not reach else "greatest(d, kd)"
-    sql = f"""WITH s AS (SELECT s_suppkey AS k, s_acctbal AS a, CAST(s_nationkey AS DOUBLE) AS b FROM supplier),
+    sql = f"""WITH s AS (SELECT {key} AS k, {p}_acctbal AS a, CAST({p}_nationkey AS DOUBLE) AS b FROM {table}),
     p AS (SELECT q.k AS i, t.k AS j, sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b)) AS d FROM s q JOIN s t ON q.k <> t.k),
     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM p) WHERE r <= 20),
     f AS (SELECT i AS j, max(d) AS kd FROM n GROUP BY i), m AS (SELECT i, j, {kd} AS d FROM n JOIN f USING (j)),
     l AS (SELECT i, 20 / sum(d) AS lrd FROM m GROUP BY i),
     o AS (SELECT m.i, sum(l.lrd) AS s FROM m JOIN l ON l.i = m.j GROUP BY m.i)
-    SELECT l.i AS s_suppkey, round(lrd, 6) AS lrd, round(s / (20 * lrd), 6) AS lof FROM o JOIN l USING (i)"""
+    SELECT l.i AS {key}, round(lrd, 6) AS lrd, round(s / (20 * lrd), 6) AS lof FROM o JOIN l USING (i)"""
 
     @query(name, sql)
     def run(spark, folder):
-        rows = load(spark, folder, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("n"))
-        return rounded(outliers.local_outlier_factor(rows, "s_suppkey", ["s_acctbal", "n"], 20, reach=reach))
+        rows = load(spark, folder, table).select(key, f"{p}_acctbal", F.col(f"{p}_nationkey").cast("double").alias("n"))
+        return rounded(outliers.local_outlier_factor(rows, key, [f"{p}_acctbal", "n"], 20, reach=reach))
 
 
 _lof("outliers_lof", False)
 _lof("outliers_lof_reach", True)
+_lof("outliers_lof_customers", False, "customer", "c")
 
 
 @query("outliers_isolation_forest")

@@ -91,16 +91,20 @@ def correlation_p_values(spark, folder):
 _H = "(CASE WHEN {0}.{2} > {1}.{2} THEN 1.0 WHEN {0}.{2} = {1}.{2} THEN 0.5 ELSE 0.0 END)"
 
 
-@query(
-    "hoeffding",
-    f"""WITH s AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey AS y FROM supplier),
+def _hoeffding(name: str, table: str, key: str, x: str, y: str):
+    sql = f"""WITH s AS (SELECT {key} AS k, {x} AS x, {y} AS y FROM {table}),
     q AS (SELECT a.k, 0.75 + sum({_H.format('a', 'b', 'x')} * {_H.format('a', 'b', 'y')}) AS q, 0.5 + sum({_H.format('a', 'b', 'x')}) AS r, 0.5 + sum({_H.format('a', 'b', 'y')}) AS s FROM s a, s b GROUP BY a.k),
     d AS (SELECT count(*)::DOUBLE AS n, sum((q - 1) * (q - 2)) AS d1, sum((r - 1) * (r - 2) * (s - 1) * (s - 2)) AS d2, sum((r - 2) * (s - 2) * (q - 1)) AS d3 FROM q),
     h AS (SELECT n, 30 * ((n - 2) * (n - 3) * d1 + d2 - 2 * (n - 2) * d3) / (n * (n - 1) * (n - 2) * (n - 3) * (n - 4)) AS h FROM d)
-    SELECT round(h, 6) + 0.0 AS hoeffding_d, round((n - 1) * pow(pi(), 4) * h / 60 + pow(pi(), 4) / 72, 6) AS test_statistic, round(sqrt(2 * (n * n + 5 * n - 32) / (9 * n * (n - 1) * (n - 3) * (n - 4) * 0.05)), 6) AS bound FROM h""",
-)
-def hoeffding(spark, folder):
-    return rounded(stats.hoeffding(load(spark, folder, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey"))
+    SELECT round(h, 6) + 0.0 AS hoeffding_d, round((n - 1) * pow(pi(), 4) * h / 60 + pow(pi(), 4) / 72, 6) AS test_statistic, round(sqrt(2 * (n * n + 5 * n - 32) / (9 * n * (n - 1) * (n - 3) * (n - 4) * 0.05)), 6) AS bound FROM h"""
+
+    @query(name, sql)
+    def run(spark, folder):
+        return rounded(stats.hoeffding(load(spark, folder, table), key, x, y))
+
+
+_hoeffding("hoeffding", "supplier", "s_suppkey", "s_acctbal", "s_nationkey")
+_hoeffding("hoeffding_orders", "orders", "o_orderkey", "o_totalprice", "o_custkey")
 
 
 @query("vif", "WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, round(1 / (1 - r * r), 6) AS vif FROM r")

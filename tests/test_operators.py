@@ -168,6 +168,85 @@ def test_hoeffding_is_symmetric(spark):
     assert stats.hoeffding(df, "k", "x", "y").first().hoeffding_d == pytest.approx(stats.hoeffding(df, "k", "y", "x").first().hoeffding_d)
 
 
+@pytest.mark.parametrize("values, rows", [(5, 200_000), (40, 200_000), (40, 10), (1000, 25)])
+def test_quadrants_against_brute_force(spark, monkeypatch, values, rows):
+    from granary.functions.order import bounds_of
+
+    monkeypatch.setattr(stats, "bounds_of", lambda df, key: bounds_of(df, key, rows))
+    rng = random.Random(values)
+    points = [(float(rng.randrange(values)), float(rng.randrange(values))) for _ in range(150)] + [(2.0, 3.0)] * 50
+    half = lambda a, b: 1.0 if a > b else 0.5 if a == b else 0.0
+    want = sorted((points.count((x, y)), sum(half(x, u) for u, _ in points), sum(half(y, v) for _, v in points), sum(half(x, u) * half(y, v) for u, v in points)) for x, y in set(points))
+    df = spark.createDataFrame([*points, (None, 1.0), (1.0, None)], "x double, y double")
+    assert sorted((r.w, r.r, r.s, r.q) for r in stats.quadrants(df, "x", "y").collect()) == want
+    assert stats.hoeffding(df.limit(0), "x", "x", "y").first().hoeffding_d is None
+
+
+@pytest.mark.parametrize("metric, dims, k, by, rows", [("euclidean", 2, 3, None, 200_000), ("manhattan", 1, 1, "c", 30), ("chebyshev", 4, 20, None, 40), ("euclidean", 2, 300, "c", 20)])
+def test_nearest_against_brute_force(spark, monkeypatch, metric, dims, k, by, rows):
+    from granary.functions.order import bounds_of
+    from granary.operators import nearby
+
+    monkeypatch.setattr(nearby, "bounds_of", lambda df, key: bounds_of(df, key, rows))
+    rng = random.Random(dims)
+    kinds = (lambda: rng.gauss(0, 1), lambda: rng.gauss(1000, 0.001), lambda: float(rng.randrange(3)), lambda: -1e6 * rng.random())
+    points = [(i, rng.choice("uvw"), *[rng.choice(kinds)() for _ in range(dims)]) for i in range(150)]
+    points += [(1000 + i, "u", *[1.0] * dims) for i in range(60)] + [(2000, "z", *[5.0] * dims)]
+    odd = [(2001, None, *[1.0] * dims)] if by else []
+    odd += [(2002, "u", None, *[1.0] * (dims - 1)), (2003, "u", math.nan, *[1.0] * (dims - 1))]
+    size = {"euclidean": lambda g: math.sqrt(sum(v * v for v in g)), "manhattan": sum, "chebyshev": max}[metric]
+    want = []
+    for a, c, *x in points:
+        others = sorted((size([abs(p - q) for p, q in zip(x, y)]), b) for b, e, *y in points if b != a and (not by or c == e))
+        want += [(a, b, r + 1, pytest.approx(d)) for r, (d, b) in enumerate(others[:k])]
+    cols = [f"x{i}" for i in range(dims)]
+    df = spark.createDataFrame(points + odd, "id int, c string, " + ", ".join(f"{c} double" for c in cols))
+    found = nearby.nearest(df, "id", cols, k, metric, by).orderBy("a", "r").collect()
+    assert [(n.a, n.b, n.r, n.d) for n in found] == sorted(want, key=lambda w: (w[0], w[2]))
+    assert nearby.nearest(df.limit(0), "id", cols, k, metric, by).count() == 0
+
+
+def test_count_near_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, round(rng.choice([rng.random(), 0.5]), 2), round(rng.random() / 4, 2)) for i in range(200)]
+    df = spark.createDataFrame([*rows, (-1, None, 0.1), (-2, 0.5, None)], "i int, v double, e double")
+    got = {r.i: r.n for r in order.count_near(df, "v", "e", "n").collect()}
+    values = [v for _, v, _ in rows] + [0.5]
+    assert got == {-1: None, -2: None} | {i: sum(round(abs(v - u), 9) < e for u in values) for i, v, e in rows}
+
+
+def test_digamma_of_a_column(spark):
+    got = spark.range(1, 400).select("id", d.digamma_of(F.col("id")).alias("v")).collect()
+    assert all(r.v == pytest.approx(d.digamma(r.id), abs=1e-12) for r in got)
+
+
+def test_information_without_pairs(spark):
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, None, "a"), (3, 2.0, "b")], "id int, x double, c string")
+    assert information.continuous_discrete(df, "x", "c").first()[0] == 0.0
+    assert information.continuous_continuous(df, "id", "x", "id").first()[0] == 0.0
+    same = spark.range(50).select("id", F.lit(1.0).alias("x"), (F.col("id") % 2).cast("string").alias("c"))
+    assert information.continuous_discrete(same, "x", "c").first()[0] >= 0.0
+
+
+def test_factors_of_other_rows(spark):
+    import numpy as np
+
+    h = np.array([[1.0, 0.0, 2.0], [0.0, 3.0, 1.0]])
+    rows = spark.createDataFrame([(i, float(i), 3.0 * (9 - i), 2.0 * i + 9 - i) for i in range(10)], "id int, a double, b double, c double")
+    got = reduce.nnmf_scores(rows, ["a", "b", "c"], h).collect()
+    assert all(r.w0 == pytest.approx(r.id, abs=1e-6) and r.w1 == pytest.approx(9 - r.id, abs=1e-6) for r in got)
+
+
+def test_chi_square_parts_against_brute_force(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(9), min(rng.randrange(12), rng.randrange(12))) for _ in range(120)]
+    xs, ys = [x for x, _ in pairs], [y for _, y in pairs]
+    grid = [(pairs.count((x, y)), xs.count(x) * ys.count(y) / 120) for x in set(xs) for y in set(ys)]
+    got = stats.chi_square_parts(spark.createDataFrame([*pairs, (None, 1)], "x int, y int"), "x", "y").first()
+    assert got.chi2 == pytest.approx(sum((o - e) ** 2 / e for o, e in grid)) and (got.n, got.rows, got.cols) == (120, len(set(xs)), len(set(ys)))
+    assert got.share_expected_above_5 == pytest.approx(sum(e > 5 for _, e in grid) / len(grid)) and got.min_expected == pytest.approx(min(e for _, e in grid))
+
+
 def test_information_of_dependent_columns(spark):
     df = spark.range(400).select("id", generators.gaussian(1, 1).alias("x"), generators.gaussian(1, 2).alias("e"))
     df = df.withColumn("same", F.col("x") + 0.1 * F.col("e")).withColumn("c", (F.col("x") > 0).cast("int"))
