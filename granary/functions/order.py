@@ -130,3 +130,28 @@ def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float], most: i
         value = {r.k: r.value for r in rows}
         out[c] = [value[int(p)] + (p - int(p)) * (value[min(int(p) + 1, n - 1)] - value[int(p)]) if n else None for p in places]
     return out
+
+
+def group_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """(group, q0, q1, ...): linearly interpolated quantiles of ``c`` in each group of ``by``, or in the one group 0.
+
+    Read off distinct values with their numbers of rows, ranked in ranges: no task holds a group. Null is a group of its
+    own; null values are left out, and a group without values has no row.
+    """
+    rows = df.select((F.lit(0) if by is None else F.col(by)).alias("group"), F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
+    counts = rows.groupBy("group", "v").agg(F.count("*").alias("n"))
+    placed = counts.withColumn("part", range_of(F.col("v"), bounds_of(counts, F.col("v"))))
+    upto = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    parts = placed.groupBy(F.col("group").alias("g"), F.col("part").alias("p")).agg(F.sum("n").alias("all"))
+    parts = parts.select(F.col("g").alias("group"), F.col("p").alias("part"), "all").withColumns({"before": F.coalesce(F.sum("all").over(upto), F.lit(0)), "total": F.sum("all").over(Window.partitionBy("group"))})
+    run = F.sum("n").over(Window.partitionBy("group", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    sides = placed.withColumn("run", F.coalesce(run, F.lit(0))).alias("a").join(parts.alias("b"), F.col("a.group").eqNullSafe(F.col("b.group")) & (F.col("a.part") == F.col("b.part")))
+    ranked = sides.select("a.group", "v", "n", "total", (F.col("before") + F.col("run")).alias("below"))
+    found = []
+    for i, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("v")))
+        found += [at(low).alias(f"l{i}"), at(high).alias(f"h{i}"), F.max(place - low).alias(f"s{i}")]
+    ends = ranked.groupBy("group").agg(*found)
+    return ends.select("group", *[F.when(F.col(f"s{i}") == 0, F.col(f"l{i}")).otherwise((1 - F.col(f"s{i}")) * F.col(f"l{i}") + F.col(f"s{i}") * F.col(f"h{i}")).alias(f"q{i}") for i in range(len(shares))])

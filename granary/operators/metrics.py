@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
-from granary.functions.order import with_rank
+from granary.functions.order import group_quantiles, with_rank
 
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -16,10 +16,12 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     a, b = F.col(y).cast("double"), F.col(p).cast("double")
     gap = a - b
     log = F.ln(F.abs(1 + a)) - F.ln(F.abs(1 + b))
-    return df.agg(
+    sums = df.agg(
         F.avg(gap * gap).alias("mse"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
-        F.avg(F.abs(gap / F.nullif(a, F.lit(0.0)))).alias("mape"), F.median(F.abs(gap)).alias("medae"), F.avg(log * log).alias("msle"),
+        F.avg(F.abs(gap / F.nullif(a, F.lit(0.0)))).alias("mape"), F.avg(log * log).alias("msle"),
     )
+    middle = group_quantiles(df.select(F.abs(gap).alias("gap")), "gap", [0.5]).select(F.col("q0").alias("medae"))
+    return sums.join(F.broadcast(middle), F.lit(True), "left").select("mse", "rmse", "mae", "mape", "medae", "msle")
 
 
 def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -74,8 +76,11 @@ def kde(df: DataFrame, c: str, points: list[float], bandwidth: float | None = No
 
 def five_numbers(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum, in groups of ``by`` if given."""
-    q = lambda p: F.percentile(c, F.lit(p))
-    return df.groupBy(*([by] if by else [])).agg(F.min(c).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(c).alias("high"))
+    ends = df.groupBy((F.lit(0) if by is None else F.col(by)).alias("group")).agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    ends = ends if by is not None else df.agg(F.lit(0).alias("group"), F.min(c).alias("low"), F.max(c).alias("high"))
+    inner = group_quantiles(df, c, [0.25, 0.5, 0.75], by).toDF("g", "q1", "median", "q3")
+    both = ends.join(inner, F.col("group").eqNullSafe(F.col("g")), "left")
+    return both.select(*([F.col("group").alias(by)] if by else []), "low", "q1", "median", "q3", "high")
 
 
 def frequencies(df: DataFrame, c: str) -> DataFrame:

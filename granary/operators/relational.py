@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.order import share_of, with_row_id
+from granary.functions.order import exact_quantiles, share_of, with_row_id
 
 
 def merge_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -75,5 +75,5 @@ def class_scatter(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 def both_ranked_high(scores: DataFrame, name: str, first: str, second: str, q: float = 0.75) -> DataFrame:
     """Rows whose two ranks both reach their quantile ``q``."""
-    cut = scores.agg(F.percentile(first, F.lit(q)), F.percentile(second, F.lit(q))).first()
-    return scores.filter((F.col(first) >= F.lit(cut[0])) & (F.col(second) >= F.lit(cut[1]))).select(name, first, second)
+    cuts = exact_quantiles(scores, [first, second], [q])
+    return scores.filter((F.col(first) >= F.lit(cuts[first][0])) & (F.col(second) >= F.lit(cuts[second][0]))).select(name, first, second)

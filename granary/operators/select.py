@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.distributions import binomial_pmf
+from granary.functions.order import exact_quantiles
 from granary.operators import metrics
 
 
@@ -172,7 +173,7 @@ def perturbation(evaluation: Evaluation, features: list[str], n_repeats: int = 5
     train, test = evaluation.rows.filter(F.col("row_id") < cut), evaluation.rows.filter(F.col("row_id") >= cut)
     model = evaluation.estimator.copy().setFeaturesCol("__features").setLabelCol(evaluation.label).fit(assembler.transform(train))
     base = score_of(model.transform(assembler.transform(test)), evaluation.label, evaluation.metric)
-    medians = evaluation.rows.agg(*[F.median(f) for f in features]).first()
+    medians = [q[0] for q in exact_quantiles(evaluation.rows, features, [0.5]).values()]
     values = []
     for i, f in enumerate(features):
         total, noisy = 0.0, F.col(f).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import distributions as dist
 from granary.functions.columns import numeric, one_row, row
-from granary.functions.order import bounds_of, range_of, value_ranks, with_rank
+from granary.functions.order import bounds_of, group_quantiles, range_of, value_ranks, with_rank
 from granary.functions.storage import materialize
 
 
@@ -83,7 +83,7 @@ def levene_groups(df: DataFrame, x: str, y: str, center: str = "median") -> Data
         raise ValueError(f"unknown center {center!r}")
     value = F.col(numeric(df, [y])[0]).cast("double")
     rows = df.filter(F.col(x).isNotNull() & value.isNotNull()).select(F.col(x).alias("x"), value.alias("y"))
-    centers = rows.groupBy("x").agg((F.avg("y") if center == "mean" else F.median("y")).alias("c"))
+    centers = rows.groupBy("x").agg(F.avg("y").alias("c")) if center == "mean" else group_quantiles(rows, "y", [0.5], "x").toDF("x", "c")
     return group_summary(rows.join(centers, "x").withColumn("z", F.abs(F.col("y") - F.col("c"))), "x", "z")
 
 

@@ -78,6 +78,19 @@ def test_quantiles_are_the_same_either_way(spark):
         assert got["v"] == pytest.approx(np.quantile(known, shares).tolist()) and got["w"] == [None] * 6
 
 
+@pytest.mark.parametrize("rows", [200_000, 15])
+def test_group_quantiles(spark, monkeypatch, rows):
+    monkeypatch.setattr(order.bounds_of, "__defaults__", (rows,))
+    rng = random.Random(rows)
+    values = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.25, None])) for _ in range(200)] + [("one", 3.0), ("none", None)]
+    got = {r.group: (r.q0, r.q1, r.q2) for r in order.group_quantiles(spark.createDataFrame(values, "g string, v double"), "v", [0.0, 0.3, 0.5], "g").collect()}
+    groups = {g: [v for h, v in values if h == g and v is not None] for g in ("a", "b", None, "one")}
+    assert got == {g: tuple(pytest.approx(float(np.quantile(v, q))) for q in (0, 0.3, 0.5)) for g, v in groups.items()}
+    five = metrics.five_numbers(spark.createDataFrame(values, "g string, v double"), "v", "g").collect()
+    assert {r.g for r in five} == {"a", "b", None, "one", "none"} and next(r for r in five if r.g == "none").median is None
+    assert metrics.five_numbers(spark.createDataFrame([], "v double"), "v").first().median is None
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1, "a", math.nan)], "i int, s string, x double")
     with pytest.raises(TypeError):
