@@ -35,6 +35,14 @@ def test_nulls_ties_repeats_and_no_rows(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], "<|" * (i % 7) + str(i)) for i in range(3000)] + [(1, 3000, "assistant", "long <|im_end|> " * 20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    row = chat.parse(chat.format_chats(turns)).collect()[0]
+    assert [(t.role, t.text) for t in row.turns] == [(r, t) for _, _, r, t in rows]
+    assert row.loss_texts == [t for _, _, r, t in rows if r == "assistant"]
+
+
 def test_query_against_plain_python(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
     talks = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}

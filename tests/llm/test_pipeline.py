@@ -2,6 +2,7 @@ import corpus_pipeline
 from granary.llm import packing, quality, secrets
 from granary.llm.queries import QUERIES, SQL
 
+from tests.llm.helpers import awkward
 from tests.llm.test_near import brute
 from tests.llm.test_rules import base
 from tests.llm.test_tokens import library, wide  # noqa: F401
@@ -39,6 +40,13 @@ def test_stages_return_the_columns_of_documents(spark, small):
         assert stage(spark, docs, small).columns == docs.columns
 
 
+def test_pipeline_of_no_documents_and_of_awkward_ones(spark, tmp_path):
+    rows = awkward(spark)
+    for name, docs, kept in (("none", rows.limit(0), set()), ("awkward", rows, {p.doc_id for p in rows.collect() if clean(p.text)})):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert {p.doc_id for p in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()} == kept
+
+
 def test_ten_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)

@@ -248,6 +248,13 @@ def test_urls_and_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_long_urls_and_pages(spark):
+    page = "<p>text</p>" * 20_000 + '<a href="http://example.com/de/x">x</a>' * 3000
+    rows = [(1, "http://example.net/en/" + "a/" * 50_000, page), (1, "http://example.net/en/" + "a/" * 50_000, page), (2, "http://" + "h" * 50_000 + ".net/", None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(r.page_id, r.rule, r.verdict, len(r.host), len(r.path)) for r in got] == [(1, "example.net/en/", "allow", 11, 100_004)] * 2 + [(2, "net/", "block", 50_004, 1)]
+
+
 def test_trust_and_distrust_follow_links(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts)
     pages = [
