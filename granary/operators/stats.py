@@ -137,36 +137,79 @@ def spearman(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
     return pearson(with_rank(with_rank(rows, x, "__rx"), y, "__ry"), "__rx", "__ry", alpha)
 
 
+#: Rows of a stretch of an order that one task counts, and the most stretches: the table of counts between them has their square.
+STRETCH, MOST_STRETCHES = 200_000, 512
+
+
+def _ordered(cells: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """``cells`` (x, y, w) with the place in the order of two columns, the weight before it, and the weight before and at its ``first``."""
+    rows = cells.withColumn("part", range_of(F.col(first).cast("double"), bounds_of(cells, F.col(first))))
+    upto = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = rows.groupBy("part").agg(F.count("*").alias("m"), F.sum("w").alias("v"))
+    parts = parts.select("part", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("rows"), F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("weight"))
+    order = Window.partitionBy("part").orderBy(first, second)
+    run = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumns({"nth": F.row_number().over(order) - 1, "run": run})
+    tied = Window.partitionBy("part", first)
+    placed = placed.withColumns({"least": F.min("run").over(tied), f"n{name}": F.sum("w").over(tied)}).join(F.broadcast(parts), "part")
+    found = {f"p{name}": F.col("rows") + F.col("nth"), f"w{name}": F.col("weight") + F.col("run"), f"b{name}": F.col("weight") + F.col("least")}
+    return placed.withColumns({c: v.cast("long") for c, v in found.items()}).drop("part", "nth", "run", "least", "rows", "weight")
+
+
+def weight_before(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each element of a sequence the weight of the earlier ones with a lesser whole-number key.
+
+    An earlier element has a lesser key if it has the 0 in the highest binary digit in which the keys differ, so each digit
+    adds, to elements with the 1, a running sum over those that share the digits above.
+    """
+    out = np.zeros(len(keys), np.int64)
+    if not len(keys):
+        return out
+    keys = np.unique(keys, return_inverse=True)[1]
+    for bit in range(int(keys.max()).bit_length()):
+        order = np.argsort(keys >> (bit + 1), kind="stable")
+        group, one = keys[order] >> (bit + 1), (keys[order] >> bit) & 1
+        zeros = np.where(one == 0, weights[order], 0)
+        before = np.cumsum(zeros) - zeros
+        starts = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(keys)), 0))
+        out[order] += np.where(one == 1, before - before[starts], 0)
+    return out
+
+
 def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
     """(w, r, s, q) of each distinct (x, y): its rows, the rows below it by x, by y, and by both; ties count a half each.
 
-    A row is below another by both if, in the binary digits of their ranks by x, it has the 0 where they first differ, and
-    a lesser y. So each point enters one group per digit, groups hold sums per value of y, and running sums over ranges of
-    y count them: n log n rows in a few shuffles and no pair of rows. The row itself counts as a tie; nulls are left out.
+    Points have a place by (x, y) and one by (y, x), in stretches of ``STRETCH`` places. Those below by both places lie in a
+    lower stretch by each (a table of sums per pair of stretches), in the same stretch by x, or in the same by y and a lower
+    one by x: one task counts a stretch, whatever the ties. Each point is shuffled twice for it, and no pairs are made.
+    Below by both places are also the ties by one column, which then count a half. The row itself counts as a tie; nulls
+    are left out.
     """
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    sides = {c: materialize(value_ranks(points, c), "ranks") for c in "xy"}
-    cells = points.groupBy("x", "y").agg(F.count("*").alias("w"))
-    for c in "xy":
-        cells = cells.join(sides[c].select(F.col("value").alias(c), F.col("below").alias(f"b{c}"), F.col("n").alias(f"n{c}")), c)
-    cells = materialize(cells.select("w", "bx", "nx", "by", "ny"), "quadrants")
-    bits = max(int(cells.agg(F.max("bx")).first()[0] or 0), 1).bit_length()
-    level = F.col("level")
-    own = level == 0  # the group of one value of x, in which all rows tie by x
-    deep = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumns({"group": F.expr("shiftright(bx, level)"), "digit": F.when(own, -1).otherwise(F.expr("shiftright(bx, greatest(level - 1, 0)) & 1"))})
-    sums = deep.filter("digit != 1").groupBy("level", "group", "by").agg(F.sum("w").alias("tied"))
-    asked = deep.filter("digit != 0").select("level", "group", "by", F.lit(0).cast("long").alias("tied")).distinct()
-    bounds = bounds_of(cells, F.col("by"))
-    rows = sums.unionByName(asked).groupBy("level", "group", "by").agg(F.sum("tied").alias("tied")).withColumn("part", range_of(F.col("by").cast("double"), bounds))
-    parts = rows.groupBy("level", "group", "part").agg(F.sum("tied").alias("all"))
-    upto = Window.partitionBy("level", "group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
-    parts = parts.withColumn("before", F.coalesce(F.sum("all").over(upto), F.lit(0))).drop("all")
-    run = F.sum("tied").over(Window.partitionBy("level", "group", "part").orderBy("by").rowsBetween(Window.unboundedPreceding, -1))
-    below = rows.withColumn("run", F.coalesce(run, F.lit(0))).join(parts, ["level", "group", "part"])
-    below = below.select("level", "group", "by", (F.when(own, 0.5).otherwise(1.0) * (F.col("before") + F.col("run") + F.col("tied") / 2)).alias("q"))
-    found = deep.filter("digit != 0").join(below, ["level", "group", "by"]).groupBy("bx", "by").agg(F.sum("q").alias("q"))
+    cells = materialize(points.groupBy("x", "y").agg(F.count("*").alias("w")), "quadrants")
+    cells = materialize(_ordered(materialize(_ordered(cells, "x", "y", "x"), "quadrants"), "y", "x", "y"), "quadrants")
+    size = max(STRETCH, -(-cells.count() // MOST_STRETCHES))
+    placed = cells.withColumns({f"g{c}": F.floor(F.col(f"p{c}") / size).cast("int") for c in "xy"})
+    sums = placed.groupBy("gx", "gy").agg(F.sum("w")).collect()
+    grid = np.zeros((max([r[0] for r in sums], default=0) + 2, max([r[1] for r in sums], default=0) + 2), np.int64)
+    for i, j, w in sums:
+        grid[i + 1, j + 1] = w
+    grid = grid.cumsum(0).cumsum(1)  # at (i, j): the weight in stretches below i by x and below j by y
+
+    def by_x(pdf):
+        pdf = pdf.sort_values("px")
+        return pdf.assign(q=grid[pdf["gx"], pdf["gy"]] + weight_before(pdf["py"].to_numpy(), pdf["w"].to_numpy()))
+
+    def by_y(pdf):
+        pdf = pdf.sort_values("py")
+        return pdf.assign(q=pdf["q"] + weight_before(pdf["gx"].to_numpy(), pdf["w"].to_numpy()))
+
+    kinds = "gx int, gy int, px long, py long, w long, wx long, wy long, bx long, by long, nx long, ny long"
+    narrow = placed.select(*[k.split()[0] for k in kinds.split(", ")])
+    counted = narrow.groupBy("gx").applyInPandas(by_x, kinds + ", q long").groupBy("gy").applyInPandas(by_y, kinds + ", q long")
+    ties = (F.col("wx") - F.col("bx") + F.col("wy") - F.col("by")) / 2
     half = lambda c: F.col(f"b{c}") + F.col(f"n{c}") / 2
-    return cells.join(found, ["bx", "by"]).select("w", half("x").alias("r"), half("y").alias("s"), "q")
+    return counted.select("w", half("x").alias("r"), half("y").alias("s"), (F.col("q") - ties + F.col("w") / 4).alias("q"))
 
 
 def hoeffding(df: DataFrame, key: str, x: str, y: str, alpha: float = 0.05) -> DataFrame:

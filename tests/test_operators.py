@@ -488,3 +488,14 @@ def test_a_cluster_needs_a_shared_folder():
     conf, context = SimpleNamespace(get=lambda key, other: other), SimpleNamespace(master="spark://host:7077", applicationId="a")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_quadrants_by_stretches_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(stats, "STRETCH", 17)
+    rng = random.Random(3)
+    points = [(float(rng.randrange(20)), float(rng.randrange(30))) for _ in range(300)]
+    half = lambda a, b: 1.0 if a > b else 0.5 if a == b else 0.0
+    want = sorted((points.count((x, y)), sum(half(x, u) * half(y, v) for u, v in points)) for x, y in set(points))
+    got = stats.quadrants(spark.createDataFrame(points, "x double, y double"), "x", "y")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
+    assert sorted((r.w, r.q) for r in got.collect()) == want
