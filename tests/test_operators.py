@@ -499,3 +499,33 @@ def test_quadrants_by_stretches_without_a_broadcast(spark, monkeypatch):
     got = stats.quadrants(spark.createDataFrame(points, "x double, y double"), "x", "y")
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
     assert sorted((r.w, r.q) for r in got.collect()) == want
+
+
+def test_silhouette_in_blocks_and_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    rng = random.Random(5)
+    points = [(i, float(rng.randrange(6)), float(rng.randrange(6)), rng.randrange(3)) for i in range(90)]
+    got = {r.i: r for r in cluster.silhouette(spark.createDataFrame([*points, (90, None, 1.0, 0)], "i int, x double, y double, g int"), "i", ["x", "y"], "g").collect()}
+    for i, x, y, g in points:
+        means = {e: [((x - u) ** 2 + (y - v) ** 2) ** 0.5 for j, u, v, h in points if h == e and j != i] for e in range(3)}
+        means = {e: sum(d) / len(d) for e, d in means.items()}
+        assert got[i].a == pytest.approx(means[g]) and got[i].b == pytest.approx(min(m for e, m in means.items() if e != g))
+    assert len(got) == 91 and got[90].silhouette == 0
+
+
+def test_dbscan_writes_no_pairs_of_close_points(spark, monkeypatch):
+    from granary.functions.storage import materialize
+
+    written = []
+
+    def counted(df, name, *more):
+        table = materialize(df, name, *more)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(cluster, "materialize", counted)
+    monkeypatch.setattr(cluster, "UNIT", 16)
+    rows = spark.range(300).select("id", (F.col("id") / 1000).alias("x"), F.lit(0.0).alias("y"))
+    assert {r.cluster for r in cluster.dbscan(rows, "id", ["x", "y"], 1.0, 4).collect()} == {0}
+    assert max(written) <= 300
+    assert {r.n for r in cluster.core_points(rows, "id", ["x", "y"], 1.0, 4).collect()} == {300}
