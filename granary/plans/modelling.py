@@ -155,7 +155,7 @@ _two(
 @query("kernel_pca")
 def kernel_pca(spark, folder):
     rows = suppliers(spark, folder)
-    return rounded(reduce.fit_kernel_pca(rows, "s_suppkey", ["a", "b"], 2, "rbf", 0.001).transform(rows), 4)
+    return rounded(reduce.fit_low_rank_kernel_pca(rows, ["a", "b"], 2, "rbf", 0.001).transform(rows), 4)
 
 
 @query("nnmf")

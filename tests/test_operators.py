@@ -529,3 +529,14 @@ def test_dbscan_writes_no_pairs_of_close_points(spark, monkeypatch):
     assert {r.cluster for r in cluster.dbscan(rows, "id", ["x", "y"], 1.0, 4).collect()} == {0}
     assert max(written) <= 300
     assert {r.n for r in cluster.core_points(rows, "id", ["x", "y"], 1.0, 4).collect()} == {300}
+
+
+def test_kernel_pca_of_a_smooth_kernel_has_no_limit_of_rows(spark):
+    df = generators.blobs(spark, 3100, [(0.0, 0.0), (3.0, 1.0)])
+    few = df.filter("id < 200")
+    dense = reduce.fit_kernel_pca(few, "id", ["x", "y"], 2, "rbf", 0.05).transform(few).orderBy("id").collect()
+    found = reduce.fit_low_rank_kernel_pca(few, ["x", "y"], 2, "rbf", 0.05).transform(few).orderBy("id").collect()
+    assert np.allclose([[r.k0, r.k1] for r in dense], [[r.k0, r.k1] for r in found], atol=1e-6)
+    assert reduce.fit_low_rank_kernel_pca(df, ["x", "y"], 2, "rbf", 0.05).transform(df).count() == 3100
+    with pytest.raises(ValueError):
+        reduce.fit_low_rank_kernel_pca(few, ["x", "y"], 2, "rbf", 1e6, most=50)
