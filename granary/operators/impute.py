@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.columns import numeric
 from granary.functions.order import exact_quantiles
+from granary.functions.storage import materialize
 
 
 def null_ratio(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -136,27 +137,66 @@ class IterativeModel:
         return filled.drop(*[f"__flag_{c}" for c in self.imputer.cols])
 
 
+#: Projected rows that ask and are compared by one unit of work, the most partitions for that, and the most pairs of patterns of nulls.
+UNIT, MOST_PARTS, MOST_PATTERNS = 256, 512, 4096
+
+
 def knn_impute(train: DataFrame, test: DataFrame, key: str, cols: list[str], k: int = 20, weights: str = "uniform") -> DataFrame:
     """Fill nulls of ``test`` from the ``k`` nearest rows of ``train`` (other than the row itself, by ``key``).
 
-    The distance is Euclidean over the columns that both rows have, scaled up by their share. Only rows of ``test`` with a
-    null meet ``train``: a join of all such pairs, numbered by distance within each row, of which k are kept. ``uniform`` averages the neighbours that have a value, ``weighted`` weighs them k, k-1, ..., 1 by rank.
+    The distance is Euclidean over the columns that both rows have, scaled up by their share. ``uniform`` averages the
+    neighbours that have a value, ``weighted`` weighs them k, k-1, ..., 1 by rank.
+
+    The columns that both have depend on the rows' patterns of nulls only. So for each pair of patterns, rows that ask and rows
+    that give are cut down to those columns and equal ones are one point, of which k + 1 keys can matter; points are
+    compared, not rows. That is few where the known columns have few values, and all pairs of points where each
+    row has its own. More than ``MOST_PATTERNS`` pairs of patterns raise ValueError.
     """
     if weights not in ("uniform", "weighted"):
         raise ValueError(f"unknown weights {weights!r}")
-    values = lambda p: F.array(*[F.col(c).cast("double") for c in numeric(train, cols)]).alias(p)
-    asked = test.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0)) == 1).select(F.col(key).alias("a"), values("x"))
-    given = train.select(F.col(key).alias("b"), values("y"))
-    squares = F.filter(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), lambda d: d.isNotNull())
-    near = asked.join(given, F.col("a") != F.col("b")).withColumn("s", squares).filter(F.size("s") > 0)
-    distance = F.sqrt(F.lit(float(len(cols))) / F.size("s") * F.aggregate("s", F.lit(0.0), lambda u, v: u + v))
-    ranked = near.select("a", "b", "y", distance.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("r") <= k)
-    weight = F.lit(1.0) if weights == "uniform" else (F.lit(k + 1) - F.col("r")).cast("double")
-    picked = []
-    for i, c in enumerate(cols):
-        v = F.get("y", F.lit(i))
-        picked.append((F.sum(v * weight) / F.sum(F.when(v.isNotNull(), weight))).alias(f"__fill_{c}"))
-    filled = ranked.groupBy(F.col("a").alias("__fill_key")).agg(*picked)
+    m = len(numeric(train, cols))
+    values = F.array(*[F.col(c).cast("double") + 0.0 for c in cols])
+    known = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
+    asked = test.filter(known < (1 << m) - 1).select(F.col(key).alias("a"), values.alias("x"), known.alias("o"))
+    given = train.select(F.col(key).alias("b"), values.alias("y"), known.alias("g"))
+    asking, giving = ([r[0] for r in df.select(c).distinct().limit(MOST_PATTERNS + 1).collect()] for df, c in ((asked, "o"), (given, "g")))
+    if len(asking) * len(giving) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} pairs of patterns of nulls")
+    shared = sorted({(g, o & g) for o in asking for g in giving if o & g})
+    pairs = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(c).alias("c")) for g, c in shared]) if shared else F.expr("CAST(array() AS ARRAY<STRUCT<g: INT, c: INT>>)")
+    cut = lambda v: F.transform(v, lambda u, i: F.when(F.col("c").bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) != 0, u))
+    each = materialize(asked.select("x", "o").distinct(), "knn-asked")
+    sent = each.select("x", "o", F.explode(F.filter(pairs, lambda p: F.col("o").bitwiseAND(p["g"]) == p["c"])).alias("p")).select("x", F.col("p")["g"].alias("g"), F.col("p")["c"].alias("c"))
+    sent = materialize(sent.withColumn("px", cut(F.col("x"))), "knn-sent")
+    offered = given.withColumn("p", F.explode(F.filter(pairs, lambda p: p["g"] == F.col("g")))).withColumn("c", F.col("p")["c"]).withColumn("py", cut(F.col("y")))
+    least = Window.partitionBy("g", "c", "py").orderBy("b")
+    offered = offered.withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= k + 1)
+    points = materialize(offered.groupBy("g", "c", "py").agg(F.collect_list(F.struct("b", "y")).alias("rows")), "knn-points")
+
+    asks = sent.select("g", "c", "px").distinct()
+    units = max(1, min(MOST_PARTS, -(-asks.count() // UNIT)))
+    asks = asks.withColumn("unit", F.pmod(F.xxhash64("px"), F.lit(units)).cast("int")).repartition(units, "unit")
+    dealt = points.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1)))).repartition(units, "unit")
+    squares = F.filter(F.zip_with("px", "py", lambda p, q: (p - q) * (p - q)), lambda d: d.isNotNull())
+    met = asks.hint("merge").join(dealt, ["g", "c", "unit"]).withColumn("s", squares)
+    met = met.withColumn("d", F.sqrt(F.lit(float(m)) / F.size("s") * F.aggregate("s", F.lit(0.0), lambda u, v: u + v)))
+    met = met.select("g", "c", "px", "d", F.explode("rows").alias("r")).select("g", "c", "px", "d", "r.b", "r.y")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("d", "b"))
+    near = met.withColumn("nth", first("g", "c", "px")).filter(F.col("nth") <= k + 1).drop("nth")
+    near = sent.join(near, ["g", "c", "px"]).withColumn("nth", first("x")).filter(F.col("nth") <= k + 1)
+    lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("d", "b", "y"))).alias("near"))
+
+    others = F.slice(F.filter("near", lambda o: o["b"] != F.col("a")), 1, k)
+    weigh = lambda i: F.lit(1.0) if weights == "uniform" else (F.lit(k) - i).cast("double")
+    found = asked.join(lists, "x").select("a", F.transform(others, lambda o, i: F.struct(o["y"].alias("y"), weigh(i).alias("w"))).alias("others"))
+    total = lambda of: F.aggregate(of, F.lit(0.0), lambda u, v: u + v)
+
+    def mean_of(i: int):
+        having = F.filter("others", lambda o: F.get(o["y"], F.lit(i)).isNotNull())
+        return total(F.transform(having, lambda o: F.get(o["y"], F.lit(i)) * o["w"])) / F.nullif(total(F.transform(having, lambda o: o["w"])), F.lit(0.0))
+
+    picked = [mean_of(i).alias(f"__fill_{c}") for i, c in enumerate(cols)]
+    filled = found.select(F.col("a").alias("__fill_key"), *picked)
     joined = test.join(filled, F.col(key) == F.col("__fill_key"), "left")
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{c}")) for c in cols}).select(*test.columns)
 

@@ -540,3 +540,21 @@ def test_kernel_pca_of_a_smooth_kernel_has_no_limit_of_rows(spark):
     assert reduce.fit_low_rank_kernel_pca(df, ["x", "y"], 2, "rbf", 0.05).transform(df).count() == 3100
     with pytest.raises(ValueError):
         reduce.fit_low_rank_kernel_pca(few, ["x", "y"], 2, "rbf", 1e6, most=50)
+
+
+def test_knn_impute_by_patterns_of_nulls(spark, monkeypatch):
+    monkeypatch.setattr(impute, "UNIT", 2)
+    rng = random.Random(9)
+    rows = [(i, *[float(rng.randrange(5)) if rng.random() < 0.7 else None for _ in range(3)]) for i in range(80)]
+    got = {r.i: r for r in impute.knn_impute(*[spark.createDataFrame(rows, "i int, x double, y double, z double")] * 2, "i", ["x", "y", "z"], 4, "weighted").collect()}
+    for row in rows:
+        near = []
+        for other in rows:
+            gaps = [(p - q) ** 2 for p, q in zip(row[1:], other[1:]) if p is not None and q is not None]
+            if gaps and other[0] != row[0]:
+                near.append(((3 / len(gaps) * sum(gaps)) ** 0.5, other[0], other[1:]))
+        near = sorted(near)[:4]
+        for c, v in enumerate(row[1:]):
+            known = [(4 - r, o[2][c]) for r, o in enumerate(near) if o[2][c] is not None]
+            want = v if v is not None else sum(w * u for w, u in known) / sum(w for w, _ in known) if known else None
+            assert got[row[0]][1 + c] == (want if want is None else pytest.approx(want))
