@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.storage import materialize
+
 ROWS_PER_RANGE, MOST_RANGES = 200_000, 16_384
 
 
@@ -30,20 +30,17 @@ def bounds_of(df: DataFrame, key: Column, rows: int = ROWS_PER_RANGE) -> list[fl
 def range_of(key: Column, bounds: list) -> Column:
     """The number of ``bounds`` (ascending, of the key's own kind) at or below ``key``; nulls belong to the first range.
 
-    Plain comparisons, first with every ``step``-th bound, then with those from there on.
+    Plain comparisons of up to 16 bounds; beyond, a binary search in one array, so that a row costs the logarithm of their number.
     """
     if not bounds:
         return F.lit(0)
-    below = lambda tests: F.size(F.array_remove(F.array(*tests), F.lit(False)))
-    step = max(64, math.isqrt(len(bounds)) + 1)
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if len(rows) == 1:
-        found = below([key >= F.lit(b) for b in bounds])
+    if len(bounds) <= 16:
+        found = F.size(F.array_remove(F.array(*[key >= F.lit(b) for b in bounds]), F.lit(False)))
     else:
-        top = below([key >= F.lit(r[0]) for r in rows])
-        row = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r + r[-1:] * (step - len(r))]) for r in rows]), F.greatest(top, F.lit(1)))
-        inside = below([key >= F.get(row, F.lit(i)) for i in range(step)])
-        found = F.when(top == 0, 0).otherwise(F.least((top - 1) * step + inside, F.lit(len(bounds))))
+        cuts, steps = F.array(*[F.lit(b) for b in bounds]), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        # beyond the last bound ``get`` is null, which is not at or below any key
+        at_or_below = lambda n, step: F.coalesce(key >= F.get(cuts, n + step - 1), F.lit(False))
+        found = F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), lambda n, step: F.when(at_or_below(n, step), n + step).otherwise(n))
     return F.when(key.isNull(), 0).otherwise(found).cast("int")
 
 
@@ -139,7 +136,7 @@ def group_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None =
     own; null values are left out, and a group without values has no row.
     """
     rows = df.select((F.lit(0) if by is None else F.col(by)).alias("group"), F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
-    counts = rows.groupBy("group", "v").agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy("group", "v").agg(F.count("*").alias("n")), "group-values")
     placed = counts.withColumn("part", range_of(F.col("v"), bounds_of(counts, F.col("v"))))
     upto = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
     parts = placed.groupBy(F.col("group").alias("g"), F.col("part").alias("p")).agg(F.sum("n").alias("all"))

@@ -15,6 +15,10 @@ from granary.functions.order import bounds_of, group_quantiles, range_of, value_
 from granary.functions.storage import materialize
 
 
+#: Up to so many narrow rows a counted side of a join is broadcast.
+MOST_BROADCAST = 400_000
+
+
 def _verdict(statistic: float, p: float, critical: float, alpha: float) -> dict:
     return {"test_statistic": statistic, "p_value": p, "critical_value": critical, "keep_h0": bool(p >= alpha)}
 
@@ -84,7 +88,10 @@ def levene_groups(df: DataFrame, x: str, y: str, center: str = "median") -> Data
     value = F.col(numeric(df, [y])[0]).cast("double")
     rows = df.filter(F.col(x).isNotNull() & value.isNotNull()).select(F.col(x).alias("x"), value.alias("y"))
     centers = rows.groupBy("x").agg(F.avg("y").alias("c")) if center == "mean" else group_quantiles(rows, "y", [0.5], "x").toDF("x", "c")
-    return group_summary(rows.join(centers, "x").withColumn("z", F.abs(F.col("y") - F.col("c"))), "x", "z")
+    centers = materialize(centers, "centers")
+    # a few groups are broadcast, so that no task gets all rows of one
+    known = F.broadcast(centers) if centers.count() <= MOST_BROADCAST else centers
+    return group_summary(rows.join(known, "x").withColumn("z", F.abs(F.col("y") - F.col("c"))), "x", "z")
 
 
 def levene(df: DataFrame, x: str, y: str, alpha: float = 0.05, center: str = "median") -> DataFrame:

@@ -558,3 +558,13 @@ def test_knn_impute_by_patterns_of_nulls(spark, monkeypatch):
             known = [(4 - r, o[2][c]) for r, o in enumerate(near) if o[2][c] is not None]
             want = v if v is not None else sum(w * u for w, u in known) / sum(w for w, _ in known) if known else None
             assert got[row[0]][1 + c] == (want if want is None else pytest.approx(want))
+
+
+def test_levene_centers_are_not_shuffled_by_group(spark):
+    df = spark.range(60).select((F.col("id") % 2).alias("x"), F.col("id").cast("double").alias("y"))
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in stats.levene_groups(df, "x", "y")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
