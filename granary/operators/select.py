@@ -11,11 +11,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.distributions import binomial_pmf
-from granary.functions.order import exact_quantiles
+from granary.functions.order import MOST_RANGES, ROWS_PER_RANGE, exact_quantiles
+from granary.functions.storage import materialize, scratch
 from granary.operators import metrics
 
 
@@ -204,24 +205,41 @@ def boruta_limits(n: int, alpha: float = 0.05) -> tuple[int, int]:
     return low, n - low
 
 
+def _with_shadows(rows: DataFrame, features: list[str], n: int, seed: int) -> DataFrame:
+    """The ``n`` ``rows`` with __shadow0, __shadow1, ...: each feature's value of the row whose id has the same place in a hash order.
+
+    Hashes are spread evenly, so ranges of them need no quantiles. All features are placed in one shuffle and come back to
+    their rows in another; only the ranges' totals are broadcast, never a table with a row per row.
+    """
+    parts = max(1, min(MOST_RANGES, -(-n // ROWS_PER_RANGE)))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])
+    values = rows.select(F.col("row_id").alias("r"), F.explode(each).alias("x")).select("r", "x.*")
+    values = values.withColumn("o", F.xxhash64("r", F.col("i") + F.lit(seed)).cast("double"))
+    values = values.withColumn("part", F.least(F.floor((F.col("o") / 2.0**64 + 0.5) * parts), F.lit(parts - 1)).cast("int"))
+    upto = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    before = values.groupBy("i", "part").agg(F.count("*").alias("w")).select("i", "part", F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("before"))
+    placed = values.withColumn("nth", F.row_number().over(Window.partitionBy("i", "part").orderBy("o", "r")) - 1).join(F.broadcast(before), ["i", "part"])
+    moved = placed.groupBy((F.col("before") + F.col("nth")).cast("long").alias("row_id"))
+    moved = moved.agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__shadow{i}") for i in range(len(features))])
+    return rows.hint("merge").join(moved, "row_id")
+
+
 def boruta(evaluation: Evaluation, features: list[str], max_iter: int = 20, seed: int = 17) -> DataFrame:
     """(feature, hits, verdict): how often a feature's importance exceeds that of all shuffled copies.
 
     The estimator's model must have featureImportances or coefficients. A shuffled copy takes the value of the row whose
-    id has the same place in another hash order: a join on places, not a sort in one task.
+    id has the same place in another hash order: a join on places, not a sort in one task. Each iteration's table is written
+    for its fit and removed after it.
     """
-    from granary.functions.order import with_row_id
-
     hits = dict.fromkeys(features, 0)
+    rows = evaluation.rows.select("row_id", evaluation.label, *features)
+    n = rows.count()
+    names = [*features, *[f"__shadow{i}" for i in range(len(features))]]
+    assembler = VectorAssembler(inputCols=names, outputCol="__features")
     for it in range(max_iter):
-        rows = evaluation.rows.select("row_id", evaluation.label, *features)
-        for i, f in enumerate(features):
-            place = F.xxhash64("row_id", F.lit(seed + it * 1000 + i)).cast("double")
-            moved = with_row_id(evaluation.rows.select(F.col(f).alias(f"__shadow{i}"), place.alias("__o"), F.col("row_id").alias("__r")), "__o", "__r", name="row_id").drop("__o", "__r")
-            rows = rows.join(moved, "row_id")
-        names = [*features, *[f"__shadow{i}" for i in range(len(features))]]
-        assembler = VectorAssembler(inputCols=names, outputCol="__features")
-        model = evaluation.estimator.copy().setFeaturesCol("__features").setLabelCol(evaluation.label).fit(assembler.transform(rows))
+        with scratch(rows.sparkSession):
+            table = materialize(_with_shadows(rows, features, n, seed + it * 1000), "shadows")
+            model = evaluation.estimator.copy().setFeaturesCol("__features").setLabelCol(evaluation.label).fit(assembler.transform(table))
         values = [abs(float(v)) for v in (model.featureImportances if hasattr(model, "featureImportances") else model.coefficients).toArray()]
         top = max(values[len(features) :])
         for f, v in zip(features, values):

@@ -177,7 +177,8 @@ def documents(spark, folder):
     text = F.coalesce("text", F.lit(""))
     marks = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
     rows = load(spark, folder, "documents").select("doc_id", F.length(text).cast("double").alias("n_chars"), F.size(F.split(text, "\n", -1)).cast("double").alias("n_lines"), marks.cast("double").alias("n_marks"))
-    return with_row_id(rows.join(load(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id"), "doc_id")
+    rows = rows.join(load(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
+    return with_row_id(materialize(rows, "labelled"), "doc_id")  # read for the bounds and the ranges, too
 
 
 def evaluation(spark, folder, folds: bool = False, **options):

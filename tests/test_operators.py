@@ -384,6 +384,37 @@ def test_boruta_query_finds_a_planted_feature(spark, tmp_path):
     assert verdicts["n_marks"] == "important" and verdicts["n_lines"] == "unimportant"
 
 
+def sent_to_driver(spark, since: int = -1) -> tuple[int, int]:
+    """Bytes of the results of the stages after ``since``, and the last stage."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    lists = sc._jvm.java.util.ArrayList
+    stages = store.stageList(lists(), False, False, sc._gateway.new_array(sc._jvm.double, 0), lists())
+    found = [(stages.apply(i).stageId(), stages.apply(i).resultSize()) for i in range(stages.size())]
+    return sum(size for k, size in found if k > since), max(k for k, _ in found)
+
+
+def test_boruta_sends_no_rows_to_the_driver(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rows = spark.range(0, 60_000, 1, 2).select(F.col("id").alias("row_id"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", (F.col("a") > 0.5).cast("double")).localCheckpoint()
+    e = select.Evaluation(rows, "y", DecisionTreeClassifier(maxDepth=2, seed=1), "accuracy")
+    last = sent_to_driver(spark)[1]
+    assert {r.feature: r.hits for r in select.boruta(e, ["a", "b"], max_iter=2).collect()}["a"] == 2
+    assert sent_to_driver(spark, last)[0] < 1_500_000
+
+
+def test_shadows_are_the_values_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(select, "ROWS_PER_RANGE", 30)
+    rng = random.Random(5)
+    values = [(i, rng.choice([None, math.nan, rng.random()]), rng.randrange(9)) for i in range(300)]
+    rows = spark.createDataFrame(values, "row_id long, x double, n int")
+    hashes = rows.select("row_id", *[F.xxhash64("row_id", F.lit(1017 + i)).cast("double").alias(f"h{i}") for i in range(2)]).collect()
+    want = [[values[h.row_id][1 + i] for h in sorted(hashes, key=lambda h: (h[f"h{i}"], h.row_id))] for i in range(2)]
+    got = select._with_shadows(rows, ["x", "n"], 300, 1017).orderBy("row_id").collect()
+    assert repr([(r.x, r.n, r["__shadow0"], r["__shadow1"]) for r in got]) == repr([(x, n, a, float(b)) for (_, x, n), a, b in zip(values, *want)])
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "v string")
     assert [(r.v, r.o) for r in series.ordinal_encode(df, "v", "o").orderBy("v").collect()] == [(None, None), ("a", 0), ("b", 1), ("c", 2)]
