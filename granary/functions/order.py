@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,28 @@ def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     return placed.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__range", "__nth", "__before")
 
 
+def rows_at(df: DataFrame, order: list[str], places: list[int], part: Column | None = None) -> list[tuple]:
+    """Values of the columns ``order`` of the rows at 0-based ``places`` of that order, ascending; places without a row are left out.
+
+    Rows are counted by ranges of the first column, which is numeric, and only ranges that hold a place are sorted. ``part``
+    is the number of a row's range, where ranges are known beforehand.
+    """
+    if part is None:
+        part = range_of(F.col(order[0]).cast("double"), bounds_of(df, F.col(order[0])))
+    rows = df.select(*order, part.alias("__range"))
+    wanted, below = [], 0
+    for number, size in sorted(map(tuple, rows.groupBy("__range").count().collect())):
+        wanted += [(number, p - below) for p in sorted(set(places)) if below <= p < below + size]
+        below += size
+    if not wanted:
+        return []
+    held = rows.filter(F.col("__range").isin(sorted({number for number, _ in wanted})))
+    placed = held.withColumn("__nth", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    hit = fold(lambda a, b: a | b, [(F.col("__range") == number) & (F.col("__nth") == nth) for number, nth in wanted])
+    found = {(r["__range"], r["__nth"]): tuple(r[c] for c in order) for r in placed.filter(hit).collect()}
+    return [found[w] for w in wanted]
+
+
 def value_ranks(df: DataFrame, column: str, weight: Column | None = None) -> DataFrame:
     """(value, n, below): each distinct value of ``column``, its rows and the rows with lesser values; nulls are left out.
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.order import share_of
+from granary.functions.order import ROWS_PER_RANGE, rows_at, share_of
+from granary.functions.storage import materialize
+
+#: Up to so many folds a row's fold is found by comparisons with the folds' first rows.
+MOST_CUT_FOLDS = 64
 
 
 def _roles(rows: DataFrame, fold: Column, k: int, keep: list[str] = ()) -> DataFrame:
@@ -25,13 +29,30 @@ def kfold(rows: DataFrame, k: int) -> DataFrame:
     return _roles(rows, _even_fold(F.col("row_id"), F.lit(n), k), k)
 
 
+def _cut_folds(keyed: DataFrame, n: int, k: int, part: Column | None = None) -> DataFrame:
+    """Folds of the ``n`` rows (row_id, __key) in the order of __key, then row_id, by the first rows of the folds: no row is moved.
+
+    ``part``: ranges of __key, as in :func:`granary.functions.order.rows_at`.
+    """
+    starts = [j * (n // k) + min(j, n % k) for j in range(1, k)]
+    key, row = F.col("__key"), F.col("row_id")
+    number = F.lit(1)
+    for cut, first in rows_at(keyed, ["__key", "row_id"], [s for s in starts if s < n], part):
+        after = key.isNotNull() | (row >= first) if cut is None else (key > F.lit(cut)) | (key == F.lit(cut)) & (row >= first)
+        number = number + F.coalesce(after, F.lit(False)).cast("int")  # nulls come first
+    return _roles(keyed, number, k)
+
+
 def shuffled_kfold(rows: DataFrame, k: int, key: Column, stratify: str | None = None) -> DataFrame:
     """Folds in the order of ``key`` (a hash or another permutation of row_id), within each class of ``stratify``."""
     from granary.functions.order import with_row_id
 
-    keyed = rows.withColumn("__key", key.cast("double"))
+    # written once: a fold needs several passes
+    keyed = materialize(rows.select("row_id", key.cast("double").alias("__key"), *([stratify] if stratify else [])), "keyed")
     if stratify is None:
-        n = rows.agg(F.count("*")).first()[0]
+        n = keyed.count()
+        if k <= MOST_CUT_FOLDS:
+            return _cut_folds(keyed, n, k)
         return _roles(with_row_id(keyed, "__key", "row_id", name="__place"), _even_fold(F.col("__place"), F.lit(n), k), k)
     # salted: a class is dealt by rank within each of 64 hash cells, whose offsets make one rank of the class
     cell = F.floor(share_of("row_id") * 64).cast("int")
@@ -62,9 +83,16 @@ def stratify_bins(rows: DataFrame, y: str, bins: int = 30) -> DataFrame:
 
 def repeated_kfold(rows: DataFrame, k: int, repeats: int = 5, seed: int = 17, stratify: str | None = None) -> DataFrame:
     """Shuffled folds for each repeat, within each class of ``stratify``, numbered on: split = repeat * k + fold."""
-    out = None
+    rows = materialize(rows.select("row_id", *([stratify] if stratify else [])), "fold-rows")  # read in each repeat
+    n, out = rows.count(), None
+    parts = max(1, -(-n // ROWS_PER_RANGE))
     for r in range(repeats):
-        one = shuffled_kfold(rows, k, share_of("row_id", seed + r), stratify).withColumn("split", F.col("split") + r * k)
+        key = share_of("row_id", seed + r)
+        if stratify is None and k <= MOST_CUT_FOLDS:  # shares are spread evenly, so ranges of them are known
+            one = _cut_folds(rows.withColumn("__key", key), n, k, F.floor(F.col("__key") * parts).cast("int"))
+        else:
+            one = shuffled_kfold(rows, k, key, stratify)
+        one = one.withColumn("split", F.col("split") + r * k)
         out = one if out is None else out.unionByName(one)
     return out
 

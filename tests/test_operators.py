@@ -415,6 +415,31 @@ def test_shadows_are_the_values_in_hash_order(spark, monkeypatch):
     assert repr([(r.x, r.n, r["__shadow0"], r["__shadow1"]) for r in got]) == repr([(x, n, a, float(b)) for (_, x, n), a, b in zip(values, *want)])
 
 
+def test_shuffled_folds_move_no_rows(spark, monkeypatch):
+    from granary.functions.order import bounds_of
+
+    monkeypatch.setattr(order, "bounds_of", lambda df, key: bounds_of(df, key, 20))
+    monkeypatch.setattr(splits, "ROWS_PER_RANGE", 20, raising=False)
+    rng = random.Random(3)
+    for n, k in ((157, 5), (3, 5), (0, 2), (40, 1)):
+        keys = [(i, rng.choice([None, math.nan, math.inf, 0.0, rng.gauss(0, 1), 7.0])) for i in range(n)]
+        rows = spark.createDataFrame(keys, "row_id long, v double")
+        sizes = [n // k + (j < n % k) for j in range(k)]
+        folds = [j + 1 for j in range(k) for _ in range(sizes[j])]
+        plain = sorted(keys, key=lambda r: (r[1] is not None, r[1] is not None and math.isnan(r[1]), 0 if r[1] is None or math.isnan(r[1]) else r[1], r[0]))
+        shares = {r.row_id: r.s for r in rows.select("row_id", order.share_of("row_id", 18).alias("s")).collect()}
+        drawn = sorted(range(n), key=lambda i: (shares[i], i))
+        for found, want, more in (
+            (splits.shuffled_kfold(rows, k, F.col("v")), {r[0]: f for r, f in zip(plain, folds)}, 0),
+            (splits.repeated_kfold(rows, k, 2).filter(f"split > {k}"), dict(zip(drawn, folds)), k),
+        ):
+            assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+            got = found.collect()
+            assert len(got) == n * k and {(r.split - more, r.row_id) for r in got if r.role == "test"} == {(f, i) for i, f in want.items()}
+    many = splits.shuffled_kfold(spark.range(150).withColumnRenamed("id", "row_id"), 70, -F.col("row_id"))
+    assert {r.split: r.n for r in many.filter("role = 'test'").groupBy("split").agg(F.count("*").alias("n")).collect()} == {j: 3 if j <= 10 else 2 for j in range(1, 71)}
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "v string")
     assert [(r.v, r.o) for r in series.ordinal_encode(df, "v", "o").orderBy("v").collect()] == [(None, None), ("a", 0), ("b", 1), ("c", 2)]
