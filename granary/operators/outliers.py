@@ -15,7 +15,7 @@ from granary.functions.columns import numeric
 from granary.functions.distributions import chi2_isf
 from granary.functions.order import exact_quantiles
 from granary.functions.storage import materialize
-from granary.operators.nearby import GRID_METRICS, nearest
+from granary.operators.nearby import GRID_METRICS, near_lists, nearest
 
 
 @dataclass
@@ -131,8 +131,11 @@ def neighbours(df: DataFrame, key: str, cols: list[str], k: int, metric: str = "
 def local_outlier_factor(df: DataFrame, key: str, cols: list[str], k: int = 20, metric: str = "euclidean", reach: bool = False) -> DataFrame:
     """(key, lrd, lof): density k / sum of neighbour distances, and the neighbours' mean density over the row's own.
 
-    ``reach`` takes the textbook's reachability distances instead.
+    ``reach`` takes the textbook's reachability distances instead. On metrics that a grid can serve, equal rows are one
+    point with one density and one factor, so no list is made for each row: the lists' least keys stand for all.
     """
+    if metric in GRID_METRICS:
+        return _factor_of_points(df, key, cols, k, metric, reach)
     near = materialize(neighbours(df, key, cols, k, metric), "neighbours")
     if reach:
         far = near.groupBy(F.col("a").alias("b")).agg(F.max("d").alias("kd"))
@@ -142,6 +145,25 @@ def local_outlier_factor(df: DataFrame, key: str, cols: list[str], k: int = 20,
     return of.join(lrd, "a").select(F.col("a").alias(key), "lrd", (F.col("s") / (F.lit(k) * F.col("lrd"))).alias("lof"))
 
 
+def _factor_of_points(df: DataFrame, key: str, cols: list[str], k: int, metric: str, reach: bool) -> DataFrame:
+    rows, points, lists = near_lists(df, key, cols, k, metric)
+    if lists is None:
+        return rows.select(F.col("a").alias(key), F.lit(0.0).alias("lrd"), F.lit(0.0).alias("lof")).filter(F.lit(False))
+    others = F.slice(F.filter("near", lambda o: o["b"] != F.col("p")), 1, k)
+    near = materialize(lists.select("p", others.alias("near")), "near-lists")
+    members = points.select("p", F.explode("keys").alias("b"))
+    pairs = near.select("p", F.explode("near").alias("o")).select("p", "o.*")
+    total = F.aggregate("near", F.lit(0.0), lambda u, o: u + o["d"])
+    if reach:
+        far = near.select("p", F.get("near.d", F.size("near") - 1).alias("kd"))
+        near = pairs.join(far.join(members, "p").drop("p"), "b").groupBy("p").agg(F.sum(F.greatest("d", "kd")).alias("total"))
+        total = F.col("total")
+    density = materialize(near.select("p", (F.lit(k) / F.nullif(total, F.lit(0.0))).alias("lrd")), "densities")
+    of = pairs.join(density.join(members, "p").drop("p"), "b").groupBy("p").agg(F.sum("lrd").alias("s"))
+    scored = of.join(density, "p").join(points, "p").select("c", "x", "lrd", (F.col("s") / (F.lit(k) * F.col("lrd"))).alias("lof"))
+    return rows.join(scored, ["c", "x"]).select(F.col("a").alias(key), "lrd", "lof")
+
+
 def above_quantile(scores: DataFrame, column: str, q: float = 0.95) -> DataFrame:
     cut = exact_quantiles(scores, [column], [q])[column][0]
     return scores.filter(F.col(column) > F.lit(cut))

@@ -219,6 +219,29 @@ def test_nearest_against_brute_force(spark, monkeypatch, metric, dims, k, by, ro
     assert nearby.nearest(df.limit(0), "id", cols, k, metric, by).count() == 0
 
 
+@pytest.mark.parametrize("reach", [False, True])
+def test_local_outlier_factor_of_copies_by_points(spark, monkeypatch, reach):
+    written, write = [], outliers.materialize
+    monkeypatch.setattr(outliers, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    rng, k = random.Random(9), 4
+    places = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(25)]
+    points = [(i, *places[i]) for i in range(25)] + [(100 + i, *places[i % 3]) for i in range(9)] + [(200 + i, *places[20]) for i in range(300)]
+    near = {}
+    for a, x, y in points:
+        near[a] = sorted((math.dist((x, y), (u, v)), b) for b, u, v in points if b != a)[:k]
+    far = {a: max(d for d, _ in near[a]) for a in near}
+    total = {a: sum(max(d, far[b]) if reach else d for d, b in near[a]) for a in near}
+    lrd = {a: k / t if t else None for a, t in total.items()}
+    other = {a: [lrd[b] for _, b in near[a] if lrd[b] is not None] for a in near}
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {r.id: (r.lrd, r.lof) for r in outliers.local_outlier_factor(df, "id", ["x", "y"], k, reach=reach).collect()}
+    assert set(got) == set(near) and lrd[200] is None and lrd[0] is not None
+    for a in near:
+        assert got[a] == (pytest.approx(lrd[a]), pytest.approx(sum(other[a]) / (k * lrd[a])) if lrd[a] and other[a] else None)
+    assert max(t.count() for t in written) <= 25  # a row per point, not k per row
+    assert outliers.local_outlier_factor(df.limit(0), "id", ["x", "y"], k, reach=reach).count() == 0
+
+
 def test_count_near_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, round(rng.choice([rng.random(), 0.5]), 2), round(rng.random() / 4, 2)) for i in range(200)]
